@@ -1,4 +1,4 @@
-from ledgerline.operators.asof import asof_join
+from ledgerline.operators.asof import asof_join, asof_parts
 from ledgerline.operators.blocks import split_hot
 from ledgerline.operators.fold import ordered_fold
 from ledgerline.operators.interval import interval_join
@@ -8,6 +8,7 @@ from ledgerline.operators.sessions import session_aggregate, session_running
 
 __all__ = [
     "asof_join",
+    "asof_parts",
     "first_per_key",
     "interval_join",
     "last_per_key",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.operators.blocks import BLOCK, ROWS_PER_BLOCK, split_hot
+from ledgerline.operators.blocks import BLOCK, ROWS_PER_BLOCK, Split, split_hot
 from ledgerline.session import materialize
 
 
@@ -20,45 +20,51 @@ def asof_join(
     seq: str,
     values: Sequence[str],
     rows_per_block: int = ROWS_PER_BLOCK,
-    keep_block: bool = False,
 ) -> DataFrame:
     """Add to each fact the ``values`` of the last change with change.ts <= fact.ts.
 
     An inner join: facts without a key, without an earlier change or whose last change
     is a delete (its values are null) are dropped. Changes of one instant follow
     ``seq``, and come before the facts of that instant. Both sides are read as one
-    ordered sequence, so neither has to fit in memory. With ``keep_block`` the result
-    has the column ``block`` (-1 outside hot keys), and each (keys, block) group is
-    bounded, consecutive in time and already placed on one partition.
+    ordered sequence, so neither has to fit in memory.
+    """
+    parts = asof_parts(facts, changes, keys, ts, seq, values, rows_per_block)
+    return parts.cold if parts.hot is None else parts.cold.unionByName(parts.hot.drop(BLOCK))
+
+
+def asof_parts(
+    facts: DataFrame,
+    changes: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    seq: str,
+    values: Sequence[str],
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> Split:
+    """``asof_join`` with ordinary and hot keys apart, for another ordered operator.
+
+    The parts are already placed by key, or by key and block, and can be read again.
     """
     keys, values = list(keys), list(values)
-    current = F.struct(*values)
     fact_columns = [c for c in facts.columns if c not in values]
+    change = changes.select(*keys, ts, seq, F.struct(*values).alias("change"))
     both = (
         facts.select(*fact_columns)
         .withColumn("kind", F.lit(1))
-        .unionByName(
-            changes.select(*keys, ts, seq, current.alias("change")).withColumn(
-                "kind", F.lit(0)
-            ),
-            allowMissingColumns=True,
-        )
+        .unionByName(change.withColumn("kind", F.lit(0)), allowMissingColumns=True)
         .where(" and ".join(f"`{k}` is not null" for k in keys))
     )
-    # (ts, kind, seq) orders a key's rows; "last" below sees changes first.
+    # kind puts the changes of an instant before its facts.
     order = [ts, "kind", seq]
     cold, hot = split_hot(both, keys, order, rows_per_block)
-    result = _local_asof(cold, keys, order).withColumn(BLOCK, F.lit(-1))
-    if hot is not None:
-        result = result.unionByName(_blocked_asof(hot, keys, order))
-    present = F.lit(True)
+    present = F.col("kind") == 1
     for value in values:
         present = present & F.col(f"change.{value}").isNotNull()
-    kept = [BLOCK] if keep_block else []
-    return (
-        result.where((F.col("kind") == 1) & F.col("change").isNotNull() & present)
-        .select(*fact_columns, "change.*", *kept)
-    )
+    cold = _local_asof(cold, keys, order).where(present)
+    if hot is not None:
+        hot = _blocked_asof(hot, keys, order).where(present)
+        hot = hot.select(*fact_columns, "change.*", BLOCK)
+    return Split(cold.select(*fact_columns, "change.*"), hot)
 
 
 def _local_asof(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
@@ -77,14 +83,15 @@ def _blocked_asof(hot: DataFrame, keys: list[str], order: list[str]) -> DataFram
         .orderBy(BLOCK)
         .rowsBetween(W.unboundedPreceding, -1)
     )
-    carry = (
+    carry = materialize(
         local.groupBy(*keys, BLOCK)
         .agg(F.max_by("change", F.struct(*order)).alias("tail"))
         .withColumn("carried", F.last("tail", ignorenulls=True).over(before))
         .drop("tail")
     )
+    # One row per block, which bounds the broadcast; see blocks.hot_keys.
     return (
-        local.join(carry, [*keys, BLOCK])
+        local.join(F.broadcast(carry), [*keys, BLOCK])
         .withColumn("change", F.coalesce("change", "carried"))
         .drop("carried")
     )

@@ -9,18 +9,23 @@ have started from its true state, so the result is exact whatever the guesses we
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Sequence
 from typing import NamedTuple, Protocol
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.operators.blocks import BLOCK, ROWS_PER_BLOCK, split_hot
+from ledgerline.operators.blocks import BLOCK, ROWS_PER_BLOCK, Split, split_hot
 from ledgerline.session import materialize
 
+# Workers get this module's code with each task and need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # State bounds of a piece that reaches without limit.
 LOWEST, HIGHEST = -(2**62), 2**62
 
@@ -52,15 +57,25 @@ class StockReservation:
 
     The state is the quantity reserved so far; a refused row reserves nothing, and a
     negative quantity gives stock back. A row is granted iff
-    stock - reserved - quantity >= 0, so its headroom is stock - quantity.
+    stock - reserved - quantity >= 0, so its headroom is stock - quantity. With
+    ``positive_only`` a row whose quantity is not positive is refused.
     """
 
     start = 0
     columns = ("stock", "quantity")
     result = T.BooleanType()
 
-    def run(self, state, stock, quantity):
+    def __init__(self, positive_only: bool = False):
+        self.positive_only = positive_only
+
+    def _headroom(self, stock, quantity):
         headroom = stock - quantity
+        if self.positive_only:
+            headroom[quantity <= 0] = LOWEST
+        return headroom
+
+    def run(self, state, stock, quantity):
+        headroom = self._headroom(stock, quantity)
         granted = self._granted(state, headroom, quantity)
         taken = np.where(granted, quantity, 0)
         before = state + np.cumsum(taken) - taken
@@ -93,7 +108,7 @@ class StockReservation:
         return granted
 
     def probes(self, stock, quantity):
-        headroom = stock - quantity
+        headroom = self._headroom(stock, quantity)
         everything_fits = int((headroom - np.cumsum(quantity) + quantity).min())
         nothing_fits = int(headroom.max()) + 1
         sold_out = min(max(int(stock[0]), everything_fits), nothing_fits)
@@ -102,7 +117,7 @@ class StockReservation:
 
 
 def ordered_fold(
-    df: DataFrame,
+    rows: DataFrame | Split,
     keys: Sequence[str],
     order: Sequence[str],
     fold: Fold,
@@ -111,30 +126,16 @@ def ordered_fold(
 ) -> DataFrame:
     """Add ``column``: the fold's result for each row, per key in ``order``.
 
-    ``fold.columns`` must not be null. A frame with a ``block`` column, as from
-    ``asof_join(..., keep_block=True)``, is taken to be cut already (-1: not hot).
+    ``fold.columns`` must not be null. ``rows`` may be split already, by an ordered
+    operator before this one; its parts must be readable again.
     """
     keys, order = list(keys), list(order)
-    columns = [c for c in df.columns if c != BLOCK]
-    group = [*keys, BLOCK]
-    if BLOCK in df.columns:
-        rows, has_hot = df, _has_hot(df)
-    else:
-        split = split_hot(df, keys, order, rows_per_block)
-        has_hot = split.hot is not None
-        rows = split.cold.withColumn(BLOCK, F.lit(-1))
-        if has_hot:
-            rows = rows.unionByName(materialize(split.hot))
-    if has_hot:
-        starts = _solve(rows.where(F.col(BLOCK) >= 0), keys, order, fold)
-        # One row per block: at most rows / rows_per_block rows, see split_hot.
-        rows = rows.join(F.broadcast(starts), group, "left").withColumn(
-            "start", F.coalesce("start", F.lit(fold.start))
-        )
-    else:
-        rows = rows.withColumn("start", F.lit(fold.start).cast("bigint"))
-    schema = T.StructType([df.schema[c] for c in columns])
-    schema = schema.add(column, fold.result)
+    if isinstance(rows, DataFrame):
+        rows = split_hot(rows, keys, order, rows_per_block)
+        if rows.hot is not None:
+            rows = rows._replace(hot=materialize(rows.hot))
+    columns = rows.cold.columns
+    schema = T.StructType([*rows.cold.schema.fields, T.StructField(column, fold.result)])
 
     def apply(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in order])
@@ -142,11 +143,15 @@ def ordered_fold(
         results, _ = fold.run(state, *_arrays(table, fold.columns))
         return table.select(columns).append_column(column, pa.array(results))
 
-    return rows.select(*columns, BLOCK, "start").groupBy(*group).applyInArrow(apply, schema)
-
-
-def _has_hot(df: DataFrame) -> bool:
-    return df.where(F.col(BLOCK) >= 0).select(BLOCK).head() is not None
+    start = F.lit(fold.start).cast("bigint")
+    folded = rows.cold.withColumn("start", start).groupBy(*keys).applyInArrow(apply, schema)
+    if rows.hot is None:
+        return folded
+    # One row per block, which bounds the broadcast; see blocks.hot_keys.
+    starts = F.broadcast(_solve(rows.hot, keys, order, fold))
+    group = [*keys, BLOCK]
+    blocks = rows.hot.join(starts, group).groupBy(*group).applyInArrow(apply, schema)
+    return folded.unionByName(blocks)
 
 
 def _arrays(table: pa.Table, columns: Sequence[str]) -> list[np.ndarray]:
@@ -157,7 +162,7 @@ def _solve(hot: DataFrame, keys: list[str], order: list[str], fold: Fold) -> Dat
     """The true start state of every block, as rows (keys, block, start)."""
     spark = hot.sparkSession
     group = [*keys, BLOCK]
-    hot = materialize(hot.select(*dict.fromkeys([*group, *order, *fold.columns])))
+    hot = hot.select(*dict.fromkeys([*group, *order, *fold.columns]))
     group_schema = T.StructType([hot.schema[c] for c in group])
     start_schema = T.StructType([*group_schema.fields, T.StructField("start", T.LongType())])
     piece_schema = T.StructType(

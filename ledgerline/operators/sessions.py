@@ -113,7 +113,8 @@ def _blocked_running(
         + F.when(F.col("session") == 0, F.coalesce(f"carried_{n}", F.lit(0))).otherwise(0)
         for n in names
     }
-    return local.join(carry, [*keys, BLOCK]).withColumns(carried)
+    # One row per block, which bounds the broadcast; see blocks.hot_keys.
+    return local.join(F.broadcast(carry), [*keys, BLOCK]).withColumns(carried)
 
 
 def session_aggregate(
@@ -178,7 +179,7 @@ def _blocked_sessions(hot, keys, ts, seq, gap, sums, lasts) -> DataFrame:
     # Only a block's first and last session can reach into a neighbouring block:
     # at most two rows per block take part in the merge along the key.
     ends = parts.groupBy(*group).agg(F.max("session").alias("last_session"))
-    placed = parts.join(ends, group)
+    placed = parts.join(F.broadcast(ends), group)  # one row per block
     at_end = (F.col("session") == 0) | (F.col("session") == F.col("last_session"))
     inner = placed.where(~at_end)
     by_key = W.partitionBy(*keys).orderBy(BLOCK, "session")

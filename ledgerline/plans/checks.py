@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.functions import is_sane_order, spend, verdict
-from ledgerline.operators import asof_join, ordered_fold, session_aggregate, session_running
+from ledgerline.operators import asof_join, asof_parts, ordered_fold, session_aggregate, session_running
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
 from ledgerline.operators.fold import StockReservation
 
@@ -77,24 +77,17 @@ def orders_with_stock(orders: DataFrame, inventory_now: DataFrame) -> DataFrame:
     return created(orders).join(F.broadcast(stock.select("product", "stock")), "product")
 
 
+def _stock_inputs(orders: DataFrame) -> DataFrame:
+    quantity = F.coalesce("quantity", F.lit(0)).alias("quantity")
+    return created(orders).select("id", "product", quantity, "ts", "seq")
+
+
 def orders_asof_stock(
-    orders: DataFrame,
-    inventory: DataFrame,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    keep_block: bool = False,
+    orders: DataFrame, inventory: DataFrame, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Created orders with the stock of their product at the order's time."""
     return asof_join(
-        created(orders).select(
-            "id", "product", F.coalesce("quantity", F.lit(0)).alias("quantity"), "ts", "seq"
-        ),
-        inventory,
-        ["product"],
-        "ts",
-        "seq",
-        ["stock"],
-        rows_per_block,
-        keep_block,
+        _stock_inputs(orders), inventory, ["product"], "ts", "seq", ["stock"], rows_per_block
     )
 
 
@@ -106,28 +99,15 @@ def inventory_check(
 ) -> DataFrame:
     """Reserve stock per product in order time; refused orders reserve nothing.
 
-    ``positive_only`` refuses orders that would give stock back.
+    An order with a negative quantity gives stock back, unless ``positive_only``
+    refuses it. Without a stock row there is no verdict.
     """
-    stocked = orders_asof_stock(orders, inventory, rows_per_block, keep_block=True)
-    return inventory_verdicts(stocked, rows_per_block, positive_only)
-
-
-def inventory_verdicts(
-    stocked: DataFrame,
-    rows_per_block: int = ROWS_PER_BLOCK,
-    positive_only: bool = False,
-) -> DataFrame:
-    refused = None
-    if positive_only:
-        refused = _verdicts(
-            stocked.where(F.col("quantity") <= 0), "INVENTORY_CHECK", F.lit(False)
-        )
-        stocked = stocked.where(F.col("quantity") > 0)
-    reserved = ordered_fold(
-        stocked, ["product"], ["ts", "seq"], StockReservation(), "granted", rows_per_block
+    stocked = asof_parts(
+        _stock_inputs(orders), inventory, ["product"], "ts", "seq", ["stock"], rows_per_block
     )
-    checked = _verdicts(reserved, "INVENTORY_CHECK", F.col("granted"))
-    return checked if refused is None else checked.unionByName(refused)
+    reservation = StockReservation(positive_only)
+    reserved = ordered_fold(stocked, ["product"], ["ts", "seq"], reservation, "granted")
+    return _verdicts(reserved, "INVENTORY_CHECK", F.col("granted"))
 
 
 def all_validations(
