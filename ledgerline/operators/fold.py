@@ -123,11 +123,13 @@ def ordered_fold(
     fold: Fold,
     column: str,
     rows_per_block: int = ROWS_PER_BLOCK,
+    starts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``column``: the fold's result for each row, per key in ``order``.
 
     ``fold.columns`` must not be null. ``rows`` may be split already, by an ordered
-    operator before this one; its parts must be readable again.
+    operator before this one; its parts must be readable again. ``starts`` has the
+    columns keys and ``start``: the state of keys that do not begin at ``fold.start``.
     """
     keys, order = list(keys), list(order)
     if isinstance(rows, DataFrame):
@@ -144,13 +146,19 @@ def ordered_fold(
         return table.select(columns).append_column(column, pa.array(results))
 
     start = F.lit(fold.start).cast("bigint")
-    folded = rows.cold.withColumn("start", start).groupBy(*keys).applyInArrow(apply, schema)
+    if starts is None:
+        cold = rows.cold.withColumn("start", start)
+    else:
+        cold = rows.cold.join(starts.select(*keys, "start"), keys, "left").withColumn(
+            "start", F.coalesce("start", start)
+        )
+    folded = cold.groupBy(*keys).applyInArrow(apply, schema)
     if rows.hot is None:
         return folded
     # One row per block, which bounds the broadcast; see blocks.hot_keys.
-    starts = F.broadcast(_solve(rows.hot, keys, order, fold))
+    solved = F.broadcast(_solve(rows.hot, keys, order, fold, starts))
     group = [*keys, BLOCK]
-    blocks = rows.hot.join(starts, group).groupBy(*group).applyInArrow(apply, schema)
+    blocks = rows.hot.join(solved, group).groupBy(*group).applyInArrow(apply, schema)
     return folded.unionByName(blocks)
 
 
@@ -158,7 +166,13 @@ def _arrays(table: pa.Table, columns: Sequence[str]) -> list[np.ndarray]:
     return [table.column(c).to_numpy().astype(np.int64) for c in columns]
 
 
-def _solve(hot: DataFrame, keys: list[str], order: list[str], fold: Fold) -> DataFrame:
+def _solve(
+    hot: DataFrame,
+    keys: list[str],
+    order: list[str],
+    fold: Fold,
+    starts: DataFrame | None,
+) -> DataFrame:
     """The true start state of every block, as rows (keys, block, start)."""
     spark = hot.sparkSession
     group = [*keys, BLOCK]
@@ -194,12 +208,18 @@ def _solve(hot: DataFrame, keys: list[str], order: list[str], fold: Fold) -> Dat
             blocks.setdefault(row[BLOCK], []).append(Piece(row.low, row.high, row.shift))
 
     learn(hot)
+    begin = {}
+    if starts is not None:
+        # Hot keys only, whose number is bounded; see blocks.hot_keys.
+        listed = spark.createDataFrame(list(known), T.StructType(group_schema.fields[:-1]))
+        for row in starts.join(F.broadcast(listed), keys).collect():
+            begin[tuple(row[k] for k in keys)] = row["start"]
     while True:
-        starts, open_blocks = [], []
+        solved, open_blocks = [], []
         for key, blocks in known.items():
-            state = fold.start
+            state = begin.get(key, fold.start)
             for block in sorted(blocks):
-                starts.append((*key, block, state))
+                solved.append((*key, block, state))
                 piece = _covering(blocks[block], state)
                 if piece is None:
                     open_blocks.append((*key, block, state))
@@ -211,7 +231,7 @@ def _solve(hot: DataFrame, keys: list[str], order: list[str], fold: Fold) -> Dat
                     state = min(max(state, piece.low), piece.high)
                 state += piece.shift
         if not open_blocks:
-            return spark.createDataFrame(starts, start_schema)
+            return spark.createDataFrame(solved, start_schema)
         # The first open block of each key has its true state, so each round settles it.
         learn(hot.join(F.broadcast(spark.createDataFrame(open_blocks, start_schema)), group))
 

@@ -18,30 +18,21 @@ def interval_join(
     left_ts: str,
     right_ts: str,
     tolerance: timedelta,
+    shift: timedelta = timedelta(0),
 ) -> DataFrame:
     """All pairs with equal ``keys`` and |left_ts - right_ts| <= tolerance (inclusive).
 
-    The key columns appear once; the other columns must have distinct names. Batch
-    frames are joined on (key, time tile): a right row is listed in each tile its
-    interval touches (one or two), a left row lies in one tile, so each pair meets
-    exactly once. A hot key thus spreads over its tiles, and rows far apart in time
-    are never paired. Streams join on the key alone, as Spark bounds their state by
-    the time condition; put watermarks on both sides first.
+    With ``shift`` the left time is taken that much earlier than ``left_ts`` says.
+    The key columns appear once; the other columns must have distinct names. The join
+    is on (key, time tile): a right row is listed in each tile its interval touches
+    (one or two), a left row lies in one tile, so each pair meets exactly once. A hot
+    key thus spreads over its tiles, and rows far apart in time are never paired. Two
+    streams need watermarks on both times, which bound the rows Spark remembers.
     """
     keys = list(keys)
     near = F.col(right_ts).between(
-        F.col(left_ts) - F.lit(tolerance), F.col(left_ts) + F.lit(tolerance)
+        F.col(left_ts) - F.lit(shift + tolerance), F.col(left_ts) + F.lit(tolerance - shift)
     )
-    if left.isStreaming or right.isStreaming:
-        renamed = right.select(
-            *[F.col(k).alias(f"right_{k}") for k in keys],
-            *[c for c in right.columns if c not in keys],
-        )
-        condition = near
-        for k in keys:
-            condition = condition & (F.col(k) == F.col(f"right_{k}"))
-        return left.join(renamed, condition).drop(*[f"right_{k}" for k in keys])
-
     # Twelve tolerances wide: about one right row in six touches a second tile.
     width = 12 * micros(tolerance)
 
@@ -50,6 +41,6 @@ def interval_join(
 
     at = unix_micros(right_ts)
     touched = F.sequence(tile(at - micros(tolerance)), tile(at + micros(tolerance)))
-    tiled_left = left.withColumn("tile", tile(unix_micros(left_ts)))
+    tiled_left = left.withColumn("tile", tile(unix_micros(left_ts) - micros(shift)))
     tiled_right = right.withColumn("tile", F.explode(touched))
     return tiled_left.join(tiled_right, keys + ["tile"]).where(near).drop("tile")

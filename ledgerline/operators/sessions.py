@@ -15,7 +15,7 @@ from ledgerline.session import materialize
 
 
 def _present(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows without a key belong to no group."""
+    """Rows without a key or event time belong to no session."""
     return df.where(" and ".join(f"`{k}` is not null" for k in keys))
 
 
@@ -39,7 +39,7 @@ def session_running(
     opens a new session. One row comes out per row with a key.
     """
     keys, names = list(keys), list(sums)
-    rows = _present(df, keys).select(
+    rows = _present(df, [*keys, ts]).select(
         *df.columns, *[value.cast("bigint").alias(name) for name, value in sums.items()]
     )
     cold, hot = split_hot(rows, keys, [ts, seq], rows_per_block)
@@ -123,47 +123,51 @@ def session_aggregate(
     ts: str,
     seq: str,
     gap: timedelta,
-    sums: Mapping[str, Column],
+    sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    mins: Mapping[str, Column] | None = None,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """One row per key and session: first_ts, last_ts, sums and last values.
+    """One row per key and session: first_ts, last_ts and the named aggregates.
 
-    ``sums`` are added up over the session, ``lasts`` taken from its newest row by
-    (ts, seq). On a stream the rows come out once the watermark closes the session.
+    ``sums`` are added up over the session, ``mins`` are its smallest values and
+    ``lasts`` come from its newest row by (ts, seq). On a stream the rows come out once
+    the watermark closes the session, together with its window as ``session``.
     """
-    keys, lasts = list(keys), dict(lasts or {})
-    rows = _present(df, keys).select(
+    keys, sums, lasts, mins = list(keys), dict(sums or {}), dict(lasts or {}), dict(mins or {})
+    rows = _present(df, [*keys, ts]).select(
         *keys,
         ts,
         seq,
         *[value.cast("bigint").alias(name) for name, value in sums.items()],
-        *[value.alias(name) for name, value in lasts.items()],
+        *[value.alias(name) for name, value in [*mins.items(), *lasts.items()]],
     )
+    merges = [*[F.sum(n).alias(n) for n in sums], *[F.min(n).alias(n) for n in mins]]
+    names = [*sums, *mins, *lasts]
     if df.isStreaming:
-        return _window_sessions(rows, keys, ts, seq, gap, sums, lasts)
+        return _window_sessions(rows, keys, ts, seq, gap, merges, lasts, names)
     cold, hot = split_hot(rows, keys, [ts, seq], rows_per_block)
-    result = _window_sessions(cold, keys, ts, seq, gap, sums, lasts)
+    result = _window_sessions(cold, keys, ts, seq, gap, merges, lasts, names)
     if hot is not None:
-        result = result.unionByName(_blocked_sessions(hot, keys, ts, seq, gap, sums, lasts))
+        blocked = _blocked_sessions(hot, keys, ts, seq, gap, merges, lasts, names)
+        result = result.unionByName(blocked)
     return result
 
 
-def _window_sessions(df, keys, ts, seq, gap, sums, lasts) -> DataFrame:
+def _window_sessions(df, keys, ts, seq, gap, merges, lasts, names) -> DataFrame:
     window = F.session_window(ts, interval_text(gap)).alias("session")
     bounds = [F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts")]
-    totals = [F.sum(name).alias(name) for name in sums]
     newest = [F.max_by(name, F.struct(ts, seq)).alias(name) for name in lasts]
     # A stream keeps the window: its end is the event time of what follows.
     kept = ["session"] if df.isStreaming else []
     return (
         df.groupBy(*keys, window)
-        .agg(*bounds, *totals, *newest)
-        .select(*keys, *kept, "first_ts", "last_ts", *sums, *lasts)
+        .agg(*bounds, *merges, *newest)
+        .select(*keys, *kept, "first_ts", "last_ts", *names)
     )
 
 
-def _blocked_sessions(hot, keys, ts, seq, gap, sums, lasts) -> DataFrame:
+def _blocked_sessions(hot, keys, ts, seq, gap, merges, lasts, names) -> DataFrame:
     group = [*keys, BLOCK]
     parts = materialize(
         _sessions(hot, group, ts, seq, gap)
@@ -172,7 +176,7 @@ def _blocked_sessions(hot, keys, ts, seq, gap, sums, lasts) -> DataFrame:
             F.min(ts).alias("first_ts"),
             F.max(ts).alias("last_ts"),
             F.max(F.struct(ts, seq)).alias("newest"),
-            *[F.sum(name).alias(name) for name in sums],
+            *merges,
             *[F.max_by(name, F.struct(ts, seq)).alias(name) for name in lasts],
         )
     )
@@ -199,9 +203,9 @@ def _blocked_sessions(hot, keys, ts, seq, gap, sums, lasts) -> DataFrame:
         .agg(
             F.min("first_ts").alias("first_ts"),
             F.max("last_ts").alias("last_ts"),
-            *[F.sum(name).alias(name) for name in sums],
+            *merges,
             *[F.max_by(name, "newest").alias(name) for name in lasts],
         )
     )
-    columns = [*keys, "first_ts", "last_ts", *sums, *lasts]
+    columns = [*keys, "first_ts", "last_ts", *names]
     return inner.select(*columns).unionByName(merged.select(*columns))

@@ -91,23 +91,39 @@ def orders_asof_stock(
     )
 
 
-def inventory_check(
+def reservations(
     orders: DataFrame,
     inventory: DataFrame,
     rows_per_block: int = ROWS_PER_BLOCK,
     positive_only: bool = False,
+    reserved: DataFrame | None = None,
 ) -> DataFrame:
-    """Reserve stock per product in order time; refused orders reserve nothing.
+    """Reserve stock per product in order time; ``granted`` says which orders got it.
 
-    An order with a negative quantity gives stock back, unless ``positive_only``
-    refuses it. Without a stock row there is no verdict.
+    Refused orders reserve nothing, and one with a negative quantity gives stock back
+    unless ``positive_only`` refuses it. Orders without a stock row are left out.
+    ``reserved`` (product, start) is what was reserved before.
     """
     stocked = asof_parts(
         _stock_inputs(orders), inventory, ["product"], "ts", "seq", ["stock"], rows_per_block
     )
     reservation = StockReservation(positive_only)
-    reserved = ordered_fold(stocked, ["product"], ["ts", "seq"], reservation, "granted")
-    return _verdicts(reserved, "INVENTORY_CHECK", F.col("granted"))
+    return ordered_fold(
+        stocked, ["product"], ["ts", "seq"], reservation, "granted", starts=reserved
+    )
+
+
+def inventory_check(
+    orders: DataFrame,
+    inventory: DataFrame,
+    rows_per_block: int = ROWS_PER_BLOCK,
+    positive_only: bool = False,
+) -> DataFrame:
+    return inventory_verdicts(reservations(orders, inventory, rows_per_block, positive_only))
+
+
+def inventory_verdicts(reservations: DataFrame) -> DataFrame:
+    return _verdicts(reservations, "INVENTORY_CHECK", F.col("granted"))
 
 
 def all_validations(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,10 +71,13 @@ def pass_count_running(
     ).select("order_id", passes.cast("bigint").alias("passes"), "ts", "seq")
 
 
-def _updates(verdicts: DataFrame, orders: DataFrame, status: str) -> DataFrame:
+def _updates(
+    verdicts: DataFrame, orders: DataFrame, status: str, shift: timedelta = timedelta(0)
+) -> DataFrame:
     """The orders the verdicts are about, with a new status, once per verdict.
 
-    An update takes the later of both times and the verdict's sequence number.
+    An update takes the later of both times and the verdict's sequence number. The
+    verdicts' event time is ``shift`` later than the verdict, see ``validated_updates``.
     """
     pairs = interval_join(
         verdicts.select(
@@ -86,11 +90,14 @@ def _updates(verdicts: DataFrame, orders: DataFrame, status: str) -> DataFrame:
         "verdict_ts",
         "order_ts",
         schemas.JOIN_TOLERANCE,
+        shift,
     )
+    verdict_ts = F.col("verdict_ts") - F.lit(shift)
     return pairs.withColumn("status", F.lit(status)).select(
         *ORDER_COLUMNS,
-        F.greatest("verdict_ts", "order_ts").alias("ts"),
+        F.greatest(verdict_ts, "order_ts").alias("ts"),
         F.col("verdict_seq").alias("seq"),
+        "order_ts",
     )
 
 
@@ -105,9 +112,16 @@ def validated_orders(
     return validated_updates(counts, orders)
 
 
-def validated_updates(counts: DataFrame, orders: DataFrame) -> DataFrame:
+def validated_updates(
+    counts: DataFrame, orders: DataFrame, shift: timedelta = timedelta(0)
+) -> DataFrame:
+    """VALIDATED updates for the counts that reach the number of checks.
+
+    ``shift`` is how far the counts' event time lies behind the last verdict: none for
+    running counts, and for streamed sessions the rest of their window.
+    """
     enough = counts.where(F.col("passes") >= len(schemas.CHECKS))
-    return _updates(enough, orders, "VALIDATED")
+    return _updates(enough, orders, "VALIDATED", shift).drop("order_ts")
 
 
 def validated_sessions(
@@ -123,6 +137,11 @@ def validated_sessions(
 
 def failed_orders_raw(validations: DataFrame, orders: DataFrame) -> DataFrame:
     """One FAILED update per failing verdict."""
+    return failed_updates(validations, orders).drop("order_ts")
+
+
+def failed_updates(validations: DataFrame, orders: DataFrame) -> DataFrame:
+    """``failed_orders_raw`` with the order's own time as ``order_ts``."""
     return _updates(validations.where(F.col("result") == "FAIL"), orders, "FAILED")
 
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline import fixtures, schemas
 from ledgerline.functions import is_sane_order
 from ledgerline.operators import last_per_key, route
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
 from ledgerline.plans import checks, outcomes, topics
-from ledgerline.session import prepare
+from ledgerline.session import checkpoint_dir, prepare
+from ledgerline.streaming import batches, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 ORDER = [*outcomes.ORDER_COLUMNS, "ts"]
@@ -224,5 +227,86 @@ BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
 }
 
 
+class Streams:
+    """Runs streaming jobs over the same inputs, read as streams, to their end."""
+
+    def __init__(self, inputs: Inputs):
+        self.inputs, self.spark = inputs, inputs.spark
+        self.folder = f"{checkpoint_dir(self.spark)}/streams-{uuid.uuid4()}"
+
+    @property
+    def orders(self) -> DataFrame:
+        return fixtures.orders_from(fixtures.events_stream(self.spark, self.inputs.sf_dir))
+
+    @property
+    def validations(self) -> DataFrame:
+        return fixtures.validations(self.orders)
+
+    @property
+    def inventory(self) -> DataFrame:
+        """The stock changes as a topic: a folder of records, read as a stream."""
+        path = f"{self.folder}/inventory"
+        changes = self.inputs.inventory
+        changes.write.mode("overwrite").parquet(path)
+        return self.spark.readStream.schema(changes.schema).parquet(path)
+
+    def run(self, job: Callable[..., StreamingQuery], *streams, state: bool = False) -> DataFrame:
+        """Run a job to the end of its input and read what it wrote."""
+        path = f"{self.folder}/{job.__name__}"
+        places = [path, f"{path}-state"] if state else [path]
+        job(*streams, *places, f"{path}-checkpoint").awaitTermination()
+        return batches.read_batches(self.spark, path)
+
+    def written(self, rows: DataFrame, job: Callable[..., StreamingQuery]) -> DataFrame:
+        """What ``job`` wrote, as the stream a later job reads."""
+        path = f"{self.folder}/{job.__name__}"
+        if "batch=" in rows.inputFiles()[0]:
+            return batches.stream_batches(self.spark, path, rows.schema)
+        return self.spark.readStream.schema(rows.schema).parquet(path)
+
+    def validated(self) -> DataFrame:
+        counts = self.run(jobs.pass_counts, self.validations, state=True)
+        counts = self.written(counts, jobs.pass_counts)
+        return self.run(jobs.validated_orders, counts, self.orders)
+
+    def failed(self) -> DataFrame:
+        return self.run(jobs.failed_orders, self.validations, self.orders, state=True)
+
+    def state(self) -> DataFrame:
+        log = outcomes.order_log(
+            self.orders,
+            self.written(self.validated(), jobs.validated_orders),
+            self.written(self.failed(), jobs.failed_orders),
+        )
+        return outcomes.order_state(self.run(jobs.order_state, log))
+
+    def history(self) -> DataFrame:
+        records = {
+            schemas.ORDERS: topics.encode_orders(self.orders),
+            schemas.ORDER_VALIDATIONS: topics.encode_validations(self.validations),
+            schemas.WAREHOUSE_INVENTORY: topics.encode_inventory(self.inventory),
+        }
+        return self.run(jobs.order_history, records)
+
+
+STREAMING: dict[str, Callable[[Streams], DataFrame]] = {
+    "stream_details_check": lambda s: s.run(jobs.details_check, s.orders),
+    "stream_fraud_check": lambda s: s.run(jobs.fraud_check, s.orders, state=True),
+    "stream_inventory_check": lambda s: s.run(
+        jobs.inventory_check, s.orders, s.inventory, state=True
+    ),
+    "stream_order_history": lambda s: _history(s.history()),
+    "stream_pass_count_running": lambda s: s.run(jobs.pass_counts, s.validations, state=True),
+    "stream_validated_orders": lambda s: s.validated().select(ORDER),
+    "stream_failed_orders": lambda s: s.failed(),
+    "stream_order_state": lambda s: s.state().select(ORDER),
+}
+
+
 def queries() -> dict[str, Query]:
-    return {name: _query(build) for name, build in BATCH.items()}
+    batch = {name: _query(build) for name, build in BATCH.items()}
+    streaming = {
+        name: _query(lambda inputs, build=build: build(Streams(inputs)))
+        for name, build in STREAMING.items()
+    }
+    return batch | streaming

@@ -30,10 +30,11 @@ JSON_ORDER = {
 }
 JSON_VALIDATION = {"order_id": "orderId", "type": "type", "result": "result"}
 
-# Late data: a session or join accepts records up to a day behind the newest one.
-# Spark's session end already includes the gap, hence 24 h minus two gaps.
-SPEND_DELAY = "22 hours"
-COUNT_DELAY = "24 hours"
+# How far behind the newest record one may arrive and still count: a day from the
+# start of its session or join. A session's end includes the gap, hence 24 h less two.
+SPEND_DELAY = timedelta(hours=22)
+COUNT_DELAY = timedelta(hours=24)
+STOCK_DELAY = timedelta(hours=24)
 
 ORDER = T.StructType(
     [
