@@ -16,7 +16,7 @@ EVENTS_SCHEMA = (
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS_SCHEMA).parquet(f"{sf_dir}/events.parquet")
 
 
 def events_stream(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:

@@ -242,7 +242,7 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT value AS reject, ts FROM wire_v
                 WHERE CASE WHEN json_valid(value) THEN NOT ({wire_valid}) ELSE true END""",
         ),
-        "order_history": _sql(
+        "history_union": _sql(
             ORDERS,
             INVENTORY,
             VALIDATIONS,
@@ -336,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "details_check",
         "fraud_check",
         "inventory_check",
-        "order_history",
+        "history_union",
         "pass_count_running",
         "validated_orders",
         "failed_orders",

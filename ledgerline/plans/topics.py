@@ -13,6 +13,10 @@ from ledgerline.functions import decode_json, encode_order, encode_validation, h
 from ledgerline.operators import tag_and_union
 
 
+def _envelope(df: DataFrame) -> list[str]:
+    return [c for c in ("ts", "seq") if c in df.columns]
+
+
 def ingest_orders(requests: DataFrame) -> DataFrame:
     """New orders from requests; a customer is made up where a request names none."""
     given = (
@@ -20,7 +24,6 @@ def ingest_orders(requests: DataFrame) -> DataFrame:
         if "customer_id" in requests.columns
         else F.lit(None).cast("string")
     )
-    envelope = [c for c in ("ts", "seq") if c in requests.columns]
     return requests.select(
         "id",
         F.lit("CREATED").alias("status"),
@@ -28,7 +31,7 @@ def ingest_orders(requests: DataFrame) -> DataFrame:
         F.coalesce("quantity", F.lit(0)).alias("quantity"),
         F.coalesce("price", F.lit(0)).cast("bigint").alias("price"),
         F.coalesce(given, F.uuid()).alias("customer_id"),
-        *envelope,
+        *_envelope(requests),
     )
 
 
@@ -51,10 +54,9 @@ def decode(
     valid = F.col("value").isNotNull() & F.col("record.corrupt").isNull()
     for column, values in domains.items():
         valid = valid & _known(f"record.{column}", values)
-    envelope = [c for c in ("ts", "seq") if c in records.columns]
     return decoded.select(
         *[F.when(valid, F.col(f"record.{f.name}")).alias(f.name) for f in schema.fields],
-        *envelope,
+        *_envelope(records),
         F.when(~valid, F.coalesce("value", F.lit(""))).alias("reject"),
     )
 
@@ -82,12 +84,7 @@ def accepted(decoded: DataFrame) -> DataFrame:
 
 
 def rejected(decoded: DataFrame) -> DataFrame:
-    envelope = [c for c in ("ts", "seq") if c in decoded.columns]
-    return decoded.where(F.col("reject").isNotNull()).select("reject", *envelope)
-
-
-def _envelope(df: DataFrame) -> list[str]:
-    return [c for c in ("ts", "seq") if c in df.columns]
+    return decoded.where(F.col("reject").isNotNull()).select("reject", *_envelope(decoded))
 
 
 def encode_orders(orders: DataFrame) -> DataFrame:
@@ -115,12 +112,16 @@ def encode_inventory(inventory: DataFrame) -> DataFrame:
 
 def order_history(topics: Mapping[str, DataFrame]) -> DataFrame:
     """All topics' (key, value) records as one, each marked with where it came from."""
-    merged = tag_and_union(topics, "from_topic")
+    return history_records(tag_and_union(topics))
+
+
+def history_records(records: DataFrame) -> DataFrame:
+    """The history of (topic, key, value) records, as read from several topics at once."""
     text = F.coalesce(F.col("value"), F.lit("null"))
-    return merged.select(
+    return records.select(
         F.col("key").cast("string").alias("key"),
-        F.concat(F.col("from_topic"), F.lit(": "), text).alias("value"),
-        "from_topic",
-        history_header(F.col("from_topic")).alias("headers"),
-        *_envelope(merged),
+        F.concat(F.col("topic"), F.lit(": "), text).alias("value"),
+        F.col("topic").alias("from_topic"),
+        history_header(F.col("topic")).alias("headers"),
+        *_envelope(records),
     )

@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline import schemas
+
 # Offsets are unique per partition only; this many partitions share a topic's seq.
 PARTITIONS = 4096
 
@@ -40,29 +42,33 @@ def _envelope():
     return [F.col("timestamp").alias("ts"), seq.cast("bigint").alias("seq")]
 
 
+def _product() -> Column:
+    """An inventory key: the product as a JSON string."""
+    return F.trim(F.col("key").cast("string"), F.lit('"'))
+
+
+def _stock() -> Column:
+    """An inventory value: a big-endian 4-byte integer, or null for a delete."""
+    unsigned = F.conv(F.hex("value"), 16, 10).cast("bigint")
+    return F.when(unsigned >= 2**31, unsigned - 2**32).otherwise(unsigned).cast("int")
+
+
 def text_records(rows: DataFrame) -> DataFrame:
-    """(topic, key, value, ts, seq) of topics with text keys and JSON values."""
+    """(topic, key, value, ts, seq) of any of the topics, keys and values as text."""
+    inventory = F.col("topic") == schemas.WAREHOUSE_INVENTORY
     return rows.select(
         "topic",
-        F.col("key").cast("string").alias("key"),
-        F.col("value").cast("string").alias("value"),
+        F.when(inventory, _product()).otherwise(F.col("key").cast("string")).alias("key"),
+        F.when(inventory, _stock().cast("string"))
+        .otherwise(F.col("value").cast("string"))
+        .alias("value"),
         *_envelope(),
     )
 
 
 def inventory_records(rows: DataFrame) -> DataFrame:
-    """(product, stock, ts, seq) of the inventory topic.
-
-    Its key is the product as a JSON string, its value a big-endian 4-byte integer,
-    or null for a delete.
-    """
-    unsigned = F.conv(F.hex("value"), 16, 10).cast("bigint")
-    signed = F.when(unsigned >= 2**31, unsigned - 2**32).otherwise(unsigned)
-    return rows.select(
-        F.trim(F.col("key").cast("string"), F.lit('"')).alias("product"),
-        signed.cast("int").alias("stock"),
-        *_envelope(),
-    )
+    """(product, stock, ts, seq) of the inventory topic; a delete has no stock."""
+    return rows.select(_product().alias("product"), _stock().alias("stock"), *_envelope())
 
 
 def kafka_rows(records: DataFrame, topic: str) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from conftest import ORDER, STOCK, at
 from ledgerline import schemas
+from ledgerline.operators.blocks import hot_keys, split_hot
 from ledgerline.operators.fold import StockReservation, ordered_fold
 from ledgerline.plans import checks
+from ledgerline.session import materialize
 
 
 def results(df, key="order_id", value="result"):
@@ -196,3 +198,27 @@ def test_fold_starts(spark):
         )
         counts = folded.where("granted").groupBy("product").agg(F.count("*").alias("n"))
         assert results(counts, "product", "n") == {"A": 3, "B": 5}
+
+
+def test_blocks_are_even_and_in_order(spark):
+    """Also where one instant holds most of a hot key's rows."""
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).alias("k"),
+        F.when(F.col("id") < 15_000, F.lit(at())).otherwise(F.lit(at(hours=1))).alias("ts"),
+        F.col("id").alias("seq"),
+    )
+    split = split_hot(df, ["k"], ["ts", "seq"], 1000)
+    hot = materialize(split.hot)
+    assert hot.count() + split.cold.count() == 20_000
+    assert hot.select("k").distinct().count() == 1
+    blocks = (
+        hot.groupBy("block")
+        .agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"))
+        .orderBy("block")
+        .collect()
+    )
+    assert len(blocks) >= 10 and max(r.n for r in blocks) < 3000
+    assert all(x.b < y.a for x, y in zip(blocks, blocks[1:]))
+    assert split_hot(df, ["k"], ["ts", "seq"], 20_000).hot is None
+    # Far larger blocks are found in a sample.
+    assert hot_keys(df, ["k"], 10_000).count() == 1

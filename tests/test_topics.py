@@ -115,20 +115,27 @@ def test_kafka_envelope(spark):
     rows = spark.createDataFrame(
         [
             (bytearray(b"k"), bytearray(b"v"), "orders", 3, 7, at()),
-            (bytearray(b'"SHOES"'), bytearray((5).to_bytes(4, "big")), "inv", 0, 8, at()),
-            (bytearray(b'"SHOES"'), bytearray((-2).to_bytes(4, "big", signed=True)), "inv", 0, 9, at()),
-            (bytearray(b'"WATCH"'), None, "inv", 1, 9, at()),
+            (bytearray(b'"SHOES"'), bytearray((5).to_bytes(4, "big")), schemas.WAREHOUSE_INVENTORY, 0, 8, at()),
+            (bytearray(b'"SHOES"'), bytearray((-2).to_bytes(4, "big", signed=True)), schemas.WAREHOUSE_INVENTORY, 0, 9, at()),
+            (bytearray(b'"WATCH"'), None, schemas.WAREHOUSE_INVENTORY, 1, 9, at()),
         ],
         "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp",
     )
     text = sources.text_records(rows.where("topic = 'orders'")).first()
     assert (text.topic, text.key, text.value, text.ts) == ("orders", "k", "v", at())
-    stock = sources.inventory_records(rows.where("topic = 'inv'"))
+    stock = sources.inventory_records(rows.where("topic <> 'orders'"))
     assert stock.select("seq").distinct().count() == 3
     assert [(r.product, r.stock) for r in stock.orderBy("seq").collect()] == [
         ("SHOES", 5),
         ("SHOES", -2),
         ("WATCH", None),
     ]
+    history = topics.history_records(sources.text_records(rows)).orderBy("seq")
+    assert [(r.key, r.value) for r in history.collect()] == [
+        ("k", "orders: v"),
+        ("SHOES", "warehouse-inventory: 5"),
+        ("SHOES", "warehouse-inventory: -2"),
+        ("WATCH", "warehouse-inventory: null"),
+    ]
     out = sources.kafka_rows(sources.text_records(rows), "copy").first()
     assert (out.topic, out.key) == ("copy", "k")
