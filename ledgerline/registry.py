@@ -208,8 +208,8 @@ BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
     "fraud_running_total_split": lambda i: _running(i, 10),
     "orders_asof_stock_split": lambda i: _asof(i, SMALL_BLOCK),
     "inventory_check_split": lambda i: checks.inventory_check(i.orders, i.inventory, SMALL_BLOCK),
-    "pass_count_sessions_split": lambda i: outcomes.pass_count_sessions(i.validations, 3),
-    "pass_count_running_split": lambda i: outcomes.pass_count_running(i.validations, 3),
+    "pass_count_sessions_split": lambda i: outcomes.pass_count_sessions(i.validations, 4),
+    "pass_count_running_split": lambda i: outcomes.pass_count_running(i.validations, 4),
     "order_lifecycle_split": lambda i: outcomes.order_lifecycle(
         i.orders, i.inventory, SMALL_BLOCK
     ).select(ORDER),
@@ -222,6 +222,7 @@ class Streams:
     def __init__(self, inputs: Inputs):
         self.inputs, self.spark = inputs, inputs.spark
         self.folder = f"{checkpoint_dir(self.spark)}/streams-{uuid.uuid4()}"
+        self.rows = fixtures.events(self.spark, inputs.sf_dir).count()
 
     @property
     def orders(self) -> DataFrame:
@@ -243,7 +244,9 @@ class Streams:
         """Run a job to the end of its input and read what it wrote."""
         path = f"{self.folder}/{job.__name__}"
         places = [path, f"{path}-state"] if state else [path]
-        job(*streams, *places, f"{path}-checkpoint").awaitTermination()
+        with batches.state_partitions(self.spark, self.rows):
+            query = job(*streams, *places, f"{path}-checkpoint")
+        query.awaitTermination()
         return batches.read_batches(self.spark, path)
 
     def written(self, rows: DataFrame, job: Callable[..., StreamingQuery]) -> DataFrame:

@@ -4,45 +4,91 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Streaming state on local disk with snapshots in the checkpoint, not on the heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set the runtime options the jobs rely on (all of them SQL options)."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    checkpoint_dir(spark)
+    for option, value in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # Merge sessions before the shuffle, so that a hot key is small after it.
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    }.items():
+        spark.conf.set(option, value)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a scratch folder only in local mode."""
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    current = sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        if current is None:
-            sc.setCheckpointDir(configured)
         return configured
-    if current is not None:
-        return current
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    scratch = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
-    sc.setCheckpointDir(scratch)
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
     return sc.getCheckpointDir()
 
 
+# The tables written inside the innermost ``scratch_tables`` block.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it there.
 
     Later reads see exactly these rows, also after executors were lost, and read only
-    the columns they need. Like checkpoint files, the table stays until the folder is
-    cleaned.
+    the columns they need. The table stays until the folder is cleaned, or until the
+    end of the ``scratch_tables`` block around the call.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4()}"
+    if (written := _written.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``materialize`` writes in this block when it ends.
+
+    Put it around building a result and writing it out.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            delete(spark, path)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end."""
+    return _files(spark, path).exists(_path(spark, f"{path}/_SUCCESS"))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    _files(spark, path).delete(_path(spark, path), True)

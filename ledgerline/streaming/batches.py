@@ -10,12 +10,20 @@ every row exactly once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline.session import complete, delete, scratch_tables
+
+# Remembered rows per state partition of a small query, see state_partitions.
+ROWS_PER_STATE = 100_000
+# States older than this many batches are deleted; a replay needs only the last one.
+STATES_KEPT = 10
 
 
 class Step(NamedTuple):
@@ -28,10 +36,6 @@ class Step(NamedTuple):
     emit: Callable[[DataFrame], DataFrame]
 
 
-# States older than this many batches are deleted; a replay needs only the last one.
-STATES_KEPT = 10
-
-
 def run_batches(
     stream: DataFrame,
     step: Step,
@@ -49,20 +53,21 @@ def run_batches(
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         out, after = f"{results}/batch={number}", f"{state}/batch={number}"
-        if _complete(spark, after):
+        if complete(spark, after):
             return
         before = f"{state}/batch={number - 1}"
-        known = spark.read.parquet(before) if _complete(spark, before) else None
+        if number > 0 and not complete(spark, before):
+            raise FileNotFoundError(f"no state of the batch before: {before}")
+        known = spark.read.parquet(before) if number > 0 else None
         batch = batch.persist()
-        rows = step.apply(batch, known).persist()
-        if not _complete(spark, out):
-            step.emit(rows).write.mode("overwrite").parquet(out)
-        step.remember(rows, batch, known).write.mode("overwrite").parquet(after)
+        with scratch_tables(spark):
+            rows = step.apply(batch, known).persist()
+            if not complete(spark, out):
+                step.emit(rows).write.mode("overwrite").parquet(out)
+            step.remember(rows, batch, known).write.mode("overwrite").parquet(after)
         rows.unpersist()
         batch.unpersist()
-        old = f"{state}/batch={number - STATES_KEPT}"
-        if _complete(spark, old):
-            _files(spark, old).delete(_path(spark, old), True)
+        delete(spark, f"{state}/batch={number - STATES_KEPT}")
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -72,6 +77,24 @@ def run_batches(
     )
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Start queries with state partitions for ``rows`` remembered rows.
+
+    A query keeps the number it first started with, and unlike a table's shuffle its
+    partitions are not merged when they turn out small. Never more than
+    spark.sql.shuffle.partitions.
+    """
+    option = "spark.sql.shuffle.partitions"
+    configured = spark.conf.get(option)
+    needed = min(int(configured), max(1, math.ceil(rows / ROWS_PER_STATE)))
+    spark.conf.set(option, str(needed))
+    try:
+        yield
+    finally:
+        spark.conf.set(option, configured)
+
+
 def read_batches(spark: SparkSession, results: str) -> DataFrame:
     """All rows written so far, as a table."""
     return spark.read.parquet(results).drop("batch")
@@ -80,15 +103,3 @@ def read_batches(spark: SparkSession, results: str) -> DataFrame:
 def stream_batches(spark: SparkSession, results: str, schema) -> DataFrame:
     """The rows as a stream, for a query after this one."""
     return spark.readStream.schema(schema).parquet(f"{results}/batch=*")
-
-
-def _path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
-
-
-def _files(spark: SparkSession, path: str):
-    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    return _files(spark, path).exists(_path(spark, f"{path}/_SUCCESS"))

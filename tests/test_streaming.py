@@ -12,6 +12,7 @@ from conftest import at
 from ledgerline import schemas
 from ledgerline.operators import last_per_key
 from ledgerline.plans import checks, outcomes, topics
+from ledgerline.session import checkpoint_dir
 from ledgerline.streaming import batches, jobs
 from test_checks import make_orders, make_stock
 
@@ -64,10 +65,14 @@ def test_fraud_check(spark, tmp_path, block):
     topic = sliced(spark, tmp_path, "orders", rows, 32)
     assert topic.table().count() == rows.count()
     out, state, checkpoint = places(tmp_path, "fraud")
+    scratch = checkpoint_dir(spark)
+    before = os.listdir(scratch)
     jobs.fraud_check(
         topic.stream(), out, state, checkpoint, rows_per_block=block
     ).awaitTermination()
+    assert os.listdir(scratch) == before
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == topic.files
+    assert len([d for d in os.listdir(state) if d.startswith("batch=")]) == topic.files
     assert text(batches.read_batches(spark, out)) == text(checks.fraud_check(rows))
 
 
