@@ -10,7 +10,7 @@ have started from its true state, so the result is exact whatever the guesses we
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -45,7 +45,7 @@ class Fold(Protocol):
     columns: Sequence[str]
     result: T.DataType
 
-    def run(self, state: int, *columns: np.ndarray) -> tuple[np.ndarray, Piece]:
+    def run(self, state: int, *columns: np.ndarray) -> tuple[Sequence, Piece]:
         """Each row's result, and the piece around ``state`` with the same results."""
 
     def probes(self, *columns: np.ndarray) -> Iterable[int]:
@@ -116,6 +116,36 @@ class StockReservation:
         return (everything_fits, nothing_fits, sold_out, middle)
 
 
+class RowFold:
+    """A fold given as ``step(state, *values) -> (state, result)`` for one row.
+
+    A step says nothing about other start states, so a hot key's blocks can only be
+    told apart from the states they were tried with: where states do not run together
+    soon, that takes a round per block. A ``Fold`` that knows its pieces needs few.
+    """
+
+    def __init__(
+        self,
+        columns: Sequence[str],
+        step: Callable[..., tuple[int, object]],
+        result: T.DataType,
+        start: int = 0,
+        guesses: Sequence[int] = (),
+    ):
+        self.columns, self.step, self.result, self.start = columns, step, result, start
+        self.guesses = (start, *guesses)
+
+    def run(self, state, *columns):
+        first, results = state, []
+        for values in zip(*(c.tolist() for c in columns)):
+            state, result = self.step(state, *values)
+            results.append(result)
+        return results, Piece(first, first, state - first)
+
+    def probes(self, *columns):
+        return self.guesses
+
+
 def ordered_fold(
     rows: DataFrame | Split,
     keys: Sequence[str],

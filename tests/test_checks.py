@@ -9,11 +9,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import ORDER, STOCK, at
 from ledgerline import schemas
 from ledgerline.operators.blocks import hot_keys, split_hot
-from ledgerline.operators.fold import StockReservation, ordered_fold
+from ledgerline.operators.fold import RowFold, StockReservation, ordered_fold
 from ledgerline.plans import checks
 from ledgerline.session import materialize
 
@@ -222,3 +223,22 @@ def test_blocks_are_even_and_in_order(spark):
     assert split_hot(df, ["k"], ["ts", "seq"], 20_000).hot is None
     # Far larger blocks are found in a sample.
     assert hot_keys(df, ["k"], 10_000).count() == 1
+
+
+@pytest.mark.parametrize("block", [50, 1000])
+def test_fold_of_single_rows(spark, block):
+    """Tickets numbered from a counter that starts anew after every seventh value."""
+    df = spark.createDataFrame(
+        [("A" if n % 3 else "B", n, n % 7) for n in range(300)], "k string, seq bigint, v bigint"
+    )
+
+    def step(state, value):
+        state = 0 if value == 0 else state + value
+        return state, f"{value}/{state}"
+
+    fold = RowFold(["v"], step, T.StringType())
+    got = ordered_fold(df, ["k"], ["seq"], fold, "ticket", block).orderBy("seq").collect()
+    states = {"A": 0, "B": 0}
+    for row in got:
+        states[row.k], ticket = step(states[row.k], row.v)
+        assert row.ticket == ticket
