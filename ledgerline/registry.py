@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,23 +31,23 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = prepare(spark), sf_dir
 
-    @property
+    @cached_property
     def orders(self) -> DataFrame:
         return fixtures.orders(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def inventory(self) -> DataFrame:
         return fixtures.inventory(self.orders)
 
-    @property
+    @cached_property
     def validations(self) -> DataFrame:
         return fixtures.validations(self.orders)
 
-    @property
+    @cached_property
     def inventory_latest(self) -> DataFrame:
         return last_per_key(self.inventory, ["product"], ["ts", "seq"]).where("stock is not null")
 
-    @property
+    @cached_property
     def log(self) -> DataFrame:
         return outcomes.order_log(
             self.orders,
@@ -54,11 +55,11 @@ class Inputs:
             outcomes.failed_orders(self.validations, self.orders),
         )
 
-    @property
+    @cached_property
     def state(self) -> DataFrame:
         return outcomes.order_state(self.log)
 
-    @property
+    @cached_property
     def wire(self) -> DataFrame:
         """Orders as JSON text, some of it cut off, misspelt or without numbers."""
         start = F.concat(F.lit('{"id":"'), F.col("id").cast("string"), F.lit('","status":'))
@@ -71,7 +72,7 @@ class Inputs:
         )
         return self.orders.select("id", value.alias("value"), "ts", "seq")
 
-    @property
+    @cached_property
     def topics(self) -> dict[str, DataFrame]:
         return {
             schemas.ORDERS: topics.encode_orders(self.orders),
