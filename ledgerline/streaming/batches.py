@@ -6,34 +6,46 @@ ever, and what they must remember goes to a state table. Every micro-batch write
 results and then its state into folders of its own, each only once: a batch that is
 run again after a failure leaves complete folders alone, so readers of the results see
 every row exactly once.
+
+With state keys, a micro-batch works on and writes only the keys it touches; every so
+often one writes the state of all keys instead and lets old ones go.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgerline.operators import last_per_key
 from ledgerline.session import complete, delete, scratch_tables
 
 # Remembered rows per state partition of a small query, see state_partitions.
 ROWS_PER_STATE = 100_000
-# States older than this many batches are deleted; a replay needs only the last one.
-STATES_KEPT = 10
+# Every how many micro-batches the state of all keys is written.
+WHOLE_STATE_EVERY = 20
 
 
 class Step(NamedTuple):
-    """What to do with a micro-batch; ``known`` is the state before it, or None."""
+    """What to do with a micro-batch; ``known`` is the state before it, or None.
+
+    Without ``keys`` the state is small and written whole each time. With ``keys`` it
+    has one row per key, and ``known`` holds the keys of the micro-batch only.
+    """
 
     apply: Callable[[DataFrame, DataFrame | None], DataFrame]
     # (rows of apply, micro-batch, known) -> the state after it
     remember: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]
     # rows of apply -> result rows
     emit: Callable[[DataFrame], DataFrame]
+    keys: Sequence[str] = ()
+    # (state of all keys, rows of apply) -> what must still be remembered
+    expire: Callable[[DataFrame, DataFrame], DataFrame] = lambda state, rows: state
 
 
 def run_batches(
@@ -43,31 +55,53 @@ def run_batches(
     state: str,
     checkpoint: str,
     trigger: dict | None = None,
+    whole_state_every: int = WHOLE_STATE_EVERY,
 ) -> StreamingQuery:
     """Start a query that applies ``step`` to each micro-batch and its state.
 
     ``results`` gets a folder per micro-batch; see ``read_batches``. The source's rate
     limits (maxFilesPerTrigger, maxOffsetsPerTrigger) bound a micro-batch.
     """
+    keys = list(step.keys)
+    every = whole_state_every if keys else 1
+
+    def written(spark: SparkSession, number: int) -> DataFrame | None:
+        """The states written since the last whole one before this micro-batch."""
+        if number == 0:
+            return None
+        if not complete(spark, before := f"{state}/batch={number - 1}"):
+            raise FileNotFoundError(f"no state of the batch before: {before}")
+        whole = (number - 1) // every * every
+        paths = [f"{state}/batch={n}" for n in range(whole, number)]
+        return spark.read.option("basePath", state).parquet(*paths)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         out, after = f"{results}/batch={number}", f"{state}/batch={number}"
         if complete(spark, after):
             return
-        before = f"{state}/batch={number - 1}"
-        if number > 0 and not complete(spark, before):
-            raise FileNotFoundError(f"no state of the batch before: {before}")
-        known = spark.read.parquet(before) if number > 0 else None
+        states = written(spark, number)
         batch = batch.persist()
         with scratch_tables(spark):
+            known = states
+            if known is not None and keys:
+                touched = known.join(batch.select(*keys).distinct(), keys, "left_semi")
+                known = last_per_key(touched, keys, ["batch"])
+            known = known if known is None else known.drop("batch")
             rows = step.apply(batch, known).persist()
             if not complete(spark, out):
                 step.emit(rows).write.mode("overwrite").parquet(out)
-            step.remember(rows, batch, known).write.mode("overwrite").parquet(after)
+            kept = step.remember(rows, batch, known)
+            if keys and number % every == 0:
+                if states is not None:
+                    now = kept.withColumn("batch", F.lit(number))
+                    kept = last_per_key(states.unionByName(now), keys, ["batch"]).drop("batch")
+                kept = step.expire(kept, rows)
+            kept.write.mode("overwrite").parquet(after)
         rows.unpersist()
         batch.unpersist()
-        delete(spark, f"{state}/batch={number - STATES_KEPT}")
+        # A replay needs the states since the last whole one, at most.
+        delete(spark, f"{state}/batch={number - 2 * every}")
 
     return (
         stream.writeStream.foreachBatch(write)

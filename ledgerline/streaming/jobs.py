@@ -20,7 +20,7 @@ from ledgerline.operators import (
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
 from ledgerline.operators.times import interval_text
 from ledgerline.plans import checks, outcomes, topics
-from ledgerline.streaming.batches import Step, run_batches
+from ledgerline.streaming.batches import WHOLE_STATE_EVERY, Step, run_batches
 
 def append(
     df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
@@ -36,6 +36,12 @@ def append(
     )
 
 
+def _newer_than(df: DataFrame, ts: str, newest: DataFrame, age: timedelta) -> DataFrame:
+    """Rows whose ``ts`` is at most ``age`` before the one value in ``newest``."""
+    (last,) = newest.first()
+    return df if last is None else df.where(F.col(ts) >= F.lit(last) - F.lit(age))
+
+
 def running_step(
     keys: Sequence[str],
     gap: timedelta,
@@ -99,13 +105,12 @@ def running_step(
             mins={"began": F.col("began")},
             rows_per_block=rows_per_block,
         ).select(*keys, "last_ts", "total", "began")
-        state = last_per_key(sessions, keys, ["last_ts"])
-        newest = rows.agg(F.max("place")).first()[0]
-        if newest is None:
-            return state
-        return state.where(F.col("last_ts") >= F.lit(newest) - F.lit(gap + delay))
+        return last_per_key(sessions, keys, ["last_ts"])
+
+    def expire(state: DataFrame, rows: DataFrame) -> DataFrame:
+        return _newer_than(state, "last_ts", rows.agg(F.max("place")), gap + delay)
 
-    return Step(apply, remember, lambda rows: emit(rows.where("new")))
+    return Step(apply, remember, lambda rows: emit(rows.where("new")), keys, expire)
 
 
 def reservation_step(
@@ -179,6 +184,7 @@ def fraud_check(
     delay: timedelta = schemas.SPEND_DELAY,
     rows_per_block: int = ROWS_PER_BLOCK,
     trigger: dict | None = None,
+    whole_state_every: int = WHOLE_STATE_EVERY,
 ) -> StreamingQuery:
     created = checks.created(orders).select("id", "customer_id", "price", "quantity", "ts", "seq")
     step = running_step(
@@ -190,7 +196,7 @@ def fraud_check(
         checks.fraud_verdicts,
         rows_per_block,
     )
-    return run_batches(created, step, path, state, checkpoint, trigger)
+    return run_batches(created, step, path, state, checkpoint, trigger, whole_state_every)
 
 
 def inventory_check(
@@ -216,6 +222,7 @@ def pass_counts(
     delay: timedelta = schemas.COUNT_DELAY,
     rows_per_block: int = ROWS_PER_BLOCK,
     trigger: dict | None = None,
+    whole_state_every: int = WHOLE_STATE_EVERY,
 ) -> StreamingQuery:
     """Each verdict with its order's running PASS count, for ``validated_orders``."""
     verdicts = validations.select("order_id", "type", "result", "ts", "seq")
@@ -228,7 +235,7 @@ def pass_counts(
         lambda rows: rows.select("order_id", "passes", "ts", "seq"),
         rows_per_block,
     )
-    return run_batches(verdicts, step, path, state, checkpoint, trigger)
+    return run_batches(verdicts, step, path, state, checkpoint, trigger, whole_state_every)
 
 
 def validated_orders(
@@ -280,13 +287,12 @@ def first_step(keys: Sequence[str], order: Sequence[str], ts: str, delay: timede
         return firsts if known is None else firsts.join(known, keys, "left_anti")
 
     def remember(rows: DataFrame, batch: DataFrame, known: DataFrame | None) -> DataFrame:
-        seen = rows.select(*keys, ts)
-        if known is not None:
-            seen = seen.unionByName(known)
-        newest = seen.agg(F.max(ts)).first()[0]
-        return seen if newest is None else seen.where(F.col(ts) >= F.lit(newest) - F.lit(delay))
+        return rows.select(*keys, ts)
+
+    def expire(state: DataFrame, rows: DataFrame) -> DataFrame:
+        return _newer_than(state, ts, state.agg(F.max(ts)), delay)
 
-    return Step(apply, remember, lambda rows: rows.drop(ts))
+    return Step(apply, remember, lambda rows: rows.drop(ts), keys, expire)
 
 
 def failed_orders(
@@ -297,6 +303,7 @@ def failed_orders(
     checkpoint: str,
     delay: timedelta = schemas.COUNT_DELAY,
     trigger: dict | None = None,
+    whole_state_every: int = WHOLE_STATE_EVERY,
 ) -> StreamingQuery:
     """FAILED updates, one per order, by an interval join of FAILs with the orders.
 
@@ -307,7 +314,7 @@ def failed_orders(
         orders.withWatermark("ts", interval_text(delay)),
     )
     step = first_step(["id"], ["ts", "seq"], "order_ts", delay)
-    return run_batches(updates, step, path, state, checkpoint, trigger)
+    return run_batches(updates, step, path, state, checkpoint, trigger, whole_state_every)
 
 
 def order_state(

@@ -59,8 +59,8 @@ def places(tmp_path, name):
     return [str(tmp_path / f"{name}-{kind}") for kind in ("out", "state", "checkpoint")]
 
 
-@pytest.mark.parametrize("block", [20, 10**6])
-def test_fraud_check(spark, tmp_path, block):
+@pytest.mark.parametrize("block,whole_state_every", [(20, 3), (10**6, 1), (10**6, 20)])
+def test_fraud_check(spark, tmp_path, block, whole_state_every):
     rows = make_orders(spark, 11, 400)
     topic = sliced(spark, tmp_path, "orders", rows, 32)
     assert topic.table().count() == rows.count()
@@ -68,11 +68,17 @@ def test_fraud_check(spark, tmp_path, block):
     scratch = checkpoint_dir(spark)
     before = os.listdir(scratch)
     jobs.fraud_check(
-        topic.stream(), out, state, checkpoint, rows_per_block=block
+        topic.stream(),
+        out,
+        state,
+        checkpoint,
+        rows_per_block=block,
+        whole_state_every=whole_state_every,
     ).awaitTermination()
     assert os.listdir(scratch) == before
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == topic.files
-    assert len([d for d in os.listdir(state) if d.startswith("batch=")]) == topic.files
+    states = len([d for d in os.listdir(state) if d.startswith("batch=")])
+    assert states == min(topic.files, 2 * whole_state_every)
     assert text(batches.read_batches(spark, out)) == text(checks.fraud_check(rows))
 
 
