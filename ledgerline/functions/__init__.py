@@ -1,19 +1,21 @@
 from ledgerline.functions.records import (
-    decode_json,
     encode_order,
     encode_validation,
     history_header,
     is_sane_order,
+    parse_json,
+    parsed_field,
     spend,
     verdict,
 )
 
 __all__ = [
-    "decode_json",
     "encode_order",
     "encode_validation",
     "history_header",
     "is_sane_order",
+    "parse_json",
+    "parsed_field",
     "spend",
     "verdict",
 ]

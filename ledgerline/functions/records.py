@@ -45,27 +45,23 @@ def encode_validation() -> Column:
     return _to_json(schemas.JSON_VALIDATION)
 
 
-def decode_json(value: Column, schema: T.StructType, names: dict[str, str]) -> Column:
-    """Decode a JSON value to a struct with ``schema``'s columns plus ``corrupt``.
+def parse_json(value: Column, schema: T.StructType, names: dict[str, str]) -> Column:
+    """Parse a JSON value by its field ``names``, a struct of the fields and ``corrupt``.
 
-    ``corrupt`` holds the text of a value that is not a record of that type and is
-    null otherwise. Absent numbers become 0, as numeric fields are never null.
+    ``corrupt`` holds the text of a value that is not a record of that type, else null.
     """
-    wire = T.StructType(
-        [T.StructField(names[f.name], f.dataType) for f in schema.fields]
-        + [T.StructField("corrupt", T.StringType())]
-    )
-    parsed = F.from_json(
-        value, wire, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
-    )
-
-    def field(f: T.StructField) -> Column:
-        column = parsed[names[f.name]]
-        if isinstance(f.dataType, (T.IntegerType, T.LongType)):
-            column = F.coalesce(column, F.lit(0).cast(f.dataType))
-        return column.alias(f.name)
-
-    return F.struct(*[field(f) for f in schema.fields], parsed["corrupt"].alias("corrupt"))
+    fields = [T.StructField(names[f.name], f.dataType) for f in schema.fields]
+    wire = T.StructType([*fields, T.StructField("corrupt", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+    return F.from_json(value, wire, options)
+
+
+def parsed_field(parsed: str, field: T.StructField, names: dict[str, str]) -> Column:
+    """A field of a parsed value; absent numbers are 0, as they are never null."""
+    column = F.col(f"{parsed}.{names[field.name]}")
+    if isinstance(field.dataType, (T.IntegerType, T.LongType)):
+        column = F.coalesce(column, F.lit(0).cast(field.dataType))
+    return column
 
 
 def history_header(topic: Column) -> Column:

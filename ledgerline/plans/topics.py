@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline import schemas
-from ledgerline.functions import decode_json, encode_order, encode_validation, history_header
+from ledgerline.functions import (
+    encode_order,
+    encode_validation,
+    history_header,
+    parse_json,
+    parsed_field,
+)
 from ledgerline.operators import tag_and_union
 
 
@@ -35,10 +41,6 @@ def ingest_orders(requests: DataFrame) -> DataFrame:
     )
 
 
-def _known(column: str, values: tuple[str, ...]):
-    return F.col(column).isNull() | F.col(column).isin(*values)
-
-
 def decode(
     records: DataFrame,
     schema: T.StructType,
@@ -50,12 +52,17 @@ def decode(
     A record is rejected when it is not JSON of its type or has a value outside a
     field's list; ``reject`` then holds its text. Nothing is dropped here.
     """
-    decoded = records.withColumn("record", decode_json(F.col("value"), schema, dict(names)))
-    valid = F.col("value").isNotNull() & F.col("record.corrupt").isNull()
+    names = dict(names)
+    # A generated column is not inlined into filters on it: each record is parsed once.
+    parsed = records.withColumn(
+        "parsed", F.explode(F.array(parse_json(F.col("value"), schema, names)))
+    )
+    valid = F.col("value").isNotNull() & F.col("parsed.corrupt").isNull()
     for column, values in domains.items():
-        valid = valid & _known(f"record.{column}", values)
-    return decoded.select(
-        *[F.when(valid, F.col(f"record.{f.name}")).alias(f.name) for f in schema.fields],
+        field = F.col(f"parsed.{names[column]}")
+        valid = valid & (field.isNull() | field.isin(*values))
+    return parsed.select(
+        *[F.when(valid, parsed_field("parsed", f, names)).alias(f.name) for f in schema.fields],
         *_envelope(records),
         F.when(~valid, F.coalesce("value", F.lit(""))).alias("reject"),
     )
