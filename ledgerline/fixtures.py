@@ -82,9 +82,9 @@ def inventory(orders: DataFrame) -> DataFrame:
         .select("product", "demand", step.alias("step"))
         .select(
             "product",
-            F.when(~deleted, F.floor(F.col("demand") * F.col("step.tenths") / 10).cast("int")).alias(
-                "stock"
-            ),
+            F.when(
+                ~deleted, F.floor(F.col("demand") * F.col("step.tenths") / 10).cast("int")
+            ).alias("stock"),
             F.col("step.ts").alias("ts"),
             F.col("step.seq").alias("seq"),
         )

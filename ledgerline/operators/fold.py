@@ -157,9 +157,10 @@ def ordered_fold(
 ) -> DataFrame:
     """Add ``column``: the fold's result for each row, per key in ``order``.
 
-    Rows without a key are left out, ``fold.columns`` must not be null. ``rows`` may be split already, by an ordered
-    operator before this one; its parts must be readable again. ``starts`` has the
-    columns keys and ``start``: the state of keys that do not begin at ``fold.start``.
+    Rows without a key are left out, ``fold.columns`` must not be null. ``rows`` may be
+    split already, by an ordered operator before this one; its parts must be readable
+    again. ``starts`` has the columns keys and ``start``: the state of keys that do not
+    begin at ``fold.start``.
     """
     keys, order = list(keys), list(order)
     if isinstance(rows, DataFrame):

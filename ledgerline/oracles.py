@@ -163,7 +163,9 @@ state_v AS (
 
 OUTCOMES = outcomes("validations_v")
 LIFECYCLE = outcomes("checked_v")
-SESSIONS = "(SELECT *, row_number() OVER (PARTITION BY {0}, session ORDER BY ts DESC, seq DESC) AS newest FROM {1})"
+SESSIONS = """
+  (SELECT *, row_number() OVER (PARTITION BY {0}, session ORDER BY ts DESC, seq DESC) AS newest
+   FROM {1})"""
 
 
 def _sql(*parts: str) -> str:
@@ -318,7 +320,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "failed_orders_raw": _sql(*logged, f"SELECT {order_columns}, seq FROM failed_raw_v"),
         "failed_orders": _sql(*logged, f"SELECT {order_columns}, seq FROM failed_v"),
-        "order_lifecycle": _sql(*checks, CHECKED, LIFECYCLE, f"SELECT {order_columns} FROM state_v"),
+        "order_lifecycle": _sql(
+            *checks, CHECKED, LIFECYCLE, f"SELECT {order_columns} FROM state_v"
+        ),
     }
     # The same operators with every key cut into small blocks, as a hot key would be.
     for name in (

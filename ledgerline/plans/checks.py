@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from ledgerline import schemas
 from ledgerline.functions import is_sane_order, spend, verdict
-from ledgerline.operators import asof_join, asof_parts, ordered_fold, session_aggregate, session_running
+from ledgerline.operators import (
+    asof_join,
+    asof_parts,
+    ordered_fold,
+    session_aggregate,
+    session_running,
+)
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
 from ledgerline.operators.fold import StockReservation
 

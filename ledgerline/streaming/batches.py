@@ -26,7 +26,7 @@ from ledgerline.operators import last_per_key
 from ledgerline.session import complete, delete, scratch_tables
 
 # Remembered rows per state partition of a small query, see state_partitions.
-ROWS_PER_STATE = 100_000
+ROWS_PER_STATE = 10_000
 # Every how many micro-batches the state of all keys is written.
 WHOLE_STATE_EVERY = 20
 

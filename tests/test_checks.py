@@ -115,7 +115,8 @@ def make_orders(spark, seed, n, start=0):
         moment = at(minutes=i * r.choice([1, 1, 1, 1, 2]), seconds=r.randrange(3))
         if r.random() < 0.02:
             moment = at(minutes=2 * i, hours=3)
-        rows.append((i, "CREATED", product, r.randrange(-1, 9), r.randrange(200), customer, moment, i))
+        quantity, price = r.randrange(-1, 9), r.randrange(200)
+        rows.append((i, "CREATED", product, quantity, price, customer, moment, i))
     return spark.createDataFrame(rows, ORDER)
 
 
