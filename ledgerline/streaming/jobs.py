@@ -20,6 +20,7 @@ from ledgerline.operators import (
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
 from ledgerline.operators.times import interval_text
 from ledgerline.plans import checks, outcomes, topics
+from ledgerline.session import complete
 from ledgerline.streaming.batches import WHOLE_STATE_EVERY, Step, run_batches
 
 def append(
@@ -327,7 +328,9 @@ def order_state(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        out = f"{path}/batch={number}"
+        if not complete(batch.sparkSession, out):
+            batch.write.mode("overwrite").parquet(out)
 
     return (
         outcomes.order_state(log)
