@@ -2,21 +2,23 @@
 
 A pre-token is a match of the pattern. Blocks of documents are cut into pre-tokens; a block
 lists its distinct ones and, per position, which of them stands there. Only the lists are
-shuffled by word, so that every distinct word of the corpus meets in one place and is
-encoded there once; its ids go back to the blocks, where the documents are put together by
-position. However common a word is, a block sends it once, so no word is a hot key.
+shuffled by the hash of the word, so that every distinct word of the corpus meets in one
+place and is encoded there once; its ids go back to the blocks, where the documents are put
+together by position. However common a word is, a block sends it once, so no word is a hot
+key. What a block sends to one bucket of words is one compressed row.
 
 Decoding looks every id up in the token-byte table (one row per rank, broadcast).
 
 Blocks are cut twice, once for the words and once for the positions, which costs less than
 shuffling the positions with the words would. Both passes number the words alike, as they
-read the same splits; a check sum of the list in both makes sure of it.
+read the same splits; a check sum of the words in both makes sure of it.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +30,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.shared import Cache
 from ledgerline.llm.units import SPLIT, numbers, ragged, slices
 
-WORDS = "block long, word int, bytes binary"
-BLOCKS = f"{WORDS}, payload binary"
+# bucket -1 is a block's positions; others are words, and their ids after encoding.
+PACKED = "block long, bucket int, packed binary"
+_NAMES = ["block", "bucket", "packed"]
 
 
 def ranks(spark: SparkSession, path: str) -> DataFrame:
@@ -41,14 +45,29 @@ def ranks(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, bytes binary")
 
 
-def _cut(text_pattern: str):
-    """Blocks of (doc ids, numbers per position, how many per document, words)."""
-    matches = regex.compile(text_pattern).findall
+def _pack(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def _unpack(packed: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed)
+
+
+def _row(block: int, bucket: int, packed: bytes) -> pa.RecordBatch:
+    columns = [pa.array([block]), pa.array([bucket], pa.int32()), pa.array([packed], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
+
+
+def _cut(pattern: str, buckets: int):
+    """Blocks of documents: doc ids, lengths, positions, words by bucket, their hashes.
+
+    Words are numbered bucket by bucket; ``ends`` says where each bucket ends.
+    """
+    matches = regex.compile(pattern).findall
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         count = 0
         for batch in batches:
-            partition = batch["split"][0].as_py() if batch.num_rows else 0
             for at, n in slices(batch["text"]):
                 part = batch.slice(at, n)
                 place: dict[str, int] = {}
@@ -58,117 +77,113 @@ def _cut(text_pattern: str):
 
                 flat, start, length = numbers(part["text"], make)
                 words = [w.encode() for w in place]
-                yield (partition << 24) + count, part["doc_id"], ragged(flat, start, length), length, words
+                del place
+                sums = np.array([zlib.crc32(w) for w in words], np.uint32)
+                order = np.argsort(sums % buckets, kind="stable")
+                rank = np.empty(len(words), np.uint32)
+                rank[order] = np.arange(len(words), dtype=np.uint32)
+                ends = np.cumsum(np.bincount(sums % buckets, minlength=buckets))
+                flat = rank[ragged(flat, start, length)]
+                block = (part["split"][0].as_py() << 24) + count
+                yield block, part["doc_id"], length, flat, [words[i] for i in order], sums[order], ends
                 count += 1
 
     return blocks
 
 
-def check_sum(words: list[bytes]) -> int:
-    """Of the words with their numbers."""
-    sums = np.array([zlib.crc32(w) for w in words], np.uint64)
-    return _numbered(sums)
-
-
-def _numbered(sums: np.ndarray) -> int:
-    number = np.arange(1, len(sums) + 1, dtype=np.uint64)
-    return int((sums * number).sum() % np.uint64(2**62))
-
-
-def _list_words(pattern: str):
-    cut = _cut(pattern)
+def _list_words(pattern: str, buckets: int):
+    cut = _cut(pattern, buckets)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, _, words in cut(batches):
-            n = len(words)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary())],
-                ["block", "word", "bytes"],
-            )
+        for block, _, _, _, words, _, ends in cut(batches):
+            start = 0
+            for bucket, end in enumerate(ends.tolist()):
+                if end > start:
+                    part = words[start:end]
+                    sizes = np.array([end - start, *map(len, part)], "<u4")
+                    yield _row(block, bucket, _pack(sizes.tobytes(), *part))
+                start = end
 
     return words
 
 
-def _positions(pattern: str):
-    cut = _cut(pattern)
+def _positions(pattern: str, buckets: int):
+    cut = _cut(pattern, buckets)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=1).compress
-        for block, ids, flat, length, words in cut(batches):
-            ids = pc.fill_null(ids, 0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
-            head = np.array([len(words), check_sum(words), len(length)], "<i8")
-            small = len(words) <= 2**16
-            body = b"".join([
-                head.tobytes(), ids[0].astype("<i8").tobytes(), ids[1].astype("u1").tobytes(),
-                length.astype("<i8").tobytes(), flat.astype("<u2" if small else "<u4").tobytes(),
-            ])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([-1], pa.int32()), pa.array([None], pa.binary()), pa.array([compress(body)], pa.binary())],
-                ["block", "word", "bytes", "payload"],
-            )
+        for block, ids, length, flat, _, sums, _ in cut(batches):
+            missing = ids.is_null().to_numpy(zero_copy_only=False).astype("u1")
+            head = np.array([len(sums), check_sum(sums), len(length)], "<i8")
+            ids = pc.fill_null(ids, 0).to_numpy().astype("<i8")
+            small = "<u2" if len(sums) <= 2**16 else "<u4"
+            arrays = head, ids, length.astype("<i8"), missing, flat.astype(small)
+            yield _row(block, -1, _pack(*(x.tobytes() for x in arrays)))
 
     return positions
 
 
+def check_sum(sums: np.ndarray) -> int:
+    """Of the words' hashes in their order."""
+    number = np.arange(1, len(sums) + 1, dtype=np.uint64)
+    return int((sums.astype(np.uint64) * number).sum() % np.uint64(2**62))
+
+
 def _encode_words(table, pattern: str):
+    """Rows of words as rows of their hashes, numbers of ids and ids."""
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=table.value, special_tokens={}
         )
-        last, ids = None, b""
+        known = Cache(lambda w: array("I", encoding.encode_ordinary(w.decode())).tobytes())
         for batch in batches:
-            out = []
-            for word in batch["bytes"].to_pylist():
-                if word != last:
-                    last = word
-                    ids = np.array(encoding.encode_ordinary(word.decode()), "<u4").tobytes()
-                out.append((ids, word))
-            sums = [zlib.crc32(word) for _, word in out]  # of the word itself
-            yield pa.RecordBatch.from_arrays(
-                [batch["block"], batch["word"], pa.array([i for i, _ in out], pa.binary()), pa.array(sums, pa.int64())],
-                ["block", "word", "ids", "sum"],
-            )
+            for block, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = _unpack(packed)
+                n = int(np.frombuffer(raw, "<u4", 1)[0])
+                ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)) + 4 + 4 * n
+                edges = [4 + 4 * n, *ends.tolist()]
+                words = [raw[i:j] for i, j in zip(edges, edges[1:], strict=False)]
+                ids = [known[w] for w in words]
+                sums = np.array([n, *map(zlib.crc32, words)], "<u4")
+                counts = np.array([len(x) // 4 for x in ids], "<u4")
+                yield _row(block, bucket, _pack(sums.tobytes(), counts.tobytes(), *ids))
 
     return encode
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each block, from its positions (word -1) and then the ids of its words."""
-    payload, found = None, []
+    """Documents of each block, from its positions (bucket -1) and then its words' ids."""
+    body, found = None, []
     for batch in batches:
-        heads = np.flatnonzero(batch["word"].to_numpy() < 0).tolist()
-        for i, j in zip([-1, *heads], [*heads, batch.num_rows], strict=True):
-            if i >= 0:
-                if payload is not None:
-                    yield from _documents(payload, found)
-                payload, found = batch["payload"][i].as_py(), []
-            if j > i + 1:
-                found.append(batch.slice(i + 1, j - i - 1).select(["word", "ids", "sum"]))
-    if payload is not None:
-        yield from _documents(payload, found)
-
-
-def _documents(payload: bytes, found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    body = zstandard.ZstdDecompressor().decompress(payload)
-    n_words, check, n = np.frombuffer(body, "<i8", 3)
+        for bucket, packed in zip(batch["bucket"].to_pylist(), batch["packed"], strict=True):
+            if bucket < 0:
+                if body is not None:
+                    yield from _documents(body, found)
+                body, found = _unpack(packed.as_py()), []
+            else:
+                found.append(_unpack(packed.as_py()))
+    if body is not None:
+        yield from _documents(body, found)
+
+
+def _documents(body: bytes, found: list[bytes]) -> Iterator[pa.RecordBatch]:
+    n_words, check, n = np.frombuffer(body, "<i8", 3).tolist()
     doc_ids = np.frombuffer(body, "<i8", n, 24)
-    missing = np.frombuffer(body, "u1", n, 24 + 8 * n).astype(bool)
-    length = np.frombuffer(body, "<i8", n, 24 + 9 * n)
-    flat = np.frombuffer(body, "<u2" if n_words <= 2**16 else "<u4", offset=24 + 17 * n).astype(np.int64)
-    words = pa.Table.from_batches(found).combine_chunks() if found else None
-    if (0 if words is None else words.num_rows) != n_words:
-        raise ValueError("a block's words and positions differ")  # another split was read
-    if words is None:
-        ids, starts, sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-    else:
-        if _numbered(words["sum"].to_numpy().astype(np.uint64)) != check:
-            raise ValueError("a block's words and positions differ")
-        packed = words["ids"].combine_chunks()
-        ids = np.frombuffer(b"".join(packed.to_pylist()), "<i4")
-        sizes = pc.binary_length(packed).to_numpy() // 4
-        starts = np.cumsum(sizes) - sizes
+    length = np.frombuffer(body, "<i8", n, 24 + 8 * n)
+    missing = np.frombuffer(body, "u1", n, 24 + 16 * n).astype(bool)
+    flat = np.frombuffer(body, "<u2" if n_words <= 2**16 else "<u4", offset=24 + 17 * n)
+    sums, sizes, ids = [np.empty(0, "<u4")], [np.empty(0, "<u4")], [np.empty(0, "<i4")]
+    for raw in found:
+        k = int(np.frombuffer(raw, "<u4", 1)[0])
+        sums.append(np.frombuffer(raw, "<u4", k, 4))
+        sizes.append(np.frombuffer(raw, "<u4", k, 4 + 4 * k))
+        ids.append(np.frombuffer(raw, "<i4", offset=4 + 8 * k))
+    sums, sizes, ids = np.concatenate(sums), np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
+    if len(sums) != n_words or check_sum(sums) != check:
+        raise ValueError("a block's words and positions differ")
+    starts = np.cumsum(sizes) - sizes
     ends = np.concatenate([[0], np.cumsum(length)])
-    step = 2000
+    step = 1000
     for at in range(0, n, step):
         last = min(n, at + step)
         part = flat[ends[at] : ends[last]]
@@ -195,19 +210,17 @@ def encode(docs: DataFrame, table: DataFrame, pattern: str = SPLIT) -> DataFrame
     )
     by_bytes = {bytes(r.bytes): r.id for r in table.collect()}  # a row per rank
     broadcast = docs.sparkSession.sparkContext.broadcast(by_bytes)
-    words = (
-        docs.mapInArrow(_list_words(pattern), WORDS)
-        .repartition("bytes")
-        .sortWithinPartitions("bytes")
-        .mapInArrow(_encode_words(broadcast, pattern), "block long, word int, ids binary, sum long")
-    )
-    positions = docs.mapInArrow(_positions(pattern), BLOCKS)
-    both = words.select("block", "word", "ids", "sum", F.lit(None).cast("binary").alias("payload")).union(
-        positions.select("block", "word", F.lit(None).cast("binary"), F.lit(None).cast("long"), "payload")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = (
+        docs.mapInArrow(_list_words(pattern, buckets), PACKED)
+        .repartition("bucket")
+        .mapInArrow(_encode_words(broadcast, pattern), PACKED)
     )
     return (
-        both.repartition("block")
-        .sortWithinPartitions("block", "word")
+        docs.mapInArrow(_positions(pattern, buckets), PACKED)
+        .union(ids)
+        .repartition("block")
+        .sortWithinPartitions("block", "bucket")
         .mapInArrow(_assemble, "doc_id long, ids array<int>")
     )
 

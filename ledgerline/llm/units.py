@@ -21,16 +21,22 @@ _ODD = (
     r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}"
     r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\A\z"
 )
-SLICE_BYTES = 16_000_000
+SLICE_BYTES = 10_000_000
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, length) of runs of texts of about SLICE_BYTES."""
+    """(first, length) of runs of texts of about equal size, SLICE_BYTES at most.
+
+    A longer text is a run of its own.
+    """
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    if not len(size):
+        return
+    each = size[-1] / max(1, -(-int(size[-1]) // SLICE_BYTES))
     at = 0
     while at < len(size):
         done = size[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(size, done + SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(size, done + each + 1, "right")))
         yield at, end - at
         at = end
 
