@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from ledgerline.llm.shared import Cache
 from ledgerline.llm.units import SPLIT, numbers, ragged, slices
 
-# bucket -1 is a block's positions; others are words, and their ids after encoding.
+# A block's positions are in pieces with buckets below 0, in order; others are words, and
+# their ids after encoding. Pieces are small, so that no row takes much memory.
+PIECE_BYTES = 200_000
 PACKED = "block long, bucket int, packed binary"
 _NAMES = ["block", "bucket", "packed"]
 
@@ -59,9 +61,9 @@ def _row(block: int, bucket: int, packed: bytes) -> pa.RecordBatch:
 
 
 def _cut(pattern: str, buckets: int):
-    """Blocks of documents: doc ids, lengths, positions, words by bucket, their hashes.
+    """Blocks of documents: doc ids, lengths, positions, words, their hashes.
 
-    Words are numbered bucket by bucket; ``ends`` says where each bucket ends.
+    Words are numbered by how often they occur, so that most positions are small numbers.
     """
     matches = regex.compile(pattern).findall
 
@@ -78,14 +80,14 @@ def _cut(pattern: str, buckets: int):
                 flat, start, length = numbers(part["text"], make)
                 words = [w.encode() for w in place]
                 del place
-                sums = np.array([zlib.crc32(w) for w in words], np.uint32)
-                order = np.argsort(sums % buckets, kind="stable")
+                flat = ragged(flat, start, length)
+                order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+                words = [words[i] for i in order.tolist()]
                 rank = np.empty(len(words), np.uint32)
                 rank[order] = np.arange(len(words), dtype=np.uint32)
-                ends = np.cumsum(np.bincount(sums % buckets, minlength=buckets))
-                flat = rank[ragged(flat, start, length)]
+                sums = np.array([zlib.crc32(w) for w in words], np.uint32)
                 block = (part["split"][0].as_py() << 24) + count
-                yield block, part["doc_id"], length, flat, [words[i] for i in order], sums[order], ends
+                yield block, part["doc_id"], length, rank[flat], words, sums
                 count += 1
 
     return blocks
@@ -95,14 +97,16 @@ def _list_words(pattern: str, buckets: int):
     cut = _cut(pattern, buckets)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, _, _, words, _, ends in cut(batches):
+        for block, _, _, _, words, sums in cut(batches):
+            bucket = sums % buckets
+            order = np.argsort(bucket, kind="stable").tolist()
             start = 0
-            for bucket, end in enumerate(ends.tolist()):
-                if end > start:
-                    part = words[start:end]
-                    sizes = np.array([end - start, *map(len, part)], "<u4")
-                    yield _row(block, bucket, _pack(sizes.tobytes(), *part))
-                start = end
+            for b, n in enumerate(np.bincount(bucket, minlength=buckets).tolist()):
+                if n:
+                    part = [words[i] for i in order[start : start + n]]
+                    sizes = np.array([n, *map(len, part)], "<u4")
+                    yield _row(block, b, _pack(sizes.tobytes(), *part))
+                start += n
 
     return words
 
@@ -111,13 +115,18 @@ def _positions(pattern: str, buckets: int):
     cut = _cut(pattern, buckets)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, length, flat, _, sums, _ in cut(batches):
+        for block, ids, length, flat, _, sums in cut(batches):
             missing = ids.is_null().to_numpy(zero_copy_only=False).astype("u1")
-            head = np.array([len(sums), check_sum(sums), len(length)], "<i8")
+            head = np.array([len(sums), check_sum(sums), len(length), len(flat)], "<i8")
             ids = pc.fill_null(ids, 0).to_numpy().astype("<i8")
-            small = "<u2" if len(sums) <= 2**16 else "<u4"
-            arrays = head, ids, length.astype("<i8"), missing, flat.astype(small)
-            yield _row(block, -1, _pack(*(x.tobytes() for x in arrays)))
+            # Positions byte by byte: the high bytes are mostly 0.
+            planes = [(flat >> shift).astype("u1") for shift in (0, 8, 16, 24)]
+            bucket = (sums % buckets).astype("<u4")
+            arrays = head, ids, length.astype("<i8"), missing, bucket, *planes
+            packed = _pack(*(x.tobytes() for x in arrays))
+            pieces = -(-len(packed) // PIECE_BYTES)
+            for i in range(pieces):
+                yield _row(block, i - pieces, packed[i * PIECE_BYTES : (i + 1) * PIECE_BYTES])
 
     return positions
 
@@ -152,36 +161,47 @@ def _encode_words(table, pattern: str):
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of each block, from its positions (bucket -1) and then its words' ids."""
-    body, found = None, []
+    """Documents of each block, from its positions and then its words' ids by bucket."""
+    block, body, found = None, [], []
     for batch in batches:
-        for bucket, packed in zip(batch["bucket"].to_pylist(), batch["packed"], strict=True):
-            if bucket < 0:
-                if body is not None:
-                    yield from _documents(body, found)
-                body, found = _unpack(packed.as_py()), []
-            else:
-                found.append(_unpack(packed.as_py()))
-    if body is not None:
-        yield from _documents(body, found)
-
-
-def _documents(body: bytes, found: list[bytes]) -> Iterator[pa.RecordBatch]:
-    n_words, check, n = np.frombuffer(body, "<i8", 3).tolist()
-    doc_ids = np.frombuffer(body, "<i8", n, 24)
-    length = np.frombuffer(body, "<i8", n, 24 + 8 * n)
-    missing = np.frombuffer(body, "u1", n, 24 + 16 * n).astype(bool)
-    flat = np.frombuffer(body, "<u2" if n_words <= 2**16 else "<u4", offset=24 + 17 * n)
+        columns = batch["block"].to_pylist(), batch["bucket"].to_pylist(), batch["packed"]
+        for of, bucket, packed in zip(*columns, strict=True):
+            if of != block:
+                if block is not None:
+                    yield from _documents(b"".join(body), found)
+                block, body, found = of, [], []
+            (body if bucket < 0 else found).append(packed.as_py())
+    if block is not None:
+        yield from _documents(b"".join(body), found)
+
+
+def _documents(packed: bytes, found: list[bytes]) -> Iterator[pa.RecordBatch]:
+    body = _unpack(packed)
+    n_words, check, n, total = np.frombuffer(body, "<i8", 4).tolist()
+    doc_ids = np.frombuffer(body, "<i8", n, 32)
+    length = np.frombuffer(body, "<i8", n, 32 + 8 * n)
+    missing = np.frombuffer(body, "u1", n, 32 + 16 * n).astype(bool)
+    bucket = np.frombuffer(body, "<u4", n_words, 32 + 17 * n)
+    at = 32 + 17 * n + 4 * n_words
+    flat = np.zeros(total, np.uint32)
+    for i in range(4):
+        flat |= np.frombuffer(body, "u1", total, at + i * total).astype(np.uint32) << np.uint32(8 * i)
     sums, sizes, ids = [np.empty(0, "<u4")], [np.empty(0, "<u4")], [np.empty(0, "<i4")]
-    for raw in found:
+    for raw in map(_unpack, found):
         k = int(np.frombuffer(raw, "<u4", 1)[0])
         sums.append(np.frombuffer(raw, "<u4", k, 4))
         sizes.append(np.frombuffer(raw, "<u4", k, 4 + 4 * k))
         ids.append(np.frombuffer(raw, "<i4", offset=4 + 8 * k))
+    by_bucket = np.argsort(bucket, kind="stable")
     sums, sizes, ids = np.concatenate(sums), np.concatenate(sizes).astype(np.int64), np.concatenate(ids)
-    if len(sums) != n_words or check_sum(sums) != check:
+    if len(sums) != n_words:
+        raise ValueError("a block's words and positions differ")
+    place = np.empty(n_words, np.int64)
+    place[by_bucket] = np.arange(n_words)
+    starts = (np.cumsum(sizes) - sizes)[place]
+    sums, sizes = sums[place], sizes[place]
+    if check_sum(sums) != check:
         raise ValueError("a block's words and positions differ")
-    starts = np.cumsum(sizes) - sizes
     ends = np.concatenate([[0], np.cumsum(length)])
     step = 1000
     for at in range(0, n, step):
