@@ -4,14 +4,16 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Doc
 with equal sets are one class; one document stands for it. Its MinHash signature is read
 in TREES different orders of columns. Rows sorted by such an order stand beside those
 that share the longest prefix, and a run of rows that share at least MIN_DEPTH columns is
-a region. The depth of a region adapts to the crowd: a document first meets the smallest
-document of the deepest run in which it has company, then that of its whole region.
+a region. The depth of a region adapts to the crowd: a document first meets the most
+central document of the deepest run in which it has company, then that of its whole region,
+where central is who has most company in all its regions.
 
 Those first meetings are confirmed on the full sets, and what they link is one group.
-Regions whose members are not all in one group yet are then completed: every member
-outside the largest group meets every member of another group, and all these pairs are
-confirmed too. So no pair of a region is left out, without writing all pairs of a group
-that is linked already.
+Regions whose members are not all in one group yet are then completed. Regions with common
+members are a family; in a family every member outside the largest group is compared with
+every other member. That is done block by block on the members' sets: a pair of blocks is
+a task, and out of it come links that span what it found, not pairs. So no pair of a region
+is left out, and no rows are made for the pairs of a group.
 
 A pair with a similarity of 0.75 shares no region with probability
 (1 - 0.75^4)^32 = 5e-6, a more similar one with less.
@@ -38,6 +40,9 @@ COLUMNS = 96
 TREES = 32
 MIN_DEPTH = 4
 MAX_DEPTH = 10
+BLOCK = 512
+# Columns of the matrices that hold two blocks' sets: at most 16 MB each.
+SHINGLES_AT_ONCE = 8192
 
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 2**63, COLUMNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,6 +198,103 @@ def _confirm(words: int, similarity: int):
     return confirm
 
 
+def _sets(words: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingles(words).of
+        for batch in batches:
+            found = [of(t) for t in batch["text"].cast(pa.binary()).to_pylist()]
+            right = [i for i, (x, n) in enumerate(zip(found, batch["name"].to_pylist(), strict=True)) if _name(x) == n]
+            part = batch.take(pa.array(right, pa.int64())).select(["rep", "part", "family", "lefts", "rights", "stray"])
+            yield part.append_column("shingles", pa.array([found[i].tobytes() for i in right], pa.binary()))
+
+    return sets
+
+
+def _compare(similarity: int):
+    """Spanning links between one block of a family's strays and one of its members."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = table["left"].to_numpy(zero_copy_only=False).astype(bool)
+        rep, part = table["rep"].to_numpy(), table["part"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        left, right = np.flatnonzero(side), np.flatnonzero(~side)
+        shingle, place, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # Shingles of one set are in no intersection.
+        number = np.cumsum(seen > 1) - 1
+        keep = seen[place] > 1
+        owner, place = owner[keep], number[place[keep]]
+        both = np.zeros((len(left), len(right)), np.float32)
+        row = np.empty(len(sets), np.int64)
+        row[left], row[right] = np.arange(len(left)), np.arange(len(right))
+        for at in range(0, int((seen > 1).sum()), SHINGLES_AT_ONCE):
+            some = (place >= at) & (place < at + SHINGLES_AT_ONCE)
+            sides = []
+            for which, n in ((side, len(left)), (~side, len(right))):
+                mine = some & which[owner]
+                has = np.zeros((n, SHINGLES_AT_ONCE), np.float32)
+                has[row[owner[mine]], place[mine] - at] = 1
+                sides.append(has)
+            both += sides[0] @ sides[1].T
+        either = sizes[left][:, None] + sizes[right][None, :] - both
+        near = (100 * both >= similarity * either) & (part[left][:, None] != part[right][None, :])
+        x, y = np.nonzero(near)
+        reach = rep.copy()
+        while True:
+            new = reach.copy()
+            np.minimum.at(new, left[x], reach[right[y]])
+            np.minimum.at(new, right[y], reach[left[x]])
+            if (new == reach).all():
+                break
+            reach = new
+        at = np.unique(np.concatenate([left[x], right[y]]))
+        return pa.table({"a": rep[at], "b": reach[at]})
+
+    return compare
+
+
+def _completed(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """Links (a, b) of families, between members (region, rep, part) of different parts."""
+    parts = members.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("b"))
+    several = parts.where("low < high").select("region", "b")
+    open_ = materialize(members.join(several, "region").select("rep", "part", "b").distinct())
+    family = components(open_.select(F.col("rep").alias("a"), "b"))
+    of = open_.select("rep", "part").distinct().join(family, open_.rep == family.node).select(
+        "rep", "part", F.col("component").alias("family")
+    )
+    counts = materialize(of.groupBy("family", "part").count())
+    sizes = counts.groupBy("family").agg(
+        F.max(F.struct("count", "part")).alias("top"), F.sum("count").alias("members")
+    )
+    strays = F.col("members") - F.col("top.count")
+    sizes = sizes.select(
+        "family",
+        F.col("top.part").alias("top"),
+        F.ceil(strays / BLOCK).cast("int").alias("lefts"),
+        F.ceil(F.col("members") / BLOCK).cast("int").alias("rights"),
+    )
+    of = materialize(of.join(sizes.where("lefts > 0"), "family").withColumn("stray", F.col("part") != F.col("top")).drop("top"))
+    texts = only_ids(docs, "doc_id", of.select("rep"))
+    named = of.join(reps.select("rep", "name"), "rep")
+    shingled = named.join(texts, named.rep == texts.doc_id).select(
+        "rep", "part", "family", "lefts", "rights", "stray", "name", "text"
+    ).mapInArrow(_sets(words), "rep long, part long, family long, lefts int, rights int, stray boolean, shingles binary")
+    # Every block of strays meets every block of members.
+    own = F.xxhash64("rep")
+    lefts = F.when(F.col("stray"), F.transform(
+        F.sequence(F.lit(0), F.col("rights") - 1),
+        lambda r: F.struct(F.lit(True).alias("left"), F.pmod(own, "lefts").cast("int").alias("l"), r.alias("r")),
+    ))
+    rights = F.transform(
+        F.sequence(F.lit(0), F.col("lefts") - 1),
+        lambda l: F.struct(F.lit(False).alias("left"), l.alias("l"), F.pmod(own, "rights").cast("int").alias("r")),
+    )
+    sides = F.concat(F.coalesce(lefts, F.array().cast("array<struct<left:boolean,l:int,r:int>>")), rights)
+    blocks = shingled.select("family", "rep", "part", "shingles", F.explode(sides).alias("s")).select("family", "s.*", "rep", "part", "shingles")
+    return blocks.groupBy("family", "l", "r").applyInArrow(_compare(similarity), "a long, b long")
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = pairs.select("a").union(pairs.select("b"))
@@ -239,9 +341,14 @@ def near_duplicates(
         .mapInArrow(_company, "region long, run long, rep long")
     )
 
+    crowd = company.groupBy("region").agg(F.count("*").alias("n"))
+    central = company.join(crowd, "region").groupBy("rep").agg(F.sum("n").alias("n"))
+    company = materialize(company.join(central, "rep"))
+
     def leaders(by: str) -> DataFrame:
-        least = company.groupBy(by).agg(F.min("rep").alias("b"))
-        return company.join(least, by).where("rep > b").select(F.col("rep").alias("a"), "b")
+        most = company.groupBy(by).agg(F.max(F.struct(F.col("n"), -F.col("rep"))).alias("top"))
+        met = company.join(most.select(by, (-F.col("top.col2")).alias("b")), by)
+        return met.where("rep != b").select(F.col("rep").alias("a"), "b")
 
     # Of those a document meets, the one it meets in most trees, then the smallest.
     met = leaders("run").union(leaders("region")).groupBy("a", "b").count()
@@ -256,23 +363,7 @@ def near_duplicates(
             "region", "rep", F.coalesce("component", "rep").alias("part")
         )
     )
-    sizes = members.groupBy("region", "part").count()
-    largest = sizes.groupBy("region").agg(
-        F.max(F.struct("count", "part")).alias("top"), F.count("*").alias("parts")
-    )
-    largest = largest.where("parts > 1").select("region", F.col("top.part").alias("top"))
-    open_ = members.join(largest, "region")
-    outside = open_.where("part != top").select(
-        "region", F.col("rep").alias("x"), F.col("part").alias("part_x")
-    )
-    rest = outside.join(open_, "region").where("part != part_x and (part = top or rep < x)")
-    rest = materialize(
-        rest.select(F.greatest("x", "rep").alias("a"), F.least("x", "rep").alias("b"))
-        .distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = _confirmed(rest, reps, docs, words, similarity)
-    found = components(linked.union(more))
+    found = components(linked.union(_completed(members, reps, docs, words, similarity)))
 
     named = reps.join(found, reps.rep == found.node, "left").select(
         "name", F.coalesce("component", "rep").alias("component")
