@@ -19,6 +19,7 @@ def interval_join(
     right_ts: str,
     tolerance: timedelta,
     shift: timedelta = timedelta(0),
+    tiled: bool = True,
 ) -> DataFrame:
     """All pairs with equal ``keys`` and |left_ts - right_ts| <= tolerance (inclusive).
 
@@ -28,13 +29,18 @@ def interval_join(
     (one or two), a left row lies in one tile, so each pair meets exactly once. A hot
     key thus spreads over its tiles, and rows far apart in time are never paired. Two
     streams need watermarks on both times, which bound the rows Spark remembers.
+
+    ``tiled=False`` is for keys with few rows each, such as ids: the join is then on the key
+    alone and shares its partitioning with what else is done by key.
     """
     keys = list(keys)
     near = F.col(right_ts).between(
         F.col(left_ts) - F.lit(shift + tolerance), F.col(left_ts) + F.lit(tolerance - shift)
     )
-    # Twelve tolerances wide: about one right row in six touches a second tile.
-    width = 12 * micros(tolerance)
+    if not tiled:
+        return left.join(right, keys).where(near)
+    # Twelve tolerances wide, a second at least: about one right row in six touches a second tile.
+    width = max(12 * micros(tolerance), 1_000_000)
 
     def tile(ts: Column) -> Column:
         return F.floor(ts / F.lit(width))

@@ -78,9 +78,7 @@ def fraud_verdicts(totals: DataFrame) -> DataFrame:
 
 def orders_with_stock(orders: DataFrame, inventory_now: DataFrame) -> DataFrame:
     """Created orders with today's stock of their product (a snapshot, not as-of)."""
-    # One row per product of the fixed product list: three rows at most.
-    stock = inventory_now.where(F.col("product").isin(*schemas.PRODUCTS))
-    return created(orders).join(F.broadcast(stock.select("product", "stock")), "product")
+    return created(orders).join(inventory_now.select("product", "stock"), "product")
 
 
 def _stock_inputs(orders: DataFrame) -> DataFrame:

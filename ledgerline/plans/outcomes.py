@@ -91,6 +91,7 @@ def _updates(
         "order_ts",
         schemas.JOIN_TOLERANCE,
         shift,
+        tiled=False,
     )
     verdict_ts = F.col("verdict_ts") - F.lit(shift)
     return pairs.withColumn("status", F.lit(status)).select(
@@ -165,8 +166,15 @@ def order_log(orders: DataFrame, validated: DataFrame, failed: DataFrame) -> Dat
 
 
 def order_state(log: DataFrame) -> DataFrame:
-    """The current record of every order."""
-    return last_per_key(log, ["id"], ["ts", F.col("step") > 0, "seq", "step"])
+    """The current record of every order; one whose last record is a delete has none.
+
+    A delete is a record with an id and nothing else, see ``topics.deleted_orders``.
+    """
+    state = last_per_key(log, ["id"], ["ts", F.col("step") > 0, "seq", "step"])
+    values = [c for c in ORDER_COLUMNS if c != "id"]
+    gone = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in values])
+    # The change stream of the table keeps its deletes, which take effect when it is read.
+    return state if log.isStreaming else state.where(~gone)
 
 
 def lookup(

@@ -50,13 +50,17 @@ def decode(
     """Decode ``value`` of (key, value, ts, seq) records; ``reject`` marks bad ones.
 
     A record is rejected when it is not JSON of its type or has a value outside a
-    field's list; ``reject`` then holds its text. Nothing is dropped here.
+    field's list; ``reject`` then holds its text. Only deletes are left out, see
+    ``deleted_orders``.
     """
     names = dict(names)
     # A generated column is not inlined into filters on it: each record is parsed once.
     parsed = records.withColumn(
         "parsed", F.explode(F.array(parse_json(F.col("value"), schema, names)))
     )
+    # A null value under a key is a delete and not a bad record.
+    gone = F.col("value").isNull() & F.col("key").isNotNull() if "key" in records.columns else F.lit(False)
+    parsed = parsed.where(~gone)
     valid = F.col("value").isNotNull() & F.col("parsed.corrupt").isNull()
     for column, values in domains.items():
         field = F.col(f"parsed.{names[column]}")
@@ -68,6 +72,19 @@ def decode(
     )
 
 
+def deleted_orders(records: DataFrame) -> DataFrame:
+    """The deletes among (key, value, ts, seq) order records: a key without a value.
+
+    An order record without status, for ``outcomes.order_state``. Ids are taken from keys.
+    """
+    gone = records.where(F.col("value").isNull() & F.col("key").isNotNull())
+    fields = [
+        F.lit(None).cast(f.dataType).alias(f.name) if f.name != "id" else F.col("key").alias("id")
+        for f in schemas.ORDER.fields
+    ]
+    return gone.select(*fields, *_envelope(records))
+
+
 def decode_orders(records: DataFrame) -> DataFrame:
     return decode(
         records,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 ORDER = [*outcomes.ORDER_COLUMNS, "ts"]
 # Blocks small enough that the test data's keys are cut as a cluster's hot keys are.
 SMALL_BLOCK = 100
+# Micro-batches of the streaming queries, and the partitions of their state.
+SLICES = 5
+STATE_PARTITIONS = 4
 
 
 class Inputs:
@@ -218,237 +222,63 @@ BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
 
 
 class Streams:
-    """Runs streaming jobs over the same inputs, read as streams, to their end."""
+    """Runs streaming jobs over the same inputs, read as streams, to their end.
+
+    Orders and stock changes arrive in SLICES micro-batches, slice by slice of event time.
+    """
 
     def __init__(self, inputs: Inputs):
         self.inputs, self.spark = inputs, inputs.spark
         self.folder = f"{checkpoint_dir(self.spark)}/streams-{uuid.uuid4()}"
-        self.rows = fixtures.events(self.spark, inputs.sf_dir).count()
-
-    @property
-    def orders(self) -> DataFrame:
-        return fixtures.orders_from(fixtures.events_stream(self.spark, self.inputs.sf_dir))
-
-    @property
-    def validations(self) -> DataFrame:
-        return fixtures.validations(self.orders)
-
-    @property
-    def inventory(self) -> DataFrame:
-        """The stock changes as a topic: a folder of records, read as a stream."""
-        path = f"{self.folder}/inventory"
-        changes = self.inputs.inventory
-        changes.write.mode("overwrite").parquet(path)
-        return self.spark.readStream.schema(changes.schema).parquet(path)
-
-    def run(self, job: Callable[..., StreamingQuery], *streams, state: bool = False) -> DataFrame:
-        """Run a job to the end of its input and read what it wrote."""
-        path = f"{self.folder}/{job.__name__}"
-        places = [path, f"{path}-state"] if state else [path]
-        with batches.state_partitions(self.spark, self.rows):
-            query = job(*streams, *places, f"{path}-checkpoint")
-        query.awaitTermination()
-        return batches.read_batches(self.spark, path)
-
-    def validated(self) -> DataFrame:
-        counts = self.run(jobs.pass_counts, self.validations, state=True)
-        path = f"{self.folder}/{jobs.pass_counts.__name__}"
-        streamed = batches.stream_batches(self.spark, path, counts.schema)
-        return self.run(jobs.validated_orders, streamed, self.orders)
-
-    def failed(self) -> DataFrame:
-        return self.run(jobs.failed_orders, self.validations, self.orders, state=True)
-
-    def state(self) -> DataFrame:
-        return outcomes.order_state(self.log)
-
-    @property
-    def wire(self) -> DataFrame:
-        """Orders as JSON text, some of it cut off, misspelt or without numbers."""
-        start = F.concat(F.lit('{"id":"'), F.col("id").cast("string"), F.lit('","status":'))
-        bare = F.concat(start, F.lit('"'), F.col("status"), F.lit('"}'))
-        value = (
-            F.when(F.col("id") % 17 == 0, start)
-            .when(F.col("id") % 11 == 0, bare)
-            .when(F.col("id") % 19 == 0, F.concat(start, F.lit('"LOST","quantity":1}')))
-            .otherwise(encode_order())
-        )
-        return self.orders.select("id", value.alias("value"), "ts", "seq")
-
-    @property
-    def topics(self) -> dict[str, DataFrame]:
-        return {
-            schemas.ORDERS: topics.encode_orders(self.orders),
-            schemas.ORDER_VALIDATIONS: topics.encode_validations(self.validations),
-            schemas.WAREHOUSE_INVENTORY: topics.encode_inventory(self.inventory),
-        }
 
+    def sliced(self, rows: DataFrame, name: str, files: int) -> DataFrame:
+        """The rows as a stream of SLICES micro-batches, in the order of their ts."""
+        path = f"{self.folder}/{name}"
+        first, last = self.span
+        width = (last - first) / SLICES
+        for n in range(SLICES):
+            begin, end = first + n * width, first + (n + 1) * width
+            ts = F.col("ts").cast("timestamp")
+            part = rows
+            if n > 0:
+                part = part.where(ts >= F.lit(begin))
+            if n < SLICES - 1:
+                part = part.where(ts < F.lit(end))
+            part.repartition(files).write.mode("append").parquet(path)
+        reader = self.spark.readStream.schema(rows.schema)
+        return reader.option("maxFilesPerTrigger", files).parquet(path)
 
-def _plain(df: DataFrame) -> DataFrame:
-    """Event times as plain timestamps, the way the given tables hold them."""
-    return df.select(
-        *[
-            F.col(f.name).cast("timestamp_ntz").alias(f.name)
-            if isinstance(f.dataType, T.TimestampType)
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
-
-
-def _query(build: Callable[[Inputs], DataFrame]) -> Query:
-    return lambda spark, sf_dir: _plain(build(Inputs(spark, sf_dir)))
-
-
-def _fraud_sessions(i: Inputs, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    return checks.fraud_sessions(i.orders, rows_per_block).select(
-        "customer_id",
-        "first_ts",
-        "last_ts",
-        "total",
-        F.col("order.id").alias("last_order_id"),
-        F.col("order.quantity").alias("last_quantity"),
-    )
-
-
-def _running(i: Inputs, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    return checks.fraud_running_total(i.orders, rows_per_block).select(
-        "id", "customer_id", "total", "ts"
-    )
-
-
-def _asof(i: Inputs, rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    return checks.orders_asof_stock(i.orders, i.inventory, rows_per_block).select(
-        "id", "product", "quantity", "stock", "ts"
-    )
-
-
-def _route(i: Inputs) -> DataFrame:
-    created = F.col("status") == "CREATED"
-    branches = [created & is_sane_order(), created, F.col("status") == "FAILED"]
-    return route(i.orders, branches).select("id", "branch")
-
-
-def _ingest(i: Inputs) -> DataFrame:
-    """Made-up customers are random: only that they are UUIDs of 36 characters is shown."""
-    generated = F.length("customer_id") == 36
-    requests = i.orders.select("id", "product", "quantity", "price", "customer_id")
-    return topics.ingest_orders(requests).select(
-        "id",
-        "status",
-        "product",
-        "quantity",
-        "price",
-        F.when(~generated, F.col("customer_id")).alias("customer_id"),
-        F.when(generated, 36).otherwise(0).alias("generated_length"),
-    )
-
-
-def _history(records: DataFrame) -> DataFrame:
-    return records.select(
-        "key",
-        "value",
-        "from_topic",
-        F.col("headers")[0]["key"].alias("header_key"),
-        F.col("headers")[0]["value"].cast("string").alias("header_value"),
-        "ts",
-    )
-
-
-def _lookup_failed(i: Inputs) -> DataFrame:
-    failing = i.validations.where(F.col("result") == "FAIL")
-    return outcomes.lookup(i.state, failing.select(F.col("order_id").alias("id")))
-
-
-BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
-    # Sources, filters, projections
-    "scan_orders": lambda i: i.orders.select(ORDER),
-    "scan_validations": lambda i: i.validations.drop("seq"),
-    "filter_created": lambda i: checks.created(i.orders).select(ORDER),
-    "rekey_by_product": lambda i: checks.created(i.orders).select(
-        F.col("product").alias("key"), *ORDER
-    ),
-    "route_orders": _route,
-    "ingest_orders": _ingest,
-    "encode_orders": lambda i: topics.encode_orders(i.orders).select("key", "value"),
-    "encode_validations": lambda i: topics.encode_validations(i.validations).select(
-        "key", "value"
-    ),
-    "decode_orders": lambda i: topics.accepted(topics.decode_orders(i.wire)).drop("seq"),
-    "decode_rejects": lambda i: topics.rejected(topics.decode_orders(i.wire)).drop("seq"),
-    "history_union": lambda i: _history(topics.order_history(i.topics)),
-    # Tables
-    "inventory_latest": lambda i: i.inventory_latest,
-    "order_log": lambda i: i.log.drop("seq"),
-    "order_state": lambda i: i.state.select(ORDER),
-    "lookup_order": lambda i: _lookup_failed(i).select(ORDER),
-    "lookup_validated": lambda i: i.state.where(F.col("status") == "VALIDATED").select(ORDER),
-    # Checks
-    "details_check": lambda i: checks.details_check(i.orders),
-    "fraud_sessions": _fraud_sessions,
-    "fraud_running_total": _running,
-    "fraud_check": lambda i: checks.fraud_check(i.orders),
-    "orders_with_stock": lambda i: checks.orders_with_stock(i.orders, i.inventory_latest).select(
-        "id", "product", "quantity", "stock"
-    ),
-    "orders_asof_stock": _asof,
-    "inventory_check": lambda i: checks.inventory_check(i.orders, i.inventory),
-    "all_validations": lambda i: checks.all_validations(i.orders, i.inventory),
-    # Outcomes
-    "pass_count_sessions": lambda i: outcomes.pass_count_sessions(i.validations),
-    "pass_count_running": lambda i: outcomes.pass_count_running(i.validations),
-    "validated_orders": lambda i: outcomes.validated_orders(i.validations, i.orders).select(ORDER),
-    "validated_distinct_types": lambda i: outcomes.validated_orders(
-        i.validations, i.orders, distinct_types=True
-    ).select("id", "status", "ts"),
-    "validated_sessions": lambda i: outcomes.validated_sessions(i.validations, i.orders).select(
-        "id", "status", "ts"
-    ),
-    "failed_orders_raw": lambda i: outcomes.failed_orders_raw(i.validations, i.orders),
-    "failed_orders": lambda i: outcomes.failed_orders(i.validations, i.orders),
-    "order_lifecycle": lambda i: outcomes.order_lifecycle(i.orders, i.inventory).select(ORDER),
-    # The same with small blocks, so that the test data's keys are cut into several
-    "fraud_sessions_split": lambda i: _fraud_sessions(i, 10),
-    "fraud_running_total_split": lambda i: _running(i, 10),
-    "orders_asof_stock_split": lambda i: _asof(i, SMALL_BLOCK),
-    "inventory_check_split": lambda i: checks.inventory_check(i.orders, i.inventory, SMALL_BLOCK),
-    "pass_count_sessions_split": lambda i: outcomes.pass_count_sessions(i.validations, 4),
-    "pass_count_running_split": lambda i: outcomes.pass_count_running(i.validations, 4),
-    "order_lifecycle_split": lambda i: outcomes.order_lifecycle(
-        i.orders, i.inventory, SMALL_BLOCK
-    ).select(ORDER),
-}
-
+    @cached_property
+    def span(self) -> tuple[datetime, datetime]:
+        ts = F.col("ts").cast("timestamp")
+        return tuple(self.events_table.agg(F.min(ts), F.max(ts)).first())
 
-class Streams:
-    """Runs streaming jobs over the same inputs, read as streams, to their end."""
+    @cached_property
+    def events_table(self) -> DataFrame:
+        return fixtures.events(self.spark, self.inputs.sf_dir)
 
-    def __init__(self, inputs: Inputs):
-        self.inputs, self.spark = inputs, inputs.spark
-        self.folder = f"{checkpoint_dir(self.spark)}/streams-{uuid.uuid4()}"
-        self.rows = fixtures.events(self.spark, inputs.sf_dir).count()
+    @cached_property
+    def events(self) -> DataFrame:
+        return self.sliced(self.events_table, "events", self.events_table.rdd.getNumPartitions())
 
     @property
     def orders(self) -> DataFrame:
-        return fixtures.orders_from(fixtures.events_stream(self.spark, self.inputs.sf_dir))
+        return fixtures.orders_from(self.events)
 
     @property
     def validations(self) -> DataFrame:
         return fixtures.validations(self.orders)
 
-    @property
+    @cached_property
     def inventory(self) -> DataFrame:
-        """The stock changes as a topic: a folder of records, read as a stream."""
-        path = f"{self.folder}/inventory"
-        changes = self.inputs.inventory
-        changes.write.mode("overwrite").parquet(path)
-        return self.spark.readStream.schema(changes.schema).parquet(path)
+        """The stock changes as a topic, in the same slices."""
+        return self.sliced(self.inputs.inventory, "inventory", 1)
 
     def run(self, job: Callable[..., StreamingQuery], *streams, state: bool = False) -> DataFrame:
         """Run a job to the end of its input and read what it wrote."""
         path = f"{self.folder}/{job.__name__}"
         places = [path, f"{path}-state"] if state else [path]
-        with batches.state_partitions(self.spark, self.rows):
+        with batches.state_partitions(self.spark, STATE_PARTITIONS):
             query = job(*streams, *places, f"{path}-checkpoint")
         query.awaitTermination()
         return batches.read_batches(self.spark, path)

@@ -37,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if sc.master.startswith("local-cluster") or not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
     return sc.getCheckpointDir()
@@ -85,9 +85,31 @@ def _files(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def complete(spark: SparkSession, path: str) -> bool:
-    """Whether a folder was written to its end."""
-    return _files(spark, path).exists(_path(spark, f"{path}/_SUCCESS"))
+def exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path).exists(_path(spark, path))
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    if not exists(spark, path):
+        return []
+    return [f.getPath().getName() for f in _files(spark, path).listStatus(_path(spark, path))]
+
+
+def write_once(df: DataFrame, path: str) -> None:
+    """Write a folder that readers see whole or not at all; leave one that is there alone.
+
+    The rows are written beside it under a name that readers skip, and the folder is
+    renamed at the end: one step in a file system such as HDFS.
+    """
+    spark = df.sparkSession
+    if exists(spark, path):
+        return
+    folder, _, name = path.rpartition("/")
+    unfinished = f"{folder}/_unfinished-{name}"
+    df.write.mode("overwrite").parquet(unfinished)
+    if not _files(spark, path).rename(_path(spark, unfinished), _path(spark, path)):
+        raise OSError(f"cannot rename {unfinished} to {path}")
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerline import schemas
 
-# Offsets are unique per partition only; this many partitions share a topic's seq.
+# Offsets are unique per partition only; this many partitions share a topic's seq. More
+# are an error, as two records would have the same seq.
 PARTITIONS = 4096
 
 
@@ -38,8 +39,10 @@ def read_kafka(
 
 
 def _envelope():
-    seq = F.col("offset") * PARTITIONS + F.col("partition")
-    return [F.col("timestamp").alias("ts"), seq.cast("bigint").alias("seq")]
+    seq = (F.col("offset") * PARTITIONS + F.col("partition")).cast("bigint")
+    too_many = F.raise_error(F.lit(f"a topic has more than {PARTITIONS} partitions"))
+    checked = F.when(F.col("partition") < PARTITIONS, seq).otherwise(too_many.cast("bigint"))
+    return [F.col("timestamp").alias("ts"), checked.alias("seq")]
 
 
 def _product() -> Column:

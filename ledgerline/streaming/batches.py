@@ -3,30 +3,30 @@
 Running totals and the stock fold emit a row per input row in event order, which
 Spark's streaming sessions cannot. Here the batch operators do it, hot keys split as
 ever, and what they must remember goes to a state table. Every micro-batch writes its
-results and then its state into folders of its own, each only once: a batch that is
-run again after a failure leaves complete folders alone, so readers of the results see
-every row exactly once.
+results and then its state into folders of its own, each only once and seen only whole: a
+batch that is run again after a failure leaves finished folders alone, so readers of the
+results see every row exactly once.
 
-With state keys, a micro-batch works on and writes only the keys it touches; every so
-often one writes the state of all keys instead and lets old ones go.
+With state keys, a micro-batch writes the state of only the keys it touches; every so
+often one writes the state of all keys instead and lets old ones go. What counts as too old
+depends on event times alone: what is still stored is cut in every micro-batch.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from datetime import datetime, timedelta
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.operators import last_per_key
-from ledgerline.session import complete, delete, scratch_tables
+from ledgerline.session import delete, listed, scratch_tables, write_once
 
-# Remembered rows per state partition of a small query, see state_partitions.
-ROWS_PER_STATE = 10_000
 # Every how many micro-batches the state of all keys is written.
 WHOLE_STATE_EVERY = 20
 
@@ -34,8 +34,10 @@ WHOLE_STATE_EVERY = 20
 class Step(NamedTuple):
     """What to do with a micro-batch; ``known`` is the state before it, or None.
 
-    Without ``keys`` the state is small and written whole each time. With ``keys`` it
-    has one row per key, and ``known`` holds the keys of the micro-batch only.
+    Without ``keys`` the state is small and written whole each time. With ``keys`` a
+    micro-batch replaces all state rows of the keys it touches, and ``known`` holds the
+    rows of these keys only. ``ts`` names the state's event time: rows more than ``keep``
+    before the newest are forgotten.
     """
 
     apply: Callable[[DataFrame, DataFrame | None], DataFrame]
@@ -44,8 +46,20 @@ class Step(NamedTuple):
     # rows of apply -> result rows
     emit: Callable[[DataFrame], DataFrame]
     keys: Sequence[str] = ()
-    # (state of all keys, rows of apply) -> what must still be remembered
-    expire: Callable[[DataFrame, DataFrame], DataFrame] = lambda state, rows: state
+    ts: str | None = None
+    keep: timedelta = timedelta(0)
+
+
+def _newest(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of each key the rows that its newest micro-batch wrote."""
+    last = W.partitionBy(*keys).orderBy(F.col("batch").desc())
+    return states.withColumn("rank", F.rank().over(last)).where("rank = 1").drop("rank", "batch")
+
+
+def _kept(states: DataFrame, step: Step, newest: datetime | None) -> DataFrame:
+    if step.ts is None or newest is None:
+        return states
+    return states.where(F.col(step.ts) >= F.lit(newest) - F.lit(step.keep))
 
 
 def run_batches(
@@ -66,42 +80,70 @@ def run_batches(
     every = whole_state_every if keys else 1
 
     def written(spark: SparkSession, number: int) -> DataFrame | None:
-        """The states written since the last whole one before this micro-batch."""
+        """The states written since the last whole one before this micro-batch.
+
+        Which ones are whole stands in their names, so it does not matter what
+        ``whole_state_every`` was when they were written.
+        """
         if number == 0:
             return None
-        if not complete(spark, before := f"{state}/batch={number - 1}"):
-            raise FileNotFoundError(f"no state of the batch before: {before}")
-        whole = (number - 1) // every * every
-        paths = [f"{state}/batch={n}" for n in range(whole, number)]
-        return spark.read.option("basePath", state).parquet(*paths)
+        found = {int(n): name for name in listed(spark, state) if (n := _number(name)) is not None}
+        whole = [n for n, name in found.items() if name.startswith("whole=") and n < number]
+        if not whole:
+            raise FileNotFoundError(f"no state of the batches before {number} in {state}")
+        needed = range(max(whole), number)
+        if missing := [n for n in needed if n not in found]:
+            raise FileNotFoundError(f"no state of the batches {missing} in {state}")
+        parts = [
+            spark.read.parquet(f"{state}/{found[n]}").withColumn("batch", F.lit(n)) for n in needed
+        ]
+        return reduce(DataFrame.unionByName, parts)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        out, after = f"{results}/batch={number}", f"{state}/batch={number}"
-        if complete(spark, after):
+        whole = not keys or number % every == 0
+        after = f"{state}/{'whole' if whole else 'part'}={number}"
+        if any(_number(name) == number for name in listed(spark, state)):
             return
         states = written(spark, number)
         batch = batch.persist()
-        with scratch_tables(spark):
-            known = states
-            if known is not None and keys:
-                touched = known.join(batch.select(*keys).distinct(), keys, "left_semi")
-                known = last_per_key(touched, keys, ["batch"])
-            known = known if known is None else known.drop("batch")
-            rows = step.apply(batch, known).persist()
-            if not complete(spark, out):
-                step.emit(rows).write.mode("overwrite").parquet(out)
-            kept = step.remember(rows, batch, known)
-            if keys and number % every == 0:
-                if states is not None:
-                    now = kept.withColumn("batch", F.lit(number))
-                    kept = last_per_key(states.unionByName(now), keys, ["batch"]).drop("batch")
-                kept = step.expire(kept, rows)
-            kept.write.mode("overwrite").parquet(after)
-        rows.unpersist()
-        batch.unpersist()
-        # A replay needs the states since the last whole one, at most.
-        delete(spark, f"{state}/batch={number - 2 * every}")
+        rows = None
+        try:
+            with scratch_tables(spark):
+                newest = None
+                if states is not None and step.ts is not None:
+                    newest = states.agg(F.max(step.ts)).first()[0]
+                known = states
+                if known is not None and keys:
+                    touched = known.join(batch.select(*keys).distinct(), keys, "left_semi")
+                    known = _kept(_newest(touched, keys), step, newest)
+                known = known if known is None else known.drop("batch")
+                rows = step.apply(batch, known).persist()
+                write_once(step.emit(rows), f"{results}/batch={number}")
+                state_now = step.remember(rows, batch, known)
+                if keys and whole:
+                    if states is not None:
+                        now = state_now.withColumn("batch", F.lit(number))
+                        state_now = _newest(states.unionByName(now), keys)
+                if step.ts is not None and whole:
+                    newest = state_now.agg(F.max(step.ts)).first()[0]
+                    state_now = _kept(state_now, step, newest)
+                write_once(state_now, after)
+        finally:
+            if rows is not None:
+                rows.unpersist()
+            batch.unpersist()
+        if whole:
+            # A replay of this micro-batch needs nothing older than the whole state before.
+            before = [n for name in listed(spark, state) if (n := _number(name)) is not None]
+            wholes = sorted(
+                _number(name) for name in listed(spark, state)
+                if name.startswith("whole=") and _number(name) < number
+            )
+            for n in before:
+                if wholes and n < wholes[-1]:
+                    delete(spark, f"{state}/whole={n}")
+                    delete(spark, f"{state}/part={n}")
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -111,18 +153,22 @@ def run_batches(
     )
 
 
+def _number(name: str) -> int | None:
+    """The micro-batch of a state folder, None for other names."""
+    kind, _, number = name.partition("=")
+    return int(number) if kind in ("whole", "part") and number.isdigit() else None
+
+
 @contextmanager
-def state_partitions(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Start queries with state partitions for ``rows`` remembered rows.
+def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
+    """Start queries with this many state partitions; None leaves the session's number.
 
-    A query keeps the number it first started with, and unlike a table's shuffle its
-    partitions are not merged when they turn out small. Never more than
-    spark.sql.shuffle.partitions.
+    A query keeps the number that it first started with.
     """
     option = "spark.sql.shuffle.partitions"
     configured = spark.conf.get(option)
-    needed = min(int(configured), max(1, math.ceil(rows / ROWS_PER_STATE)))
-    spark.conf.set(option, str(needed))
+    if partitions is not None:
+        spark.conf.set(option, str(partitions))
     try:
         yield
     finally:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,9 +21,10 @@ from ledgerline.operators import (
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
 from ledgerline.operators.times import interval_text
 from ledgerline.plans import checks, outcomes, topics
-from ledgerline.session import complete
+from ledgerline.session import write_once
 from ledgerline.streaming.batches import WHOLE_STATE_EVERY, Step, run_batches
 
+
 def append(
     df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -37,12 +39,6 @@ def append(
     )
 
 
-def _newer_than(df: DataFrame, ts: str, newest: DataFrame, age: timedelta) -> DataFrame:
-    """Rows whose ``ts`` is at most ``age`` before the one value in ``newest``."""
-    (last,) = newest.first()
-    return df if last is None else df.where(F.col(ts) >= F.lit(last) - F.lit(age))
-
-
 def running_step(
     keys: Sequence[str],
     gap: timedelta,
@@ -52,66 +48,79 @@ def running_step(
     emit: Callable[[DataFrame], DataFrame],
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> Step:
-    """Running session totals over micro-batches; the state is each key's open session.
+    """Running session totals over micro-batches; the state is each key's sessions.
 
-    Rows of a micro-batch follow (ts, seq). One that arrives after later rows of its
-    key counts into the open session if it lies in or within the gap of it.
+    Sessions are remembered until their last row is ``gap + delay`` older than the newest.
+    Rows of a micro-batch follow (ts, seq). A row's total is that of all remembered
+    sessions that belong to its session by now, and of the micro-batch's rows of the
+    session up to it: a late row counts into the sessions it lies in, touches or joins,
+    also where it reaches them only through other rows of the micro-batch.
     """
     keys = list(keys)
-    lowest = F.lit(-(2**63)).cast("bigint")
+
+    def arrived(batch: DataFrame) -> DataFrame:
+        """The micro-batch's own sessions, with the place of their first rows."""
+        return session_aggregate(
+            batch,
+            keys,
+            "ts",
+            "seq",
+            gap,
+            sums={"total": amount.cast("bigint")},
+            mins={"first": F.struct("ts", "seq")},
+            rows_per_block=rows_per_block,
+        ).select(
+            *keys, F.col("first.ts").alias("began"), "last_ts", "total",
+            F.col("first.seq").alias("seq"),
+        )
+
+    def merged(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+        """Remembered and new sessions, numbered by the session they now belong to.
+
+        A few rows per key: the sessions that a key has within the delay.
+        """
+        sessions = arrived(batch).withColumn("new", F.lit(True))
+        if known is not None:
+            old = known.select(*keys, "began", "last_ts", "total").withColumn("new", F.lit(False))
+            sessions = sessions.unionByName(old, allowMissingColumns=True)
+        along = W.partitionBy(*keys).orderBy("began", "last_ts", "new")
+        before = along.rowsBetween(W.unboundedPreceding, -1)
+        opens = F.col("began") - F.max("last_ts").over(before) > F.lit(gap)
+        so_far = along.rowsBetween(W.unboundedPreceding, W.currentRow)
+        numbered = sessions.withColumn("opens", F.coalesce(opens.cast("int"), F.lit(0)))
+        return numbered.withColumn("session", F.sum("opens").over(so_far)).drop("opens")
 
     def apply(batch: DataFrame, known: DataFrame | None) -> DataFrame:
-        rows = batch.withColumns(
-            {
-                "amount": amount.cast("bigint"),
-                "place": F.col("ts"),
-                "began": F.col("ts"),
-                "new": F.lit(True),
-            }
-        )
+        rows = batch.withColumn("amount", amount.cast("bigint"))
         if known is not None:
-            # The open session takes part as one row before the key's new rows.
-            opened = known.select(
-                *keys,
-                F.col("total").alias("amount"),
-                F.col("last_ts").alias("place"),
-                "began",
-                lowest.alias("seq"),
-                F.lit(False).alias("new"),
-            )
-            open_sessions = known.select(
-                *keys, F.col("last_ts").alias("open_last"), F.col("began").alias("open_began")
+            whole = W.partitionBy(*keys, "session")
+            earlier = whole.orderBy("began").rowsBetween(W.unboundedPreceding, -1)
+            old = F.sum(F.when(~F.col("new"), F.col("total"))).over(whole)
+            new = F.sum(F.when(F.col("new"), F.col("total"))).over(earlier)
+            brought = merged(batch, known).withColumn(
+                "brought", F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))
             )
-            late = (F.col("ts") < F.col("open_last")) & (
-                F.col("open_began") - F.col("ts") <= F.lit(gap)
+            brought = brought.where("new").select(
+                *keys, F.col("began").alias("ts"), "seq", "brought"
             )
-            rows = (
-                rows.join(open_sessions, keys, "left")
-                .withColumn("place", F.when(late, F.col("open_last")).otherwise(F.col("ts")))
-                .drop("open_last", "open_began")
-                .unionByName(opened, allowMissingColumns=True)
+            # The first row of each new session brings in what its session had before.
+            rows = rows.join(brought, [*keys, "ts", "seq"], "left").withColumn(
+                "amount",
+                F.when(F.col("brought").isNull(), F.col("amount")).otherwise(
+                    F.coalesce("amount", F.lit(0)) + F.col("brought")
+                ),
             )
         return session_running(
-            rows, keys, "place", "seq", gap, {total: F.col("amount")}, rows_per_block
+            rows, keys, "ts", "seq", gap, {total: F.col("amount")}, rows_per_block
         )
 
     def remember(rows: DataFrame, batch: DataFrame, known: DataFrame | None) -> DataFrame:
-        sessions = session_aggregate(
-            rows,
-            keys,
-            "place",
-            "seq",
-            gap,
-            sums={"total": F.col("amount")},
-            mins={"began": F.col("began")},
-            rows_per_block=rows_per_block,
-        ).select(*keys, "last_ts", "total", "began")
-        return last_per_key(sessions, keys, ["last_ts"])
+        return merged(batch, known).groupBy(*keys, "session").agg(
+            F.min("began").alias("began"), F.max("last_ts").alias("last_ts"),
+            F.sum("total").alias("total"),
+        ).drop("session")
 
-    def expire(state: DataFrame, rows: DataFrame) -> DataFrame:
-        return _newer_than(state, "last_ts", rows.agg(F.max("place")), gap + delay)
-
-    return Step(apply, remember, lambda rows: emit(rows.where("new")), keys, expire)
+    return Step(apply, remember, emit, keys, "last_ts", gap + delay)
 
 
 def reservation_step(
@@ -290,10 +299,7 @@ def first_step(keys: Sequence[str], order: Sequence[str], ts: str, delay: timede
     def remember(rows: DataFrame, batch: DataFrame, known: DataFrame | None) -> DataFrame:
         return rows.select(*keys, ts)
 
-    def expire(state: DataFrame, rows: DataFrame) -> DataFrame:
-        return _newer_than(state, ts, state.agg(F.max(ts)), delay)
-
-    return Step(apply, remember, lambda rows: rows.drop(ts), keys, expire)
+    return Step(apply, remember, lambda rows: rows.drop(ts), keys, ts, delay)
 
 
 def failed_orders(
@@ -314,7 +320,10 @@ def failed_orders(
         validations.withWatermark("ts", interval_text(delay)),
         orders.withWatermark("ts", interval_text(delay)),
     )
-    step = first_step(["id"], ["ts", "seq"], "order_ts", delay)
+    # The join pairs a verdict with an order up to a tolerance on either side of it, and the
+    # watermark trails by the delay: no order is forgotten before its last verdict.
+    keep = delay + 3 * schemas.JOIN_TOLERANCE
+    step = first_step(["id"], ["ts", "seq"], "order_ts", keep)
     return run_batches(updates, step, path, state, checkpoint, trigger, whole_state_every)
 
 
@@ -328,9 +337,7 @@ def order_state(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        out = f"{path}/batch={number}"
-        if not complete(batch.sparkSession, out):
-            batch.write.mode("overwrite").parquet(out)
+        write_once(batch, f"{path}/batch={number}")
 
     return (
         outcomes.order_state(log)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from conftest import VERDICT, at
 from ledgerline import schemas
 from ledgerline.operators import first_per_key, interval_join, last_per_key, route, tag_and_union
-from ledgerline.plans import outcomes
+from ledgerline.plans import outcomes, topics
 
 MS5 = {"milliseconds": 5}
 
@@ -196,3 +197,23 @@ def test_tag_and_union(spark):
         ("a", 1, "x"),
         ("b", 2, "y"),
     ]
+
+
+def test_interval_join_of_equal_times(spark):
+    left = spark.sql("select 1 id, timestamp '2024-01-01 00:00:00' lts")
+    right = spark.sql("select 1 id, timestamp '2024-01-01 00:00:00' rts")
+    for tiled in (True, False):
+        joined = interval_join(left, right, ["id"], "lts", "rts", timedelta(0), tiled=tiled)
+        assert joined.count() == 1
+
+
+def test_a_delete_removes_the_order(spark, orders):
+    log = orders((1, at(), {}), (2, at(), {}), (1, at(minutes=1), {}))
+    records = topics.encode_orders(log.where("seq < 2")).union(
+        spark.createDataFrame([("1", None, at(minutes=2), 5)], "key string, value string, ts timestamp, seq bigint")
+    )
+    decoded = topics.decode_orders(records)
+    assert topics.rejected(decoded).count() == 0
+    kept = topics.accepted(decoded).unionByName(topics.deleted_orders(records))
+    state = outcomes.order_state(kept.withColumn("step", F.lit(0)))
+    assert [r.id for r in state.collect()] == ["2"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import time
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from conftest import at
 from ledgerline import schemas
 from ledgerline.operators import last_per_key
 from ledgerline.plans import checks, outcomes, topics
-from ledgerline.session import checkpoint_dir
+from ledgerline.session import checkpoint_dir, write_once
 from ledgerline.streaming import batches, jobs
 from test_checks import make_orders, make_stock
 
@@ -77,8 +78,8 @@ def test_fraud_check(spark, tmp_path, block, whole_state_every):
     ).awaitTermination()
     assert os.listdir(scratch) == before
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == topic.files
-    states = len([d for d in os.listdir(state) if d.startswith("batch=")])
-    assert states == min(topic.files, 2 * whole_state_every)
+    states = [d for d in os.listdir(state) if d.startswith(("whole=", "part="))]
+    assert len(states) <= 2 * whole_state_every
     assert text(batches.read_batches(spark, out)) == text(checks.fraud_check(rows))
 
 
@@ -133,8 +134,8 @@ def test_late_order_joins_the_open_session(spark, tmp_path, orders):
     jobs.fraud_check(topic.stream(), out, state, checkpoint).awaitTermination()
     results = {r.order_id: r.result for r in batches.read_batches(spark, out).collect()}
     assert results == {1: "PASS", 2: "PASS", 3: "PASS", 4: "FAIL", 5: "PASS", 6: "FAIL"}
-    newest = spark.read.parquet(f"{state}/batch=1").collect()
-    assert [(r.total, r.began) for r in newest] == [(2001, at())]
+    newest = spark.read.parquet(f"{state}/part=1").orderBy("began").collect()
+    assert [(r.total, r.began) for r in newest] == [(1999, at(minutes=-70)), (2001, at())]
 
 
 def test_old_sessions_leave_the_state(spark, tmp_path, orders):
@@ -143,7 +144,94 @@ def test_old_sessions_leave_the_state(spark, tmp_path, orders):
     topic.append(rows)
     out, state, checkpoint = places(tmp_path, "fraud")
     jobs.fraud_check(topic.stream(), out, state, checkpoint).awaitTermination()
-    assert [r.customer_id for r in spark.read.parquet(f"{state}/batch=0").collect()] == [2]
+    assert [r.customer_id for r in spark.read.parquet(f"{state}/whole=0").collect()] == [2]
+
+
+def spent(spark, tmp_path, *parts, name="fraud", every=20, delay=None):
+    """The fraud verdicts of orders that arrive in these parts."""
+    topic = Topic(spark, tmp_path / f"{name}-orders", parts[0].schema)
+    out, state, checkpoint = places(tmp_path, name)
+    more = {} if delay is None else {"delay": delay}
+    for part in parts:
+        topic.append(part)
+    jobs.fraud_check(
+        topic.stream(), out, state, checkpoint, whole_state_every=every, **more
+    ).awaitTermination()
+    return {r.order_id: r.result for r in batches.read_batches(spark, out).collect()}
+
+
+def test_late_order_joins_an_earlier_session(spark, tmp_path, orders):
+    early = orders((1, at(), {"price": 1900}), (2, at(hours=3), {"price": 10}))
+    late = orders((3, at(minutes=10), {"price": 500}))
+    found = spent(spark, tmp_path, early, late)
+    assert found == {1: "PASS", 2: "PASS", 3: "FAIL"}
+
+
+def test_late_orders_reach_a_session_through_each_other(spark, tmp_path, orders):
+    early = orders((1, at(hours=2), {"price": 1900}))
+    late = orders(
+        (2, at(minutes=70), {"price": 50}),
+        (3, at(minutes=20), {"price": 500}),
+    )
+    after = orders((4, at(hours=2, minutes=5), {"price": 1}))
+    found = spent(spark, tmp_path, early, late, after)
+    assert found == {1: "PASS", 2: "FAIL", 3: "FAIL", 4: "FAIL"}
+
+
+@pytest.mark.parametrize("every", [1, 2, 20])
+def test_lateness_does_not_depend_on_how_state_is_kept(spark, tmp_path, orders, every):
+    parts = [
+        orders((1, at(), {"price": 1900})),
+        orders((2, at(hours=5), {"customer_id": 2})),
+        orders((3, at(hours=9), {"customer_id": 3})),
+        orders((4, at(minutes=10), {"price": 500})),
+    ]
+    found = spent(spark, tmp_path, *parts, every=every, delay=timedelta(hours=4))
+    assert found[4] == "PASS"  # its session ended more than gap and delay before the newest
+    found = spent(spark, tmp_path, *parts, name="wide", every=every, delay=timedelta(hours=12))
+    assert found[4] == "FAIL"
+
+
+def test_restart_with_another_number_of_states(spark, tmp_path, orders):
+    topic = Topic(spark, tmp_path / "orders", orders((1, at(), {})).schema)
+    out, state, checkpoint = places(tmp_path, "fraud")
+    for n, every in ((0, 20), (1, 20), (2, 20), (3, 2)):
+        price = {0: 1900, 3: 500}.get(n, 1)
+        customer = {} if n in (0, 3) else {"customer_id": 2}
+        topic.append(orders((n, at(minutes=n), {"price": price} | customer)))
+        jobs.fraud_check(
+            topic.stream(), out, state, checkpoint, whole_state_every=every
+        ).awaitTermination()
+    results = {r.order_id: r.result for r in batches.read_batches(spark, out).collect()}
+    assert results[3] == "FAIL"
+
+
+def test_a_half_written_folder_is_not_read(spark, tmp_path, orders):
+    rows = orders((1, at(), {}))
+    results = str(tmp_path / "results")
+    rows.write.parquet(f"{results}/_unfinished-batch=0")
+    write_once(rows, f"{results}/batch=0")
+    write_once(rows.union(rows), f"{results}/batch=0")
+    rows.write.parquet(f"{results}/_unfinished-batch=1")
+    assert batches.read_batches(spark, results).count() == 1
+    assert sorted(os.listdir(results)) == ["_unfinished-batch=1", "batch=0"]
+
+
+def test_an_order_fails_once_across_the_delay(spark, tmp_path, orders, verdicts):
+    placed = orders((1, at(), {}), (2, at(hours=24, minutes=2), {}))
+    failing = [
+        verdicts((1, "FRAUD_CHECK", "FAIL", at())),
+        verdicts((2, "FRAUD_CHECK", "FAIL", at(hours=24, minutes=2))),
+        verdicts((1, "FRAUD_CHECK", "FAIL", at(minutes=4))),
+    ]
+    topic = Topic(spark, tmp_path / "orders", placed.schema)
+    topic.append(placed)
+    log = Topic(spark, tmp_path / "verdicts", failing[0].schema)
+    for part in failing:
+        log.append(part)
+    out, state, checkpoint = places(tmp_path, "failed")
+    jobs.failed_orders(log.stream(), topic.stream(), out, state, checkpoint).awaitTermination()
+    assert sorted(r.id for r in batches.read_batches(spark, out).collect()) == [1, 2]
 
 
 @pytest.fixture(scope="module")
