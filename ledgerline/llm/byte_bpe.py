@@ -19,7 +19,7 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -218,9 +218,21 @@ def _documents(packed: bytes, found: list[bytes]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def encode(docs: DataFrame, table: DataFrame, pattern: str = SPLIT) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+
+def encode(
+    docs: DataFrame,
+    table: DataFrame,
+    pattern: str = SPLIT,
+    then: Callable[[Batches], Batches] | None = None,
+    schema: str = "doc_id long, ids array<int>",
+) -> DataFrame:
     """(doc_id, ids array<int>) for every row of ``docs``; null text: no ids.
 
+    ``then`` is done with the Arrow batches of these in the same Python process, which
+    saves handing them over, and gives rows of ``schema``.
+
     ``table`` is (id, bytes), a row per rank, as from ``ranks``. Every match of ``pattern``
     is encoded by itself; there are no special tokens.
     """
@@ -241,7 +253,7 @@ def encode(docs: DataFrame, table: DataFrame, pattern: str = SPLIT) -> DataFrame
         .union(ids)
         .repartition("block")
         .sortWithinPartitions("block", "bucket")
-        .mapInArrow(_assemble, "doc_id long, ids array<int>")
+        .mapInArrow(lambda batches: then(_assemble(batches)) if then else _assemble(batches), schema)
     )
 
 
@@ -263,13 +275,16 @@ def _decode(table):
     return decode
 
 
-def decode(encoded: DataFrame, table: DataFrame) -> DataFrame:
-    """``encoded`` (doc_id, ids) with the bytes that the ids stand for, as ``decoded``."""
+def decoding(table: DataFrame) -> Callable[[Batches], Batches]:
+    """What adds to batches of (doc_id, ids) the bytes that the ids stand for, as ``decoded``."""
     rows = sorted((r.id, bytes(r.bytes)) for r in table.collect())
     size = np.zeros(rows[-1][0] + 1, np.int64)
     size[[i for i, _ in rows]] = [len(b) for _, b in rows]
     flat = np.frombuffer(b"".join(b for _, b in rows), np.uint8)
-    broadcast = encoded.sparkSession.sparkContext.broadcast((flat, np.cumsum(size) - size, size))
-    return encoded.select("doc_id", "ids").mapInArrow(
-        _decode(broadcast), "doc_id long, ids array<int>, decoded binary"
-    )
+    return _decode(table.sparkSession.sparkContext.broadcast((flat, np.cumsum(size) - size, size)))
+
+
+def decode(encoded: DataFrame, table: DataFrame) -> DataFrame:
+    """``encoded`` (doc_id, ids) with ``decoded``, see ``decoding``."""
+    schema = "doc_id long, ids array<int>, decoded binary"
+    return encoded.select("doc_id", "ids").mapInArrow(decoding(table), schema)

@@ -80,9 +80,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = byte_bpe.ranks(spark, RANKS)
-    encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), table)
-    return byte_bpe.decode(encoded, table).mapInArrow(
-        _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    decoding = byte_bpe.decoding(table)
+    return byte_bpe.encode(
+        read(spark, sf_dir, "documents"),
+        table,
+        then=lambda batches: _digests(decoding(batches)),
+        schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
     )
 
 
