@@ -72,7 +72,30 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w.])(\d(?:[ -]?\d){12,18})(?![\w])"),
     "name": re.compile(rf"(?<!\w)(?:(?:{_title})\.? )((?:[^\W\d_a-zа-я][^\W\d_]+)(?:[ -][^\W\d_a-zа-я][^\W\d_]+){{0,2}})"),
 }
-_hint = re.compile(r"[@+]|\d|=|: ?[\"']?\S{6}|AKIA|" + _title, re.IGNORECASE)
+_titles = [t for titles in _TITLES.values() for t in titles]
+_secret_words = "pass", "pwd", "token", "secret", "key"
+_digits = re.compile(r"\d{3}|\d\.\d|[A-Z]\d\d")
+
+
+def _possible(text: str) -> list[str]:
+    """The kinds that the text may hold, by what none of them can do without."""
+    kinds = []
+    if "@" in text:
+        kinds.append("email")
+    digits = _digits.search(text) is not None
+    if digits:
+        kinds.append("ip")
+    if "AKIA" in text or "ASIA" in text or "sk-" in text or ("gh" in text and "_" in text):
+        kinds.append("key")
+    if "=" in text or ":" in text:
+        low = text.lower()
+        if any(w in low for w in _secret_words):
+            kinds.append("secret")
+    if digits:
+        kinds += ["iban", "ssn", "phone", "card"]
+    if any(t in text for t in _titles):
+        kinds.append("name")
+    return kinds
 
 
 class Mention(NamedTuple):
@@ -105,13 +128,9 @@ def _upper(name: str) -> bool:
 
 def mentions(text: str | None) -> list[Mention]:
     """Where personal data stands, in order, without overlaps."""
-    if not text or not _hint.search(text):
-        return []
     found: list[Mention] = []
-    for kind, pattern in PATTERNS.items():
-        if kind == "email" and "@" not in text:
-            continue
-        for m in pattern.finditer(text):
+    for kind in _possible(text) if text else ():
+        for m in PATTERNS[kind].finditer(text):
             start, stop = m.span(1)
             if kind == "name" and not all(map(_upper, re.split(r"[ -]", m[1]))):
                 continue
