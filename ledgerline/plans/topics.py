@@ -46,21 +46,21 @@ def decode(
     schema: T.StructType,
     names: Mapping[str, str],
     domains: Mapping[str, tuple[str, ...]],
+    deletes: bool = False,
 ) -> DataFrame:
     """Decode ``value`` of (key, value, ts, seq) records; ``reject`` marks bad ones.
 
     A record is rejected when it is not JSON of its type or has a value outside a
-    field's list; ``reject`` then holds its text. Only deletes are left out, see
-    ``deleted_orders``.
+    field's list; ``reject`` then holds its text. Nothing is dropped here, but that with
+    ``deletes`` a null value under a key is a delete and left out, see ``deleted_orders``.
     """
     names = dict(names)
     # A generated column is not inlined into filters on it: each record is parsed once.
     parsed = records.withColumn(
         "parsed", F.explode(F.array(parse_json(F.col("value"), schema, names)))
     )
-    # A null value under a key is a delete and not a bad record.
-    gone = F.col("value").isNull() & F.col("key").isNotNull() if "key" in records.columns else F.lit(False)
-    parsed = parsed.where(~gone)
+    if deletes and "key" in records.columns:
+        parsed = parsed.where(F.col("value").isNotNull() | F.col("key").isNull())
     valid = F.col("value").isNotNull() & F.col("parsed.corrupt").isNull()
     for column, values in domains.items():
         field = F.col(f"parsed.{names[column]}")
@@ -91,6 +91,7 @@ def decode_orders(records: DataFrame) -> DataFrame:
         schemas.ORDER,
         schemas.JSON_ORDER,
         {"status": schemas.STATUSES, "product": schemas.PRODUCTS},
+        deletes=True,
     )
 
 

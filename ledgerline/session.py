@@ -106,7 +106,8 @@ def write_once(df: DataFrame, path: str) -> None:
     if exists(spark, path):
         return
     folder, _, name = path.rpartition("/")
-    unfinished = f"{folder}/_unfinished-{name}"
+    # Without "=": readers take such folders for partitions, also under an underscore.
+    unfinished = f"{folder}/_unfinished-{name.replace("=", "-")}"
     df.write.mode("overwrite").parquet(unfinished)
     if not _files(spark, path).rename(_path(spark, unfinished), _path(spark, path)):
         raise OSError(f"cannot rename {unfinished} to {path}")

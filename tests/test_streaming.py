@@ -209,12 +209,12 @@ def test_restart_with_another_number_of_states(spark, tmp_path, orders):
 def test_a_half_written_folder_is_not_read(spark, tmp_path, orders):
     rows = orders((1, at(), {}))
     results = str(tmp_path / "results")
-    rows.write.parquet(f"{results}/_unfinished-batch=0")
+    rows.write.parquet(f"{results}/_unfinished-batch-0")
     write_once(rows, f"{results}/batch=0")
     write_once(rows.union(rows), f"{results}/batch=0")
-    rows.write.parquet(f"{results}/_unfinished-batch=1")
+    rows.write.parquet(f"{results}/_unfinished-batch-1")
     assert batches.read_batches(spark, results).count() == 1
-    assert sorted(os.listdir(results)) == ["_unfinished-batch=1", "batch=0"]
+    assert sorted(os.listdir(results)) == ["_unfinished-batch-1", "batch=0"]
 
 
 def test_an_order_fails_once_across_the_delay(spark, tmp_path, orders, verdicts):

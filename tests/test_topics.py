@@ -59,7 +59,9 @@ def test_bad_records_are_set_aside(spark):
     decoded = topics.decode_orders(records)
     good = topics.accepted(decoded).collect()
     assert [(r.id, r.quantity, r.price, r.customer_id) for r in good] == [("1", 0, 0, None)]
-    assert {r.seq for r in topics.rejected(decoded).collect()} == {1, 2, 3, 4, 5, 6}
+    assert {r.seq for r in topics.rejected(decoded).collect()} == {1, 2, 3, 4, 5}
+    # A null value under a key is no bad record but a delete.
+    assert [(r.id, r.seq) for r in topics.deleted_orders(records).collect()] == [("6", 6)]
 
 
 def test_history(orders, stock):
