@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterable, Sequence
+from operator import index
 from typing import NamedTuple, Protocol
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerline.operators.blocks import BLOCK, ROWS_PER_BLOCK, Split, split_hot
 from ledgerline.session import materialize
@@ -45,10 +47,10 @@ class Fold(Protocol):
     columns: Sequence[str]
     result: T.DataType
 
-    def run(self, state: int, *columns: np.ndarray) -> tuple[Sequence, Piece]:
+    def run(self, state: int, *columns: pa.ChunkedArray) -> tuple[Sequence, Piece]:
         """Each row's result, and the piece around ``state`` with the same results."""
 
-    def probes(self, *columns: np.ndarray) -> Iterable[int]:
+    def probes(self, *columns: pa.ChunkedArray) -> Iterable[int]:
         """Start states worth trying when the true one is not known yet."""
 
 
@@ -69,13 +71,14 @@ class StockReservation:
         self.positive_only = positive_only
 
     def _headroom(self, stock, quantity):
+        stock, quantity = (np.asarray(c).astype(np.int64) for c in (stock, quantity))
         headroom = stock - quantity
         if self.positive_only:
             headroom[quantity <= 0] = LOWEST
-        return headroom
+        return headroom, stock, quantity
 
     def run(self, state, stock, quantity):
-        headroom = self._headroom(stock, quantity)
+        headroom, _, quantity = self._headroom(stock, quantity)
         granted = self._granted(state, headroom, quantity)
         taken = np.where(granted, quantity, 0)
         before = state + np.cumsum(taken) - taken
@@ -94,13 +97,16 @@ class StockReservation:
             return np.ones(len(headroom), dtype=bool)
         if state > headroom.max():
             return np.zeros(len(headroom), dtype=bool)
-        # All rows up to the first refusal are granted; from there on, row by row.
+        # All rows up to the first refusal are granted. From there on the state never falls
+        # below ``least``, so only rows with that much headroom need a look, row by row.
         first = int(refused.argmax())
         granted = np.zeros(len(headroom), dtype=bool)
         granted[:first] = True
         reserved = int(before[first])
-        for i, (room, wanted) in enumerate(
-            zip(headroom[first:].tolist(), quantity[first:].tolist()), first
+        least = reserved + int(np.minimum(quantity[first:], 0).sum())
+        open_rows = first + np.flatnonzero(headroom[first:] >= least)
+        for i, room, wanted in zip(
+            open_rows.tolist(), headroom[open_rows].tolist(), quantity[open_rows].tolist()
         ):
             if reserved <= room:
                 granted[i] = True
@@ -108,7 +114,7 @@ class StockReservation:
         return granted
 
     def probes(self, stock, quantity):
-        headroom = self._headroom(stock, quantity)
+        headroom, stock, quantity = self._headroom(stock, quantity)
         everything_fits = int((headroom - np.cumsum(quantity) + quantity).min())
         nothing_fits = int(headroom.max()) + 1
         sold_out = min(max(int(stock[0]), everything_fits), nothing_fits)
@@ -119,7 +125,7 @@ class StockReservation:
 class RowFold:
     """A fold given as ``step(state, *values) -> (state, result)`` for one row.
 
-    A step says nothing about other start states, so a hot key's blocks can only be
+    Values are of any type, null is None; the state is an integer. A step says nothing about other start states, so a hot key's blocks can only be
     told apart from the states they were tried with: where states do not run together
     soon, that takes a round per block. A ``Fold`` that knows its pieces needs few.
     """
@@ -132,13 +138,16 @@ class RowFold:
         start: int = 0,
         guesses: Sequence[int] = (),
     ):
-        self.columns, self.step, self.result, self.start = columns, step, result, start
-        self.guesses = (start, *guesses)
+        self.columns, self.step, self.result = columns, step, result
+        # Other states than integers are an error.
+        self.start = index(start)
+        self.guesses = (self.start, *map(index, guesses))
 
     def run(self, state, *columns):
         first, results = state, []
-        for values in zip(*(c.tolist() for c in columns)):
+        for values in zip(*(c.to_pylist() for c in columns)):
             state, result = self.step(state, *values)
+            state = index(state)
             results.append(result)
         return results, Piece(first, first, state - first)
 
@@ -157,7 +166,7 @@ def ordered_fold(
 ) -> DataFrame:
     """Add ``column``: the fold's result for each row, per key in ``order``.
 
-    Rows without a key are left out, ``fold.columns`` must not be null. ``rows`` may be
+    Rows without a key are left out, ``StockReservation`` takes no nulls. ``rows`` may be
     split already, by an ordered operator before this one; its parts must be readable
     again. ``starts`` has the columns keys and ``start``: the state of keys that do not
     begin at ``fold.start``.
@@ -170,12 +179,13 @@ def ordered_fold(
             rows = rows._replace(hot=materialize(rows.hot))
     columns = rows.cold.columns
     schema = T.StructType([*rows.cold.schema.fields, T.StructField(column, fold.result)])
+    result_type = to_arrow_type(fold.result)
 
     def apply(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in order])
         state = table.column("start")[0].as_py()
-        results, _ = fold.run(state, *_arrays(table, fold.columns))
-        return table.select(columns).append_column(column, pa.array(results))
+        results, _ = fold.run(state, *_columns(table, fold.columns))
+        return table.select(columns).append_column(column, pa.array(results, result_type))
 
     start = F.lit(fold.start).cast("bigint")
     if starts is None:
@@ -187,15 +197,14 @@ def ordered_fold(
     folded = cold.groupBy(*keys).applyInArrow(apply, schema)
     if rows.hot is None:
         return folded
-    # One row per block, which bounds the broadcast; see blocks.hot_keys.
-    solved = F.broadcast(_solve(rows.hot, keys, order, fold, starts))
     group = [*keys, BLOCK]
+    solved = _solve(rows.hot, keys, order, fold, starts)
     blocks = rows.hot.join(solved, group).groupBy(*group).applyInArrow(apply, schema)
     return folded.unionByName(blocks)
 
 
-def _arrays(table: pa.Table, columns: Sequence[str]) -> list[np.ndarray]:
-    return [table.column(c).to_numpy().astype(np.int64) for c in columns]
+def _columns(table: pa.Table, columns: Sequence[str]) -> list[pa.ChunkedArray]:
+    return [table.column(c) for c in columns]
 
 
 def _solve(
@@ -205,67 +214,75 @@ def _solve(
     fold: Fold,
     starts: DataFrame | None,
 ) -> DataFrame:
-    """The true start state of every block, as rows (keys, block, start)."""
-    spark = hot.sparkSession
+    """The true start state of every block, as rows (keys, block, start).
+
+    Blocks report their pieces, and a task per key follows these from block to block: a
+    few small rows per block. The driver learns only whether blocks are still open.
+    """
     group = [*keys, BLOCK]
     hot = hot.select(*dict.fromkeys([*group, *order, *fold.columns]))
-    group_schema = T.StructType([hot.schema[c] for c in group])
-    start_schema = T.StructType([*group_schema.fields, T.StructField("start", T.LongType())])
+    fields = [hot.schema[c] for c in group]
+    start_schema = T.StructType(
+        [*fields, T.StructField("start", T.LongType()), T.StructField("open", T.BooleanType())]
+    )
     piece_schema = T.StructType(
-        [*group_schema.fields]
-        + [T.StructField(name, T.LongType()) for name in Piece._fields]
+        [*fields] + [T.StructField(name, T.LongType()) for name in Piece._fields]
     )
 
     def pieces(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in order])
-        arrays = _arrays(table, fold.columns)
+        columns = _columns(table, fold.columns)
         if "start" in table.column_names:
             states = {table.column("start")[0].as_py()}
         else:
-            states = {int(state) for state in fold.probes(*arrays)}
-        found = [fold.run(state, *arrays)[1] for state in sorted(states)]
+            states = {int(state) for state in fold.probes(*columns)}
+        found = [fold.run(state, *columns)[1] for state in sorted(states)]
         same = table.select(group).slice(0, 1)
-        return pa.concat_tables([same] * len(found)).select(group).append_column(
+        return pa.concat_tables([same] * len(found)).append_column(
             "low", pa.array([p.low for p in found], pa.int64())
         ).append_column("high", pa.array([p.high for p in found], pa.int64())).append_column(
             "shift", pa.array([p.shift for p in found], pa.int64())
         )
 
-    # Per key and block (ascending) the pieces known; one entry per block.
-    known: dict[tuple, dict[int, list[Piece]]] = {}
-
-    def learn(frame: DataFrame) -> None:
-        for row in frame.groupBy(*group).applyInArrow(pieces, piece_schema).collect():
-            blocks = known.setdefault(tuple(row[k] for k in keys), {})
-            blocks.setdefault(row[BLOCK], []).append(Piece(row.low, row.high, row.shift))
-
-    learn(hot)
-    begin = {}
-    if starts is not None:
-        # Hot keys only, whose number is bounded; see blocks.hot_keys.
-        listed = spark.createDataFrame(list(known), T.StructType(group_schema.fields[:-1]))
-        for row in starts.join(F.broadcast(listed), keys).collect():
-            begin[tuple(row[k] for k in keys)] = row["start"]
+    def walk(table: pa.Table) -> pa.Table:
+        blocks: dict[int, list[Piece]] = {}
+        for block, *piece in zip(*(table.column(c).to_pylist() for c in (BLOCK, *Piece._fields))):
+            blocks.setdefault(block, []).append(Piece(*piece))
+        state = table.column("begin")[0].as_py()
+        begins, still_open = [], []
+        for block in sorted(blocks):
+            begins.append(state)
+            piece = _covering(blocks[block], state)
+            still_open.append(piece is None)
+            if piece is None:
+                # Go on from the nearest known piece: a guess, checked next round.
+                piece = min(blocks[block], key=lambda p: max(p.low - state, state - p.high))
+                state = min(max(state, piece.low), piece.high)
+            state += piece.shift
+        same = table.select(keys).slice(0, 1)
+        return pa.concat_tables([same] * len(begins)).append_column(
+            BLOCK, pa.array(sorted(blocks), table.schema.field(BLOCK).type)
+        ).append_column("start", pa.array(begins, pa.int64())).append_column(
+            "open", pa.array(still_open, pa.bool_())
+        )
+
+    def learned(rows: DataFrame) -> DataFrame:
+        return materialize(rows.groupBy(*group).applyInArrow(pieces, piece_schema))
+
+    begin = F.lit(fold.start).cast("bigint")
+    known = learned(hot)
     while True:
-        solved, open_blocks = [], []
-        for key, blocks in known.items():
-            state = begin.get(key, fold.start)
-            for block in sorted(blocks):
-                solved.append((*key, block, state))
-                piece = _covering(blocks[block], state)
-                if piece is None:
-                    open_blocks.append((*key, block, state))
-                    # Go on from the nearest known piece: a guess, checked next round.
-                    piece = min(
-                        blocks[block],
-                        key=lambda p: max(p.low - state, state - p.high),
-                    )
-                    state = min(max(state, piece.low), piece.high)
-                state += piece.shift
-        if not open_blocks:
-            return spark.createDataFrame(solved, start_schema)
+        placed = known
+        if starts is not None:
+            placed = known.join(starts.select(*keys, F.col("start").alias("begin")), keys, "left")
+            placed = placed.withColumn("begin", F.coalesce("begin", begin))
+        else:
+            placed = known.withColumn("begin", begin)
+        walked = materialize(placed.groupBy(*keys).applyInArrow(walk, start_schema))
+        if walked.where("open").isEmpty():
+            return walked.drop("open")
         # The first open block of each key has its true state, so each round settles it.
-        learn(hot.join(F.broadcast(spark.createDataFrame(open_blocks, start_schema)), group))
+        known = known.unionByName(learned(hot.join(walked.where("open").drop("open"), group)))
 
 
 def _covering(pieces: list[Piece], state: int) -> Piece | None:

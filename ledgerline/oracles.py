@@ -345,6 +345,8 @@ def oracle_sql() -> dict[str, str]:
         "validated_orders",
         "failed_orders",
         "order_state",
+        "all_validations",
+        "order_lifecycle",
     ):
         queries[f"stream_{name}"] = queries[name]
     return queries

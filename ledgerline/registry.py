@@ -17,7 +17,8 @@ from ledgerline.functions import encode_order, is_sane_order
 from ledgerline.operators import last_per_key, route
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
 from ledgerline.plans import checks, outcomes, topics
-from ledgerline.session import checkpoint_dir, prepare
+from ledgerline.session import checkpoint_dir, listed, prepare
+from ledgerline.sources import append_topic, read_topic, write_state
 from ledgerline.streaming import batches, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,26 @@ class Inputs:
     def state(self) -> DataFrame:
         return outcomes.order_state(self.log)
 
+    def folder(self, name: str) -> str:
+        return f"{checkpoint_dir(self.spark)}/{name}-{uuid.uuid4()}"
+
+    def stored(self, rows: DataFrame, topic: str) -> DataFrame:
+        """The rows written to a topic folder and read from it; there ids are text."""
+        schema = schemas.with_envelope(schemas.TOPICS[topic])
+        path = self.folder("topic")
+        append_topic(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]), path)
+        read = read_topic(self.spark, path, topic)
+        return read.select(
+            *[F.col(f.name).cast(f.dataType) for f in rows.schema if f.name in read.columns]
+        )
+
+    @cached_property
+    def stored_state(self) -> DataFrame:
+        """The order table as written for lookups."""
+        path = self.folder("state")
+        write_state(self.state, path, 8)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def wire(self) -> DataFrame:
         """Orders as JSON text, some of it cut off, misspelt or without numbers."""
@@ -134,7 +155,8 @@ def _ingest(i: Inputs) -> DataFrame:
     """Made-up customers are random: only that they are UUIDs of 36 characters is shown."""
     generated = F.length("customer_id") == 36
     requests = i.orders.select("id", "product", "quantity", "price", "customer_id")
-    return topics.ingest_orders(requests).select(
+    rows = topics.ingest_orders(requests).join(i.orders.select("id", "ts", "seq"), "id")
+    return i.stored(rows, schemas.ORDERS).select(
         "id",
         "status",
         "product",
@@ -158,13 +180,13 @@ def _history(records: DataFrame) -> DataFrame:
 
 def _lookup_failed(i: Inputs) -> DataFrame:
     failing = i.validations.where(F.col("result") == "FAIL")
-    return outcomes.lookup(i.state, failing.select(F.col("order_id").alias("id")))
+    return outcomes.lookup(i.stored_state, failing.select(F.col("order_id").alias("id")))
 
 
 BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
     # Sources, filters, projections
-    "scan_orders": lambda i: i.orders.select(ORDER),
-    "scan_validations": lambda i: i.validations.drop("seq"),
+    "scan_orders": lambda i: i.stored(i.orders, schemas.ORDERS).select(ORDER),
+    "scan_validations": lambda i: i.stored(i.validations, schemas.ORDER_VALIDATIONS).drop("seq"),
     "filter_created": lambda i: checks.created(i.orders).select(ORDER),
     "rekey_by_product": lambda i: checks.created(i.orders).select(
         F.col("product").alias("key"), *ORDER
@@ -183,7 +205,9 @@ BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
     "order_log": lambda i: i.log.drop("seq"),
     "order_state": lambda i: i.state.select(ORDER),
     "lookup_order": lambda i: _lookup_failed(i).select(ORDER),
-    "lookup_validated": lambda i: i.state.where(F.col("status") == "VALIDATED").select(ORDER),
+    "lookup_validated": lambda i: outcomes.lookup(
+        i.stored_state, i.orders.select("id"), F.col("status") == "VALIDATED"
+    ).select(ORDER),
     # Checks
     "details_check": lambda i: checks.details_check(i.orders),
     "fraud_sessions": _fraud_sessions,
@@ -286,30 +310,42 @@ class Streams:
     def written(self, rows: DataFrame, job: Callable[..., StreamingQuery]) -> DataFrame:
         """What ``job`` wrote, as the stream a later job reads."""
         path = f"{self.folder}/{job.__name__}"
-        if "batch=" in rows.inputFiles()[0]:
+        if any(name.startswith("batch=") for name in listed(self.spark, path)):
             return batches.stream_batches(self.spark, path, rows.schema)
         return self.spark.readStream.schema(rows.schema).parquet(path)
 
-    def validated(self) -> DataFrame:
-        counts = self.run(jobs.pass_counts, self.validations, state=True)
-        counts = self.written(counts, jobs.pass_counts)
+    def after(self, job: Callable[..., StreamingQuery], *streams, state: bool = False) -> DataFrame:
+        """What a job writes, as the stream of a job after it."""
+        return self.written(self.run(job, *streams, state=state), job)
+
+    def checked(self) -> DataFrame:
+        """The verdict log that the three checks write."""
+        return self.run(
+            jobs.all_validations,
+            self.after(jobs.details_check, self.orders),
+            self.after(jobs.fraud_check, self.orders, state=True),
+            self.after(jobs.inventory_check, self.orders, self.inventory, state=True),
+        )
+
+    def validated(self, verdicts: DataFrame) -> DataFrame:
+        counts = self.after(jobs.pass_counts, verdicts, state=True)
         return self.run(jobs.validated_orders, counts, self.orders)
 
-    def failed(self) -> DataFrame:
-        return self.run(jobs.failed_orders, self.validations, self.orders, state=True)
+    def failed(self, verdicts: DataFrame) -> DataFrame:
+        return self.run(jobs.failed_orders, verdicts, self.orders, state=True)
 
-    def state(self) -> DataFrame:
-        validated, failed = self.validated(), self.failed()
-        path = f"{self.folder}/{jobs.validated_orders.__name__}"
+    def state(self, verdicts: DataFrame) -> DataFrame:
         log = outcomes.order_log(
             self.orders,
-            self.spark.readStream.schema(validated.schema).parquet(path),
-            batches.stream_batches(
-                self.spark, f"{self.folder}/{jobs.failed_orders.__name__}", failed.schema
-            ),
+            self.written(self.validated(verdicts), jobs.validated_orders),
+            self.written(self.failed(verdicts), jobs.failed_orders),
         )
         return outcomes.order_state(self.run(jobs.order_state, log))
 
+    def lifecycle(self) -> DataFrame:
+        """From orders and stock to the state of every order, all on streams."""
+        return self.state(self.written(self.checked(), jobs.all_validations))
+
     def history(self) -> DataFrame:
         records = {
             schemas.ORDERS: topics.encode_orders(self.orders),
@@ -327,9 +363,11 @@ STREAMING: dict[str, Callable[[Streams], DataFrame]] = {
     ),
     "stream_history_union": lambda s: _history(s.history()),
     "stream_pass_count_running": lambda s: s.run(jobs.pass_counts, s.validations, state=True),
-    "stream_validated_orders": lambda s: s.validated().select(ORDER),
-    "stream_failed_orders": lambda s: s.failed(),
-    "stream_order_state": lambda s: s.state().select(ORDER),
+    "stream_validated_orders": lambda s: s.validated(s.validations).select(ORDER),
+    "stream_failed_orders": lambda s: s.failed(s.validations),
+    "stream_order_state": lambda s: s.state(s.validations).select(ORDER),
+    "stream_all_validations": lambda s: s.checked(),
+    "stream_order_lifecycle": lambda s: s.lifecycle().select(ORDER),
 }
 
 

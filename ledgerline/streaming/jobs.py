@@ -224,6 +224,19 @@ def inventory_check(
     return run_batches(stock_events(orders, inventory), step, path, state, checkpoint, trigger)
 
 
+def all_validations(
+    details: DataFrame,
+    fraud: DataFrame,
+    inventory: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """The verdict log: what the three checks wrote, as one topic."""
+    verdicts = details.unionByName(fraud).unionByName(inventory)
+    return append(verdicts, path, checkpoint, trigger)
+
+
 def pass_counts(
     validations: DataFrame,
     path: str,

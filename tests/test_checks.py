@@ -243,3 +243,32 @@ def test_fold_of_single_rows(spark, block):
     for row in got:
         states[row.k], ticket = step(states[row.k], row.v)
         assert row.ticket == ticket
+
+
+@pytest.mark.parametrize("block", [15, 1000])
+def test_fold_of_any_columns(spark, block):
+    """Doubles, text, nulls and a small integer result; the state is an integer."""
+    data = [("A", n, None if n % 5 == 0 else n + 0.5, "xy"[n % 2]) for n in range(60)]
+    df = spark.createDataFrame(data, "k string, seq bigint, v double, w string")
+
+    def step(state, value, word):
+        state += int((value or 0) * 2) * (word == "x")
+        return state, state % 1000
+
+    fold = RowFold(["v", "w"], step, T.IntegerType())
+    got = ordered_fold(df, ["k"], ["seq"], fold, "out", block).orderBy("seq").collect()
+    state = 0
+    for row, (_, _, value, word) in zip(got, data, strict=True):
+        state, out = step(state, value, word)
+        assert (row.v, row.w, row.out) == (value, word, out)
+
+
+def test_fold_refuses_other_states():
+    with pytest.raises(TypeError):
+        RowFold(["v"], lambda state, v: (state, v), T.LongType(), start=0.5)
+
+
+def test_stock_snapshot_keeps_every_product(spark, orders):
+    now = spark.createDataFrame([("LAMP", 4)], "product string, stock int")
+    placed = orders((1, at(), {"product": "LAMP"}))
+    assert checks.orders_with_stock(placed, now).count() == 1
