@@ -1,13 +1,18 @@
-"""Near-duplicate vectors by a pivot-permutation index.
+"""Near-duplicate vectors by pivots and the cells around them; exact.
 
 Pivots are vectors of the table itself: a bounded sample, the rows with the smallest
-hashes of their values. A vector is described by its NEAREST nearest pivots, in order.
-Each of them has an inverted list of the vectors it describes (per label); two vectors
-that share at least MIN_SHARED pivots meet in the list of the smallest pivot they share,
-and only there, and are compared in double precision. Equal vectors are one.
-
-A list longer than BLOCK is cut into blocks and every pair of blocks is a task of its
-own. Of a pair of blocks come counts per vector and a spanning set of links, not pairs.
+hashes of their values, of which those are taken that are far from all taken before. So a
+large family of near vectors has one pivot, not pivots in proportion. Each vector lives in
+the list of its nearest pivot (per label). It is also sent to the list of every other pivot
+whose cell may hold a near vector: between two cells lies the plane halfway between their
+pivots, and a vector farther from it than near vectors can be apart has none beyond. In
+crowded regions that rules out nearly all other cells; vectors scattered in many dimensions
+are compared with all others of their label, whose number then counts squared. No pair is
+left out. Pairs are compared in double precision. Equal vectors are one.
+
+A cell of more than BLOCK vectors is cut into blocks, and every pair of blocks, of one cell
+or of two, is a task of its own. Of a pair of blocks come counts per vector and a spanning
+set of links, not pairs.
 """
 
 from __future__ import annotations
@@ -28,11 +33,15 @@ COSINE = 0.93
 NEAREST = 8
 MIN_SHARED = 2
 # Pivots: PIVOTS_PER_ROOT per square root of the vectors, at most MAX_PIVOTS (2 MB of 64
-# doubles). Lists then grow with the root too until the table has a million vectors.
+# doubles). Of a label as many are used as its vectors fill blocks.
 PIVOTS_PER_ROOT = 4
 MIN_PIVOTS = 32
 MAX_PIVOTS = 4096
-BLOCK = 1024
+# The cosine of two pivots is at most this.
+PIVOTS_COSINE = 0.7
+BLOCK = 4096
+# Rows of a block that are compared at once.
+STRIP = 512
 
 
 def _unit(values: list | None) -> np.ndarray | None:
@@ -66,63 +75,81 @@ def _matrix(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
 
 
-def _lists(pivots, nearest: int):
-    """A row per pivot that describes the vector, with all of them."""
+def _far_apart(sample: np.ndarray) -> np.ndarray:
+    """Rows of the sample, in order, that are far from all taken before."""
+    taken = np.empty_like(sample)
+    n = 0
+    for unit in sample:
+        if n == 0 or (taken[:n] @ unit).max() <= PIVOTS_COSINE:
+            taken[n] = unit
+            n += 1
+    return taken[:n]
+
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references = {dims: _matrix(raw) for dims, raw in pivots.value.items()}
+def _cells(pivots, cosine: float, block: int):
+    """With each vector its cell, and all cells that may hold a near vector."""
+    # Between vectors at the least cosine; a little more than rounding can take away.
+    apart = np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        between = {d: np.sqrt(np.maximum(2 - 2 * refs @ refs.T, 1e-12)) for d, refs in pivots.value.items()}
         for batch in batches:
-            dims = batch["dims"].to_numpy()
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
+            # As many pivots as the vectors of this label and length fill blocks.
+            dims, needed = batch["dims"].to_numpy(), -(-batch["n"].to_numpy() // block)
+            for d, n in {*zip(dims.tolist(), needed.tolist(), strict=True)}:
+                at = np.flatnonzero((dims == d) & (needed == n))
                 part = batch.take(pa.array(at))
-                units = _matrix(part["unit"].to_pylist())
-                refs = references.get(int(d))
-                if refs is None:  # a length that the sample lacks: one list, in blocks
-                    refs = np.eye(1, int(d))
-                k = min(nearest, len(refs))
-                order = np.argsort(-(units @ refs.T), axis=1, kind="stable")[:, :k].astype("<i4")
-                rows = np.repeat(np.arange(len(at)), k)
-                described = pa.array([o.tobytes() for o in order], pa.binary())
-                wide = part.append_column("described", described).take(pa.array(rows))
-                yield wide.append_column("pivot", pa.array(order.ravel(), pa.int32())).select(
-                    ["label", "dims", "pivot", "rep", "copies", "unit", "described"]
+                refs = pivots.value.get(d, np.eye(1, d))[:n]
+                cosines = _matrix(part["unit"].to_pylist()) @ refs.T
+                home = cosines.argmax(axis=1)
+                beyond = cosines.max(axis=1, keepdims=True) - cosines
+                may = beyond <= apart * between[d][home, : len(refs)] if len(refs) > 1 else beyond <= 0
+                may[np.arange(len(at)), home] = True
+                others = [np.flatnonzero(x).astype(np.int32) for x in may]
+                yield pa.RecordBatch.from_arrays(
+                    [part[c] for c in ("label", "dims", "rep", "copies", "unit")]
+                    + [pa.array(home.astype(np.int32)), pa.array(others, pa.list_(pa.int32()))],
+                    ["label", "dims", "rep", "copies", "unit", "home", "others"],
                 )
 
-    return lists
+    return cells
 
 
-def _compare(cosine: float, min_shared: int):
-    """Counts and spanning links of one pair of blocks of one list."""
+def _compare(cosine: float):
+    """Counts and spanning links of one pair of blocks."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        pivot, side = key[2].as_py(), table["side"].to_numpy()
+        a, b, i, j = (k.as_py() for k in key[2:])
+        side = table["side"].to_numpy()
         rep, copies = table["rep"].to_numpy(), table["copies"].to_numpy()
         units = _matrix(table["unit"].to_pylist())
-        described = [np.frombuffer(x, "<i4") for x in table["described"].to_pylist()]
-        known, place = np.unique(np.concatenate(described), return_inverse=True)
-        has = np.zeros((len(rep), len(known)), np.float32)
-        has[np.repeat(np.arange(len(rep)), [len(x) for x in described]), place] = 1
-        smaller = has[:, known < pivot]
-        whole = key[3].as_py() == key[4].as_py()
+        whole = a == b and i == j
         left = np.arange(len(rep)) if whole else np.flatnonzero(side == 0)
         right = left if whole else np.flatnonzero(side == 1)
-        # Pairs that meet here: enough pivots shared, none of them smaller.
-        meet = (has[left] @ has[right].T >= min(min_shared, len(described[0]))) & (smaller[left] @ smaller[right].T == 0)
-        near = meet & (units[left] @ units[right].T >= cosine)
+        strips = [slice(k, k + STRIP) for k in range(0, len(left), STRIP)]
+        near = np.empty((len(left), len(right)), bool)
+        for s in strips:
+            near[s] = units[left[s]] @ units[right].T >= cosine
         if whole:
-            near &= rep[left][:, None] != rep[right][None, :]
+            np.fill_diagonal(near, False)
+        # Only rows with a link go on.
+        rows, columns = near.any(axis=1), near.any(axis=0)
+        left, right, near = left[rows], right[columns], near[np.ix_(rows, columns)]
+        strips = [slice(k, k + STRIP) for k in range(0, len(left), STRIP)]
         counts = np.zeros(len(rep), np.int64)
-        counts[left] += near @ copies[right]
-        if not whole:
-            counts[right] += near.T @ copies[left]
+        for s in strips:
+            counts[left[s]] += near[s] @ copies[right]
+            if not whole:
+                counts[right] += near[s].T @ copies[left[s]]
         # The smallest vector each can reach inside these blocks.
-        reach = rep.copy()
+        reach, big = rep.copy(), np.iinfo(np.int64).max
         while True:
             new = reach.copy()
-            big = np.iinfo(np.int64).max
-            np.minimum.at(new, left, np.where(near, reach[right][None, :], big).min(axis=1, initial=big))
-            np.minimum.at(new, right, np.where(near, reach[left][:, None], big).min(axis=0, initial=big))
+            for s in strips:
+                to = np.where(near[s], reach[right][None, :], big).min(axis=1, initial=big)
+                back = np.where(near[s], reach[left[s]][:, None], big).min(axis=0, initial=big)
+                np.minimum.at(new, left[s], to)
+                np.minimum.at(new, right, back)
             if (new == reach).all():
                 break
             reach = new
@@ -145,7 +172,8 @@ def near_vectors(
     ``vectors`` has an integer vec_id, embedding (numbers) and label. Vectors link if
     their labels and lengths are equal and the cosine is at least ``cosine``. A null
     label, a null, empty or zero vector, or one with null or non-finite components links
-    with nothing. Rows that repeat a vec_id are vectors of their own which count as links
+    with nothing. ``nearest`` and ``min_shared`` once told which pairs to pass over; none is
+    now, and they change nothing. At most ``pivots`` vectors are pivots. Rows that repeat a vec_id are vectors of their own which count as links
     of each other if equal; a row without vec_id counts as a link but has no component.
     """
     spark = vectors.sparkSession
@@ -166,31 +194,40 @@ def near_vectors(
         pivots = math.ceil(PIVOTS_PER_ROOT * math.sqrt(distinct.count()))
         pivots = min(MAX_PIVOTS, max(MIN_PIVOTS, pivots))
     sample = distinct.select("dims", "name", "unit").orderBy(F.xxhash64("name"), "name").limit(pivots)
-    references: dict[int, list[bytes]] = {}
+    sampled: dict[int, list[bytes]] = {}
     for row in sample.collect():
-        references.setdefault(row.dims, []).append(bytes(row.unit))
-    lists = distinct.mapInArrow(
-        _lists(spark.sparkContext.broadcast(references), nearest),
-        "label string, dims int, pivot int, rep long, copies long, unit binary, described binary",
+        sampled.setdefault(row.dims, []).append(bytes(row.unit))
+    references = {dims: _far_apart(_matrix(raw)) for dims, raw in sampled.items()}
+    of = ["label", "dims"]
+    cells = materialize(
+        distinct.join(distinct.groupBy(of).agg(F.count("*").alias("n")), of).mapInArrow(
+            _cells(spark.sparkContext.broadcast(references), cosine, block),
+            "label string, dims int, rep long, copies long, unit binary, home int, others array<int>",
+        )
     )
-    of = ["label", "dims", "pivot"]
-    blocks = F.ceil(F.count("*") / block).cast("int").alias("blocks")
-    sizes = lists.groupBy(of).agg(blocks).where("blocks > 1")
-    own = F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int")
-    # A row in block i goes to the pairs (0, i) .. (i, i) .. (i, last).
+    sizes = cells.groupBy(*of, "home").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    theirs = sizes.select(*of, F.col("home").alias("other"), F.col("blocks").alias("their_blocks"))
+    # A row in block ``own`` of its cell goes to the pairs with every block of the other;
+    # within a cell to (0, own) .. (own, own) .. (own, last).
+    first = F.when(F.col("home") == F.col("other"), F.col("own") <= F.col("block")).otherwise(F.col("home") < F.col("other"))
     pairs = (
-        lists.join(sizes, of, "left")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        .withColumn("i", F.least("own", "other").cast("int"))
-        .withColumn("j", F.greatest("own", "other").cast("int"))
-        .withColumn("side", (F.col("own") == F.col("j")).cast("int"))
-        .select(*of, "i", "j", "side", "rep", "copies", "unit", "described")
-    )
-    found = materialize(
-        pairs.groupBy(*of, "i", "j").applyInArrow(
-            _compare(cosine, min_shared), "rep long, links long, root long"
+        cells.withColumn("other", F.explode("others"))
+        .join(sizes, [*of, "home"], "left")
+        .join(theirs, [*of, "other"], "left")
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("their_blocks", F.lit(1)) - 1)))
+        .select(
+            *of,
+            F.least("home", "other").alias("a"),
+            F.greatest("home", "other").alias("b"),
+            F.when(first, F.col("own")).otherwise(F.col("block")).alias("i"),
+            F.when(first, F.col("block")).otherwise(F.col("own")).alias("j"),
+            F.when(first, F.lit(0)).otherwise(F.lit(1)).alias("side"),
+            "rep", "copies", "unit",
         )
+    )
+    found = materialize(
+        pairs.groupBy(*of, "a", "b", "i", "j").applyInArrow(_compare(cosine), "rep long, links long, root long")
     )
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -55,6 +55,22 @@ def test_near_vectors_equal_brute_force(spark, block):
     assert {tuple(r) for r in found} == brute(rows)
 
 
+@pytest.mark.parametrize(("n", "block"), [(2000, None), (6000, None), (6000, 300)])
+def test_near_vectors_of_a_crowded_family_are_all_found(spark, n, block):
+    rng = np.random.default_rng(n)
+    centre = rng.normal(size=64)
+    centre /= np.linalg.norm(centre)
+    v = rng.normal(size=(n, 64))
+    v[: n // 3] = centre + rng.normal(size=(n // 3, 64)) * 0.27 / 8
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist(), 1, "", 1) for i, x in enumerate(v)], VECTORS)
+    found = pivots.near_vectors(df, **({"block": block} if block else {})).collect()
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    expected = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert 0 < expected[: n // 3].mean() < n // 3 - 1
+    assert {r.vec_id: r.n_links for r in found} == dict(enumerate(expected.tolist()))
+
+
 def test_near_vectors_of_odd_tables(spark):
     none = spark.createDataFrame([], VECTORS)
     assert pivots.near_vectors(none).collect() == []
