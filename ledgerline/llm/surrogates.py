@@ -5,7 +5,8 @@ digits, whatever the punctuation) is an entity. All entities of the corpus are a
 each is given a surrogate drawn from a keyed hash, of the same kind: digits for digits,
 letters for letters, valid numbers for valid numbers, a name of the same script and gender
 for a name. Entities whose surrogates collide, or whose surrogate is an entity itself, draw
-again, round by round, until all differ. Then the same entity has the same surrogate
+again, round by round, until all differ; late rounds draw longer surrogates, so that there
+are enough however many entities there are. Then the same entity has the same surrogate
 everywhere, and different ones have different surrogates. The surrogate takes the format
 of each mention: its case, its separators.
 
@@ -30,6 +31,9 @@ from pyspark.sql import types as T
 from ledgerline.session import materialize
 
 ROUNDS = 40
+# Rounds after which surrogates are longer by one more syllable, letter or digit; the first
+# GROW rounds twice, so that most keep the entity's format.
+GROW = 4
 
 _TITLES = {
     "m": "Mr Mister Sir Herr Monsieur Señor Sr Don Signor господин".split(),
@@ -118,6 +122,11 @@ def _essence(kind: str, found: str) -> str:
     return found
 
 
+def _masked(secret: str) -> bool:
+    """Whether somebody has already put one and the same sign in place of each character."""
+    return len(set(secret)) == 1 and not secret[0].isalnum()
+
+
 def _script(name: str) -> str:
     return "cyrillic" if unicodedata.name(name[0], "").startswith("CYRILLIC") else "latin"
 
@@ -134,6 +143,8 @@ def mentions(text: str | None) -> list[Mention]:
             start, stop = m.span(1)
             if kind == "name" and not all(map(_upper, re.split(r"[ -]", m[1]))):
                 continue
+            if kind == "secret" and _masked(m[1]):
+                continue
             if any(start < x.stop and x.start < stop for x in found):
                 continue
             entity = _essence(kind, m[1])
@@ -170,23 +181,25 @@ class _Draw:
 def surrogate(key: bytes, kind: str, entity: str, round_: int) -> str:
     """The essence of the entity's surrogate in this round."""
     draw = _Draw(key, kind, entity, round_)
+    more = max(0, round_ // GROW - 1)
     if kind == "name":
         script, gender, name = entity.split(" ", 2)
         given, ending = _GIVEN[script, gender], _ENDINGS[script, gender]
-        family = "".join(_SYLLABLES[script][draw.below(16)] for _ in range(3)) + ending[draw.below(2)]
+        family = "".join(_SYLLABLES[script][draw.below(16)] for _ in range(3 + more)) + ending[draw.below(2)]
         parts = name.count(" ") + 1
         first = [given[draw.below(len(given))] for _ in range(parts - 1)]
         return f"{script} {gender} " + " ".join([*first, family]).casefold()
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
+    symbols = kind == "secret" and not any(map(str.isalnum, entity))
     keep = 4 if kind == "key" else 2 if kind == "iban" else 0
     out = []
     for i, c in enumerate(entity):
         if i < keep:
             out.append(c)
-        elif c.isascii() and c.isdigit():
+        elif c.isnumeric():
             out.append(str(draw.below(10)))
-        elif c.isalpha():
+        elif c.isalpha() or symbols:
             if kind == "secret" and re.fullmatch(r"[0-9a-f]+", entity):
                 out.append("abcdef"[draw.below(6)])
             else:
@@ -196,11 +209,18 @@ def surrogate(key: bytes, kind: str, entity: str, round_: int) -> str:
     if kind == "email":  # the last label of the host says what kind of host it is
         host = entity.rsplit(".", 1)[1]
         out[len(out) - len(host) :] = host
+    extra = [draw.below(10 if kind in ("ssn", "phone", "card") else 26) for _ in range(more)]
     if kind == "phone" and len(out) >= 10:
         out[: len(out) - 10] = entity[: len(out) - 10]  # the country
         out[-10] = str(2 + draw.below(8))
+    if kind in ("ssn", "phone", "card"):
+        out += map(str, extra)
+    elif kind == "email":  # the host stays as long as it was
+        out = [chr(97 + x) for x in extra] + out
+    else:
+        out += [chr((65 if kind == "iban" else 97) + x) for x in extra]
     if kind == "card":
-        out[0] = entity[0]
+        out[0] = str(int(entity[0]))
         if _luhn([int(c) for c in entity]):
             digits = [int(c) for c in out]
             out[-1] = next(str(d) for d in range(10) if _luhn([*digits[:-1], d]))
@@ -215,13 +235,15 @@ def render(kind: str, found: str, essence: str) -> str:
         shown = [w.upper() if found.isupper() and len(found) > 2 else w.capitalize() for w in words]
         return shown[0] + "".join(g + w for g, w in zip(gaps, shown[1:], strict=True))
     if kind == "email":
-        return "".join(e.upper() if c.isupper() else e for c, e in zip(found, essence, strict=True))
+        more = len(essence) - len(found)
+        same = "".join(e.upper() if c.isupper() else e for c, e in zip(found, essence[more:], strict=True))
+        return essence[:more] + same
     if kind in ("ssn", "phone", "card"):
         digits = iter(essence)
-        return "".join(next(digits) if c.isdigit() else c for c in found)
+        return "".join(next(digits) if c.isdigit() else c for c in found) + "".join(digits)
     if kind == "iban":
         rest = iter(essence)
-        return "".join(c if c == " " else next(rest) for c in found)
+        return "".join(c if c == " " else next(rest) for c in found) + "".join(rest)
     return essence
 
 
@@ -260,8 +282,9 @@ def distinct_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, drawn): a different surrogate for each of the distinct ``entities``.
 
     A surrogate that is one of the entities, or that a smaller entity drew as well, is
-    drawn again. Raises if ROUNDS do not suffice: then there are about as many entities of
-    a kind and format as there can be.
+    drawn again, from GROW rounds to GROW rounds with one more syllable, letter or digit.
+    Only addresses (ip) cannot grow: it raises if ROUNDS do not suffice for them, which
+    takes about as many as half of all that there can be.
     """
     schema = "kind string, entity string, round int, drawn string"
     settled, todo = None, entities.withColumn("round", F.lit(0))
@@ -304,7 +327,8 @@ def pseudonymize(docs: DataFrame, key: str, count: str | None = None) -> DataFra
 
     ``key`` is the secret: the same key gives the same surrogates for the same corpus. With
     ``count`` a column of that name has the number of mentions. Null and empty texts have no
-    mentions; repeated rows stay. A name needs a title before it (Mr, Frau, Señora ...);
+    mentions; repeated rows stay. A secret masked already (one sign repeated, ********) is
+    none. A name needs a title before it (Mr, Frau, Señora ...);
     after a title without gender the surrogate is of neither. Column names that begin with
     an underscore are taken.
     """

@@ -313,3 +313,25 @@ def test_colliding_surrogates_are_drawn_again(spark):
     drawn = [r.drawn for r in rows]
     assert len(set(drawn)) == len(rows) == 400
     assert not set(drawn) & {r.entity for r in rows}
+
+
+def test_surrogates_suffice_for_very_many_entities(spark):
+    made = [("name", f"latin m smith{i}") for i in range(20_000)] + [("email", f"{a}@{b}.com") for a in "abcde" for b in "%-"]
+    made += [("secret", f"====={c}") for c in "abcdefghijklmnopqrstuvwxyz"] + [("phone", f"{i:03d}") for i in range(1000)]
+    made += [("secret", "٣٤٥٦٧٨"), ("iban", "DE00"), ("key", "sk-" + "_" * 20), ("phone", "٣٤٥")]
+    rows = surrogates.distinct_surrogates(spark.createDataFrame(made, "kind string, entity string"), b"key").collect()
+    assert {(r.kind, r.entity) for r in rows} == set(made)
+    drawn = {(r.kind, r.drawn) for r in rows}
+    assert len(drawn) == len(made) and not drawn & set(made)
+    for r in rows:
+        if r.kind == "phone" and r.entity.isascii():
+            assert surrogates.render("phone", f"{r.entity[:2]}-{r.entity[2]}", r.drawn).replace("-", "") == r.drawn
+        if r.kind == "email":
+            assert surrogates.render("email", r.entity.upper(), r.drawn).lower() == r.drawn
+
+
+def test_secrets_without_letters_or_digits(spark):
+    rows = [(1, "password: ******** then"), (2, "token = ______"), (3, "pwd=!@#$%^&* then")]
+    found = {r.doc_id: r for r in surrogates.pseudonymize(table(spark, rows), "key", "n").collect()}
+    assert [(found[i].text, found[i].n) for i in (1, 2)] == [(t, 0) for _, t in rows[:2]]
+    assert found[3].n == 1 and "!@#" not in found[3].text and found[3].text.endswith(" then")
