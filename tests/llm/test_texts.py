@@ -248,6 +248,24 @@ def test_the_ratio_refuses_what_trusted_texts_lack(spark):
     assert min(score[i] for i in range(300)) > max(score[i] for i in range(300, 400))
 
 
+def test_the_ratio_does_not_depend_on_the_size_of_the_table(spark):
+    good = [" ".join(words(i, 40, 20)) for i in range(200)]
+    bad = [" ".join(words(i, 10 + i % 20, 20) + ["buy" + w for w in words(i, i // 2)]) for i in range(60)]
+    texts = list(enumerate(good + bad))
+
+    def judged(copies):
+        docs = table(spark, texts).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+        docs = docs.withColumn("doc_id", F.col("doc_id") + 1000 * F.col("copy"))
+        rows = likelihood_ratio.rules(docs, docs.where("doc_id % 1000 < 150").select("text")).collect()
+        assert len(rows) == copies * len(texts)
+        return {(r.doc_id % 1000, r.base_failed, r.kept, round(r.score, 6)) for r in rows}
+
+    once = judged(1)
+    assert judged(10) == once and len(once) == len(texts)
+    refused = {i for i, failed, kept, _ in once if not failed and not kept}
+    assert len(refused & set(range(200))) <= 30 and len(refused & set(range(220, 260))) >= 5
+
+
 def test_languages(spark, odd, none):
     # Languages that write other letters after each other.
     letters = {"aa": "abcde", "bb": "defgh"}
