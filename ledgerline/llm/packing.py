@@ -2,9 +2,10 @@
 
 Every partition tokenizes its documents and packs the pieces by best fit, longest first.
 Sequences with at most SLACK free tokens are finished; the others go on as items. Round by
-round, FAN_IN nodes merge into one and pack the items again, until one node is left, or a
-round joins fewer than one in GAIN of its items (then no two of them fit together any
-more, and what is left is finished as it is). A node takes NODE_ITEMS items on average at
+round, FAN_IN nodes merge into one and pack the items again, until one node is left. After a
+round that joins fewer than one in GAIN of its items only those go on that can still matter:
+the items at most half full (every join needs one, and a node leaves one at most) and as many
+of the emptiest others. That ends when no two unfinished sequences fit together. A node takes NODE_ITEMS items on average at
 least, and no round has fewer nodes than that needs, so no task grows with the table.
 """
 
@@ -198,18 +199,50 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _going_on(fills: dict[int, int], capacity: int) -> tuple[int, int] | None:
+    """(fill, one in): items up to this fill go on, of those of this fill one in so many.
+
+    ``fills`` has how many items have each fill. None if no two fit together.
+    """
+    small = sum(n for fill, n in fills.items() if 2 * fill <= capacity)
+    if not small:
+        return None
+    least = min(fills)
+    # Any two small items fit together; a single one needs room in another item.
+    fit, found = capacity // 2, 0
+    for fill in sorted(f for f in fills if 2 * f > capacity and f + least <= capacity):
+        fit, found = fill, found + fills[fill]
+        if found >= small:
+            break
+    if small == 1 and not found:
+        return None
+    return fit, max(1, fills[fit] // (4 * small + 16)) if found else 1
+
+
 def pack_bins(bins: DataFrame, capacity: int = MAX_LENGTH, slack: int = SLACK) -> DataFrame:
     """The rounds after the first: (fill, pieces, node, place) of finished sequences."""
     done: list[DataFrame] = []
-    level = 0
+    level, few = 0, False
     nodes = bins.agg(F.max("node")).first()[0]
     while True:
         finished = bins.where(F.col("fill") >= capacity - slack)
         done.append(finished.withColumn("level", F.lit(level)))
         left = bins.where(F.col("fill") < capacity - slack)
-        count = left.count()
-        if not count or nodes == 0:
+        # At most ``capacity`` rows.
+        fills = {r["fill"]: r["count"] for r in left.groupBy("fill").count().collect()}
+        if not fills or (nodes == 0 and not few):
             break
+        if few:
+            choice = _going_on(fills, capacity)
+            if choice is None:
+                break
+            some = F.pmod(F.xxhash64("node", "place", F.lit(-level)), F.lit(choice[1])) == 0
+            goes = (F.col("fill") < choice[0]) | ((F.col("fill") == choice[0]) & some)
+            done.append(left.where(~goes).withColumn("level", F.lit(level)))
+            # Each small item takes the room of one other at most, and as many go on that
+            # have at least the room of those that stay.
+            left = left.where(goes)
+        count = left.count() if few else sum(fills.values())
         nodes = max(nodes // FAN_IN, count // NODE_ITEMS)
         # Other neighbours in each round: a node's items come from all over.
         node = F.pmod(F.xxhash64("node", "place", F.lit(level)), F.lit(nodes + 1))
@@ -217,10 +250,7 @@ def pack_bins(bins: DataFrame, capacity: int = MAX_LENGTH, slack: int = SLACK) -
             left.withColumn("node", node).groupBy("node").applyInArrow(_pack_bins(capacity), BINS)
         )
         level += 1
-        if bins.count() * GAIN > count * (GAIN - 1):
-            nodes = 0
-            left = bins
-            break
+        few = few or bins.count() * GAIN > count * (GAIN - 1)
     done.append(left.withColumn("level", F.lit(level)))
     out = done[0]
     for more in done[1:]:

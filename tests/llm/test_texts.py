@@ -152,6 +152,18 @@ def test_packing_rounds_join_what_partitions_leave(spark):
     assert packed.select("sequence_id").distinct().count() <= -(-total // 512) + 1
 
 
+def test_packing_goes_on_until_no_two_sequences_fit(spark):
+    bins = [(80, node, place) for node in range(40) for place in range(100)]
+    bins += [(24, node, 100) for node in range(0, 40, 5)]
+    rows = [(fill, [(10**6 * node + place, 0, 0, fill, 0)], node, place) for fill, node, place in bins]
+    packed = packing.pack_bins(spark.createDataFrame(rows, packing.BINS), capacity=100, slack=2).collect()
+    assert sorted(p.doc_id for r in packed for p in r.pieces) == sorted(x[1][0][0] for x in rows)
+    assert all(r.fill == sum(p.length for p in r.pieces) <= 100 for r in packed)
+    assert len({(r.level, r.node, r.place) for r in packed}) == len(packed)
+    least, second = sorted(r.fill for r in packed)[:2]
+    assert least + second > 100
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins = packing.best_fit([5, 6, 4, 3, 2], 10)
     assert sorted(sum([5, 6, 4, 3, 2][i] for i in b) for b in bins) == [10, 10]
