@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import (
@@ -17,9 +18,12 @@ from ledgerline.llm import (
     cotraining,
     forest,
     language,
+    licenses,
     likelihood_ratio,
     packing,
+    periodic,
     pivots,
+    repair,
     surrogates,
     toxicity,
 )
@@ -107,6 +111,81 @@ def archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def licensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+
+    def labels(spans: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    base = F.filter("spans", lambda s: s["base"])
+    starts = F.transform(base, lambda s: s["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows with faults put in by hash; dropped ones are ``absent`` and only name their conversation."""
+    role, text = (F.coalesce(c, F.lit(" ")) for c in ("role", "text"))
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    lot = F.crc32(F.encode(key, "utf-8")) % 20
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), lot.alias("lot"))
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("lot") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("lot") == 1, "")
+        .when(F.col("lot") == 2, F.translate("text", ".!?", ""))
+        .otherwise(F.col("text"))
+        .alias("text"),
+        (F.col("lot") == 0).alias("absent"),
+        F.explode(F.when(F.col("lot") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    ).drop("copy")
+
+
+def repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(damaged(read(spark, sf_dir, "conversations")), absent="absent")
+
+
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """A tenth of the texts made periodic from some word on. A row without doc_id is left alone."""
+    if doc_id is None or not words:
+        return words
+    lot = zlib.crc32(str(doc_id).encode())
+    if lot % 10:
+        return words
+    n, g = len(words), lot // 10
+    begin = g % n
+    period = 1 + (n - begin) // (3 + g % 8)
+    unit = words[begin : begin + period]
+    return words[:begin] + (unit * (-(-(n - begin) // period)))[: n - begin]
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(read(spark, sf_dir, "documents"), planted)
+    best = F.col("strongest")
+    lines = F.transform(
+        "runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    )
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "utf-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "utf-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pivot_vectors": near_vectors,
@@ -119,6 +198,9 @@ def queries() -> dict[str, Query]:
         "op8_surrogates": pseudonyms,
         "op9_kneser_ney_language": languages,
         "op10_capture_index": archived,
+        "op11_diagonal_licenses": licensed,
+        "op12_streamed_repair": repaired,
+        "op13_lyndon_runs": periodic_runs,
     }
 
 
