@@ -204,6 +204,66 @@ def queries() -> dict[str, Query]:
     }
 
 
+def license_sql() -> str:
+    """The whole license scan in SQL, of any texts in ``documents``."""
+    rows = [*((*p, "true") for p in licenses.PHRASES), *((*n, "false") for n in licenses.NOTICES)]
+    known = ",\n  ".join(f"({i}, '{label}', {base}, '{text}')" for i, (label, text, base) in enumerate(rows))
+    lower = f"translate(%s, '{licenses.UPPER}', '{licenses.LOWER}')"
+    words = f"list_filter(string_split_regex({lower}, '{licenses.BREAK}'), lambda x: x <> '')"
+    return rf"""
+WITH known(template, label, base, body) AS (VALUES
+  {known}
+), expected AS (
+  SELECT template, label, base, {words % "body"} AS w FROM known
+), rows AS (
+  SELECT row_number() OVER () AS row, doc_id, {words % "coalesce(text, '')"} AS w FROM documents
+), word AS (
+  SELECT row, unnest(w) AS w, unnest(range(len(w))) AS i FROM rows
+), expected_word AS (
+  SELECT template, unnest(w) AS w, unnest(range(len(w))) AS t FROM expected
+), gram AS (
+  SELECT row, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k:k+2])) AS g,
+    unnest(range(len(w) - 2)) AS i FROM rows WHERE len(w) > 2
+), expected_gram AS (
+  SELECT template, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k:k+2])) AS g,
+    unnest(range(len(w) - 2)) AS t FROM expected
+), votes AS (
+  SELECT row, template, i - t AS diagonal, count(*) AS votes, min(t) AS low, max(t) AS high
+  FROM gram JOIN expected_gram USING (g) GROUP BY ALL
+), opened AS (
+  SELECT v.*, e.label, e.base, len(e.w) AS size,
+    CASE WHEN e.base THEN 1
+      WHEN coalesce(diagonal - lag(diagonal) OVER along > {licenses.NEIGHBOURS}, true) THEN 1 ELSE 0 END AS opens
+  FROM votes v JOIN expected e USING (template) WINDOW along AS (PARTITION BY row, template ORDER BY diagonal)
+), merged AS (
+  SELECT *, sum(opens) OVER (PARTITION BY row, template ORDER BY diagonal) AS stretch FROM opened
+), reaching AS (
+  SELECT row, template, stretch, label, base, size, min(diagonal + low) AS first,
+    max(diagonal + high + {licenses.GRAM - 1}) AS last, sum(high - low + {licenses.GRAM}) AS reach
+  FROM merged GROUP BY ALL
+), matching AS (
+  SELECT m.row, m.template, m.stretch, count(DISTINCT e.t) AS matched
+  FROM merged m JOIN expected_word e ON e.template = m.template AND e.t BETWEEN m.low AND m.high + {licenses.GRAM - 1}
+  JOIN word d ON d.row = m.row AND d.i = m.diagonal + e.t AND d.w = e.w
+  GROUP BY ALL
+), span AS (
+  SELECT r.*, m.matched, m.matched / r.size AS covered
+  FROM reaching r JOIN matching m USING (row, template, stretch)
+  WHERE m.matched = r.size OR (NOT r.base AND r.reach >= {licenses.COVERED} * r.size AND m.matched / r.size >= {licenses.COVERED})
+), widest AS (
+  SELECT *, max(struct_pack(last, matched)) OVER (PARTITION BY row, base
+    ORDER BY first, last DESC, matched DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM span
+), kept AS (
+  SELECT * FROM widest WHERE base OR before IS NULL OR before.last < last OR before.matched <= matched
+)
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(r.w)) AS BIGINT) AS n_words,
+  count(*) FILTER (k.base) AS n_base, min(k.first) FILTER (k.base) AS first_word, max(k.first) FILTER (k.base) AS last_word,
+  coalesce(string_agg(DISTINCT k.label, ',' ORDER BY k.label) FILTER (k.base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT k.label, ',' ORDER BY k.label), '') AS labels, coalesce(max(k.covered), 0) AS score
+FROM rows r LEFT JOIN kept k USING (row) GROUP BY r.row"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can tell the whole result.
 
@@ -257,4 +317,74 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN m IS NULL OR m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN m <> page_id THEN m END AS refers_to
 FROM f""",
+        "op11_diagonal_licenses": license_sql(),
+        "op12_streamed_repair": r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))
+), lots AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(
+      list_prepend(4294967295, list_transform(
+        string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''),
+        lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8))) % 20 AS lot
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN lot = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM lots WHERE lot <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS time
+  FROM damaged
+), faults AS (
+  SELECT *, substring(role, 1, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN time > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(substring(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM numbered
+), counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), inserts(state, letters, lines, then_state) AS (VALUES
+  (0, '', CAST([] AS VARCHAR[]), 0), (0, 'I', ['user:'], 2), (0, 'II', ['user:', 'assistant:'], 3),
+  (1, '', [], 1), (1, 'I', ['user:'], 2), (1, 'II', ['user:', 'assistant:'], 3),
+  (2, '', [], 2), (2, 'I', ['assistant:'], 3), (2, 'II', ['assistant:', 'user:'], 2),
+  (3, '', [], 3), (3, 'I', ['user:'], 2), (3, 'II', ['user:', 'assistant:'], 3)
+), edits(at_state, initial, edit, next_state, price, new_role) AS (VALUES
+  (0, NULL, 'D', 0, 4, NULL), (1, NULL, 'D', 1, 4, NULL), (2, NULL, 'D', 2, 4, NULL), (3, NULL, 'D', 3, 4, NULL),
+  (0, 's', 'K', 1, 0, NULL), (0, 'u', 'K', 2, 0, NULL), (1, 'u', 'K', 2, 0, NULL), (3, 'u', 'K', 2, 0, NULL),
+  (2, 'a', 'K', 3, 0, NULL), (0, NULL, 'R', 2, 3, 'user'), (1, NULL, 'R', 2, 3, 'user'),
+  (3, NULL, 'R', 2, 3, 'user'), (2, NULL, 'R', 3, 3, 'assistant')
+), ways AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS lines
+  FROM conversations
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT w.conv_id, f.i, e.next_state AS state,
+      w.cost + 3 * len(s.letters) + e.price + CASE WHEN f.fault = 'truncated' AND e.edit <> 'D' THEN 3 ELSE 0 END AS cost,
+      w.audit || s.letters || e.edit AS audit,
+      list_concat(list_concat(w.lines, s.lines),
+        CASE WHEN e.edit = 'D' THEN [] ELSE [coalesce(e.new_role, f.role) || ':' || f.text] END) AS lines
+    FROM ways w JOIN faults f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+    JOIN inserts s ON s.state = w.state JOIN edits e ON e.at_state = s.then_state
+      AND (e.edit = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND coalesce(e.initial, f.initial) = f.initial))
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1
+), ends AS (
+  SELECT w.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate,
+    coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal,
+    CAST(w.cost + 3 * len(s.letters) AS BIGINT) AS cost, w.audit || s.letters AS audit,
+    sha256(array_to_string(list_concat(w.lines, s.lines), chr(10))) AS repaired_sha256
+  FROM ways w LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id
+  JOIN inserts s ON s.state = w.state AND s.then_state IN (0, 3)
+  WHERE w.i = coalesce(c.n, 0)
+)
+SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1""",
     }
