@@ -30,14 +30,17 @@ class Split(NamedTuple):
     hot: DataFrame | None
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_block: int) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_block: float) -> DataFrame | None:
     """Keys of about ``rows_per_block`` rows or more with their ``rows``, or None.
 
     Rows are counted in a sample, since a count of all rows would shuffle nearly every
     key to find the few that matter. Where exactly the line falls changes only how
     the work is cut, never the result. The list is bounded: there are at most
-    (rows of df / rows_per_block) such keys.
+    (rows of df / rows_per_block) such keys. None are looked for if ``rows_per_block`` is
+    infinite.
     """
+    if math.isinf(rows_per_block):
+        return None
     share = min(1.0, SAMPLED_PER_BLOCK / rows_per_block)
     rows = df.where(" and ".join(f"`{k}` is not null" for k in keys)).select(*keys)
     if share < 1:

@@ -168,6 +168,68 @@ SESSIONS = """
    FROM {1})"""
 
 
+# Of the streams: micro-batches by event time, and how long a session takes late orders.
+SLICES = 5
+GRACE = "INTERVAL 23 HOURS"
+
+
+def late_spending() -> str:
+    """Spend verdicts over micro-batches into which every fifth event comes one late.
+
+    A block of CTEs per micro-batch: the remembered sessions and the arrived orders as
+    intervals of their customer, numbered by session. Sessions that ended more than GRACE
+    before the newest order of earlier micro-batches are closed: their orders are LATE, and
+    what is remembered of them stays as it was.
+    """
+    ctes = [
+        f"""
+arrived_v AS (
+  SELECT o.*, CAST(price * quantity AS BIGINT) AS amount,
+    least({SLICES - 1}, (epoch_us(ts) - first) * {SLICES} // (last - first + 1)
+      + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END) AS slice
+  FROM created_v o, (SELECT min(epoch_us(ts)) AS first, max(epoch_us(ts)) AS last FROM events) s
+  WHERE customer_id IS NOT NULL),
+fronts_v AS (
+  SELECT n, (SELECT max(ts) FROM arrived_v WHERE slice < n) AS before,
+    (SELECT max(ts) FROM arrived_v WHERE slice <= n) AS newest
+  FROM (SELECT unnest(range({SLICES})) AS n) f)"""
+    ]
+    for n in range(SLICES):
+        known = "" if n == 0 else f"""
+    UNION ALL SELECT customer_id, began, last_ts, total, false, NULL, NULL, NULL FROM kept_{n - 1}"""
+        ctes.append(
+            f"""
+both_{n} AS (
+  SELECT customer_id, ts AS began, ts AS ended, amount, true AS new, id, ts, seq FROM arrived_v WHERE slice = {n}{known}),
+opened_{n} AS (
+  SELECT *, CASE WHEN began - max(ended) OVER (PARTITION BY customer_id ORDER BY began, ended, new
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > INTERVAL 1 HOUR THEN 1 ELSE 0 END AS opens
+  FROM both_{n}),
+session_{n} AS (
+  SELECT *, sum(opens) OVER (PARTITION BY customer_id ORDER BY began, ended, new
+    ROWS UNBOUNDED PRECEDING) AS session FROM opened_{n}),
+told_{n} AS (
+  SELECT s.*, sum(amount) OVER (PARTITION BY customer_id, session ORDER BY ts NULLS FIRST, seq
+      ROWS UNBOUNDED PRECEDING) AS total,
+    coalesce(max(ended) OVER (PARTITION BY customer_id, session) < f.before - {GRACE}, false) AS closed
+  FROM session_{n} s JOIN fronts_v f ON f.n = {n}),
+kept_{n} AS (
+  SELECT * FROM (
+    SELECT customer_id, min(began) AS began, max(ended) AS last_ts, sum(amount) AS total
+    FROM told_{n} WHERE NOT closed GROUP BY customer_id, session
+    UNION ALL SELECT customer_id, began, ended, amount FROM told_{n} WHERE closed AND NOT new) k
+  WHERE last_ts >= (SELECT newest FROM fronts_v WHERE n = {n}) - {GRACE} - INTERVAL 1 HOUR)"""
+        )
+    return ",".join(ctes)
+
+
+LATE_VERDICTS = " UNION ALL ".join(
+    f"""SELECT id AS order_id, CASE WHEN closed THEN 'LATE' WHEN total < 2000 THEN 'PASS' ELSE 'FAIL' END AS result, ts
+        FROM told_{n} WHERE new"""
+    for n in range(SLICES)
+)
+
+
 def _sql(*parts: str) -> str:
     """The last part as the query, the others as its CTEs."""
     *ctes, query = parts
@@ -349,4 +411,7 @@ def oracle_sql() -> dict[str, str]:
         "order_lifecycle",
     ):
         queries[f"stream_{name}"] = queries[name]
+    queries["stream_order_changes"] = queries["order_state"]
+    queries["stream_lookup_order"] = queries["lookup_order"]
+    queries["stream_fraud_late"] = _sql(ORDERS, late_spending(), LATE_VERDICTS)
     return queries

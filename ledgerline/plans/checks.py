@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline import schemas
@@ -81,6 +82,20 @@ def orders_with_stock(orders: DataFrame, inventory_now: DataFrame) -> DataFrame:
     return created(orders).join(inventory_now.select("product", "stock"), "product")
 
 
+def stock_versions(changes: DataFrame) -> DataFrame:
+    """Stock changes as versions (product, stock, seq, valid_from, valid_to).
+
+    A version holds from its change until before the next one of its product, and its
+    ``valid_to`` is null while there is none. Of changes at one instant, by ``seq``, all but
+    the last hold for no time.
+    """
+    along = W.partitionBy("product").orderBy("ts", "seq")
+    changes = changes.where("product is not null")
+    return changes.withColumn("valid_to", F.lead("ts").over(along)).select(
+        "product", "stock", "seq", F.col("ts").alias("valid_from"), "valid_to"
+    )
+
+
 def _stock_inputs(orders: DataFrame) -> DataFrame:
     quantity = F.coalesce("quantity", F.lit(0)).alias("quantity")
     return created(orders).select("id", "product", quantity, "ts", "seq")

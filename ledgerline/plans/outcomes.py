@@ -165,16 +165,61 @@ def order_log(orders: DataFrame, validated: DataFrame, failed: DataFrame) -> Dat
     )
 
 
+def _log_order() -> list[Column]:
+    """What puts the records of an order in a row."""
+    return [F.col("ts"), (F.col("step") > 0).alias("updates"), F.col("seq"), F.col("step")]
+
+
+def is_delete() -> Column:
+    """Whether a record has an id and nothing else, see ``topics.deleted_orders``."""
+    values = [F.col(c).isNull() for c in ORDER_COLUMNS if c != "id"]
+    return reduce(lambda a, b: a & b, values)
+
+
+def orders_now(table: DataFrame) -> DataFrame:
+    """The orders of a table of last records: those whose last record is not a delete."""
+    return table.where(~is_delete())
+
+
 def order_state(log: DataFrame) -> DataFrame:
-    """The current record of every order; one whose last record is a delete has none.
+    """The current record of every order; one whose last record is a delete has none."""
+    return orders_now(last_per_key(log, ["id"], _log_order()))
+
 
-    A delete is a record with an id and nothing else, see ``topics.deleted_orders``.
+def order_changes(log: DataFrame, known: DataFrame | None) -> DataFrame:
+    """What the records of ``log`` change in a table of last records, ``known``.
+
+    (id, change, before, after) for each order whose last record changes. ``change`` is
+    insert, update or delete, and null for a delete of what was not there; ``before`` is
+    null for an insert, ``after`` the new record, of a delete the delete itself.
     """
-    state = last_per_key(log, ["id"], ["ts", F.col("step") > 0, "seq", "step"])
-    values = [c for c in ORDER_COLUMNS if c != "id"]
-    gone = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in values])
-    # The change stream of the table keeps its deletes, which take effect when it is read.
-    return state if log.isStreaming else state.where(~gone)
+    record = F.struct(*log.columns)
+    order = F.struct(*_log_order())
+    keyed = log.where("id is not null").withColumn("new", F.lit(True))
+    if known is not None:
+        keyed = keyed.unionByName(known.select(log.columns).withColumn("new", F.lit(False)))
+    present = ~F.col("new") & ~is_delete()
+    changed = (
+        keyed.groupBy("id")
+        .agg(
+            F.max_by(record, order).alias("after"),
+            F.max_by("new", F.struct(order, ~F.col("new"))).alias("changed"),
+            F.first(F.when(present, record), ignorenulls=True).alias("before"),
+        )
+        .where("changed")
+    )
+    gone = changed.select("*", "after.*").select("before", "after", is_delete().alias("gone"))
+    kind = (
+        F.when(~F.col("gone"), F.when(F.col("before").isNull(), "insert").otherwise("update"))
+        .when(F.col("before").isNotNull(), "delete")
+    )
+    return gone.select("after.id", kind.alias("change"), "before", "after")
+
+
+def folded_changes(changes: DataFrame) -> DataFrame:
+    """The orders that a feed of ``order_changes`` leaves: its last word on each of them."""
+    last = last_per_key(changes.select("change", "after.*"), ["id"], _log_order())
+    return last.where("change <> 'delete'").drop("change")
 
 
 def lookup(

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -17,8 +16,8 @@ from ledgerline.functions import encode_order, is_sane_order
 from ledgerline.operators import last_per_key, route
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
 from ledgerline.plans import checks, outcomes, topics
-from ledgerline.session import checkpoint_dir, listed, prepare
-from ledgerline.sources import append_topic, read_topic, write_state
+from ledgerline.session import checkpoint_dir, listed, prepare, set_times
+from ledgerline.sources import KeyedTable, append_topic, read_topic
 from ledgerline.streaming import batches, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,11 +77,11 @@ class Inputs:
         )
 
     @cached_property
-    def stored_state(self) -> DataFrame:
-        """The order table as written for lookups."""
-        path = self.folder("state")
-        write_state(self.state, path, 8)
-        return self.spark.read.parquet(path)
+    def stored_state(self) -> KeyedTable:
+        """The order table as kept for lookups."""
+        table = KeyedTable(self.spark, self.folder("state"), ["id"], buckets=8, bloom=True)
+        table.upsert(self.state)
+        return table
 
     @cached_property
     def wire(self) -> DataFrame:
@@ -180,7 +179,7 @@ def _history(records: DataFrame) -> DataFrame:
 
 def _lookup_failed(i: Inputs) -> DataFrame:
     failing = i.validations.where(F.col("result") == "FAIL")
-    return outcomes.lookup(i.stored_state, failing.select(F.col("order_id").alias("id")))
+    return i.stored_state.lookup(failing.select(F.col("order_id").alias("id")))
 
 
 BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
@@ -205,8 +204,8 @@ BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
     "order_log": lambda i: i.log.drop("seq"),
     "order_state": lambda i: i.state.select(ORDER),
     "lookup_order": lambda i: _lookup_failed(i).select(ORDER),
-    "lookup_validated": lambda i: outcomes.lookup(
-        i.stored_state, i.orders.select("id"), F.col("status") == "VALIDATED"
+    "lookup_validated": lambda i: i.stored_state.lookup(
+        i.orders.select("id"), F.col("status") == "VALIDATED"
     ).select(ORDER),
     # Checks
     "details_check": lambda i: checks.details_check(i.orders),
@@ -255,26 +254,33 @@ class Streams:
         self.inputs, self.spark = inputs, inputs.spark
         self.folder = f"{checkpoint_dir(self.spark)}/streams-{uuid.uuid4()}"
 
-    def sliced(self, rows: DataFrame, name: str, files: int) -> DataFrame:
-        """The rows as a stream of SLICES micro-batches, in the order of their ts."""
+    def sliced(self, rows: DataFrame, name: str, files: int = 1, late: Column | None = None) -> DataFrame:
+        """The rows as a stream of SLICES micro-batches, in the order of their ts.
+
+        Those that are ``late`` arrive a micro-batch after the one of their time.
+        """
         path = f"{self.folder}/{name}"
         first, last = self.span
-        width = (last - first) / SLICES
-        for n in range(SLICES):
-            begin, end = first + n * width, first + (n + 1) * width
-            ts = F.col("ts").cast("timestamp")
-            part = rows
-            if n > 0:
-                part = part.where(ts >= F.lit(begin))
-            if n < SLICES - 1:
-                part = part.where(ts < F.lit(end))
-            part.repartition(files).write.mode("append").parquet(path)
+        passed = F.unix_micros(F.col("ts").cast("timestamp")) - first
+        slice = F.least(F.expr("passed * slices div (span + 1)"), F.lit(SLICES - 1))
+        placed = rows.withColumns({"passed": passed, "slices": F.lit(SLICES), "span": F.lit(last - first)})
+        placed = placed.withColumn("slice", slice).select(*rows.columns, "slice")
+        if late is not None:
+            moved = F.least(F.col("slice") + late.cast("int"), F.lit(SLICES - 1))
+            placed = placed.withColumn("slice", moved)
+        # One file per slice and part, so that a micro-batch takes a slice.
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
+        task = (F.greatest("slice", F.lit(0)) * files + part).cast("int")
+        placed.repartitionById(SLICES * files, task).write.partitionBy("slice").parquet(path)
+        for n, name in enumerate(sorted(x for x in listed(self.spark, path) if x.startswith("slice="))):
+            set_times(self.spark, f"{path}/{name}", n)
         reader = self.spark.readStream.schema(rows.schema)
-        return reader.option("maxFilesPerTrigger", files).parquet(path)
+        return reader.option("maxFilesPerTrigger", files).parquet(f"{path}/slice=*")
 
     @cached_property
-    def span(self) -> tuple[datetime, datetime]:
-        ts = F.col("ts").cast("timestamp")
+    def span(self) -> tuple[int, int]:
+        """The first and last event time in microseconds."""
+        ts = F.unix_micros(F.col("ts").cast("timestamp"))
         return tuple(self.events_table.agg(F.min(ts), F.max(ts)).first())
 
     @cached_property
@@ -283,7 +289,13 @@ class Streams:
 
     @cached_property
     def events(self) -> DataFrame:
-        return self.sliced(self.events_table, "events", self.events_table.rdd.getNumPartitions())
+        return self.sliced(self.events_table, "events")
+
+    @cached_property
+    def late_orders(self) -> DataFrame:
+        """The orders as a stream in which every fifth event arrives a slice late."""
+        late = F.col("event_id") % 5 == 0
+        return fixtures.orders_from(self.sliced(self.events_table, "late-events", late=late))
 
     @property
     def orders(self) -> DataFrame:
@@ -296,14 +308,16 @@ class Streams:
     @cached_property
     def inventory(self) -> DataFrame:
         """The stock changes as a topic, in the same slices."""
-        return self.sliced(self.inputs.inventory, "inventory", 1)
+        return self.sliced(self.inputs.inventory, "inventory")
 
-    def run(self, job: Callable[..., StreamingQuery], *streams, state: bool = False) -> DataFrame:
+    def run(
+        self, job: Callable[..., StreamingQuery], *streams, state: bool = False, **options
+    ) -> DataFrame:
         """Run a job to the end of its input and read what it wrote."""
         path = f"{self.folder}/{job.__name__}"
         places = [path, f"{path}-state"] if state else [path]
         with batches.state_partitions(self.spark, STATE_PARTITIONS):
-            query = job(*streams, *places, f"{path}-checkpoint")
+            query = job(*streams, *places, f"{path}-checkpoint", **options)
         query.awaitTermination()
         return batches.read_batches(self.spark, path)
 
@@ -334,13 +348,36 @@ class Streams:
     def failed(self, verdicts: DataFrame) -> DataFrame:
         return self.run(jobs.failed_orders, verdicts, self.orders, state=True)
 
-    def state(self, verdicts: DataFrame) -> DataFrame:
+    def changed(self, verdicts: DataFrame) -> DataFrame:
+        """The change feed of the order table; the table itself is ``order_table`` after it."""
         log = outcomes.order_log(
             self.orders,
             self.written(self.validated(verdicts), jobs.validated_orders),
             self.written(self.failed(verdicts), jobs.failed_orders),
         )
-        return outcomes.order_state(self.run(jobs.order_state, log))
+        return self.run(jobs.order_state, log, state=True)
+
+    def state(self, verdicts: DataFrame) -> DataFrame:
+        self.changed(verdicts)
+        return outcomes.orders_now(self.order_table.rows())
+
+    @property
+    def order_table(self) -> KeyedTable:
+        return jobs.order_table(self.spark, f"{self.folder}/{jobs.order_state.__name__}-state")
+
+    def looked_up(self) -> DataFrame:
+        """Orders with a failing verdict, from the table that the stream keeps."""
+        self.changed(self.validations)
+        failing = self.inputs.validations.where(F.col("result") == "FAIL")
+        return outcomes.orders_now(self.order_table.lookup(failing.select(F.col("order_id").alias("id"))))
+
+    def too_late(self) -> DataFrame:
+        """Spend verdicts, and LATE for the orders that came too late for one."""
+        late = f"{self.folder}/too-late"
+        verdicts = self.run(jobs.fraud_check, self.late_orders, state=True, late=late)
+        dropped = batches.read_batches(self.spark, late)
+        told = dropped.select(F.col("id").alias("order_id"), F.lit("LATE").alias("result"), "ts")
+        return verdicts.select("order_id", "result", "ts").unionByName(told)
 
     def lifecycle(self) -> DataFrame:
         """From orders and stock to the state of every order, all on streams."""
@@ -366,6 +403,9 @@ STREAMING: dict[str, Callable[[Streams], DataFrame]] = {
     "stream_validated_orders": lambda s: s.validated(s.validations).select(ORDER),
     "stream_failed_orders": lambda s: s.failed(s.validations),
     "stream_order_state": lambda s: s.state(s.validations).select(ORDER),
+    "stream_order_changes": lambda s: outcomes.folded_changes(s.changed(s.validations)).select(ORDER),
+    "stream_lookup_order": lambda s: s.looked_up().select(ORDER),
+    "stream_fraud_late": lambda s: s.too_late(),
     "stream_all_validations": lambda s: s.checked(),
     "stream_order_lifecycle": lambda s: s.lifecycle().select(ORDER),
 }

@@ -35,6 +35,10 @@ JSON_VALIDATION = {"order_id": "orderId", "type": "type", "result": "result"}
 SPEND_DELAY = timedelta(hours=22)
 COUNT_DELAY = timedelta(hours=24)
 STOCK_DELAY = timedelta(hours=24)
+# How long after its end a session still takes late rows, where those beyond are dropped and
+# told: a day less the gap.
+SPEND_GRACE = timedelta(hours=24) - SPEND_GAP
+COUNT_GRACE = timedelta(hours=24) - COUNT_GAP
 
 ORDER = T.StructType(
     [

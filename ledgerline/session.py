@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -96,7 +96,21 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in _files(spark, path).listStatus(_path(spark, path))]
 
 
-def write_once(df: DataFrame, path: str) -> None:
+def _unfinished(path: str) -> str:
+    """Where a folder or file is written before it is renamed: a name that readers skip."""
+    folder, _, name = path.rpartition("/")
+    # Without "=": readers take such folders for partitions, also under an underscore.
+    return f"{folder}/_unfinished-{name.replace("=", "-")}"
+
+
+def _rename(spark: SparkSession, unfinished: str, path: str) -> None:
+    if not _files(spark, path).rename(_path(spark, unfinished), _path(spark, path)):
+        raise OSError(f"cannot rename {unfinished} to {path}")
+
+
+def write_once(
+    df: DataFrame, path: str, partition_by: Sequence[str] = (), options: Mapping[str, str] | None = None
+) -> None:
     """Write a folder that readers see whole or not at all; leave one that is there alone.
 
     The rows are written beside it under a name that readers skip, and the folder is
@@ -105,12 +119,39 @@ def write_once(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     if exists(spark, path):
         return
-    folder, _, name = path.rpartition("/")
-    # Without "=": readers take such folders for partitions, also under an underscore.
-    unfinished = f"{folder}/_unfinished-{name.replace("=", "-")}"
-    df.write.mode("overwrite").parquet(unfinished)
-    if not _files(spark, path).rename(_path(spark, unfinished), _path(spark, path)):
-        raise OSError(f"cannot rename {unfinished} to {path}")
+    writer = df.write.mode("overwrite").options(**(options or {}))
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(_unfinished(path))
+    _rename(spark, _unfinished(path), path)
+
+
+def write_text_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, seen whole or not at all; one that is there is left alone."""
+    if exists(spark, path):
+        return
+    out = _files(spark, path).create(_path(spark, _unfinished(path)), True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+    _rename(spark, _unfinished(path), path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    file = _files(spark, path).open(_path(spark, path))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+
+
+def set_times(spark: SparkSession, folder: str, seconds: int) -> None:
+    """Give a folder's files a modification time, by which file streams put them in order."""
+    files = _files(spark, folder)
+    for file in files.listStatus(_path(spark, folder)):
+        if not file.getPath().getName().startswith(("_", ".")):
+            files.setTimes(file.getPath(), 1000 * seconds, -1)
 
 
 def delete(spark: SparkSession, path: str) -> None:

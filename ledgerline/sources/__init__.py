@@ -5,6 +5,7 @@ from ledgerline.sources.kafka import (
     text_records,
     write_kafka,
 )
+from ledgerline.sources.keyed_table import KeyedTable
 from ledgerline.sources.tables import (
     append_records,
     append_topic,
@@ -14,6 +15,7 @@ from ledgerline.sources.tables import (
 )
 
 __all__ = [
+    "KeyedTable",
     "append_records",
     "append_topic",
     "inventory_records",

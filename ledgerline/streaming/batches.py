@@ -2,14 +2,14 @@
 
 Running totals and the stock fold emit a row per input row in event order, which
 Spark's streaming sessions cannot. Here the batch operators do it, hot keys split as
-ever, and what they must remember goes to a state table. Every micro-batch writes its
-results and then its state into folders of its own, each only once and seen only whole: a
-batch that is run again after a failure leaves finished folders alone, so readers of the
-results see every row exactly once.
-
-With state keys, a micro-batch writes the state of only the keys it touches; every so
-often one writes the state of all keys instead and lets old ones go. What counts as too old
-depends on event times alone: what is still stored is cut in every micro-batch.
+ever, and what they must remember about each key is kept in a ``KeyedTable``. A micro-batch
+reads the buckets of the keys that it touches, replaces the state of these keys, and writes
+its results into a folder of its own, each only once and seen only whole: a batch that is
+run again after a failure leaves finished folders alone, so readers of the results see
+every row exactly once.
+
+How far event time has come stands in the state's version. What counts as too old depends
+on it alone: what is still stored is cut whenever it is read.
 """
 
 from __future__ import annotations
@@ -20,46 +20,86 @@ from datetime import datetime, timedelta
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerline.session import delete, listed, scratch_tables, write_once
+from ledgerline.session import scratch_tables, write_once
+from ledgerline.sources.keyed_table import BUCKET, COMPACT_EVERY, KeyedTable, Version
 
-# Every how many micro-batches the state of all keys is written.
-WHOLE_STATE_EVERY = 20
+# Below this many rows a micro-batch is planned by hand: see ``sized_for``.
+SMALL_BATCH = 200_000
+ROWS_PER_TASK = 5_000
+# A micro-batch's state is small beside its stream's, so few buckets do.
+STATE_BUCKETS = 8
+
+
+class Arrived(NamedTuple):
+    """A micro-batch's number of rows with a key, and the newest event time before and after it."""
+
+    rows: int
+    before: datetime | None
+    newest: datetime | None
+
+    def block(self, rows_per_block: int) -> float:
+        """``rows_per_block``, or infinity if there are too few rows for a hot key."""
+        return rows_per_block if self.rows >= rows_per_block else float("inf")
+
+
+class Outcome(NamedTuple):
+    """What a step makes of a micro-batch."""
+
+    results: DataFrame
+    # All state rows of the keys that the micro-batch touches.
+    state: DataFrame
+    # Rows that came too late to count.
+    late: DataFrame | None = None
+    # To be let go of once everything is written.
+    cached: Sequence[DataFrame] = ()
 
 
 class Step(NamedTuple):
-    """What to do with a micro-batch; ``known`` is the state before it, or None.
+    """What to do with a micro-batch; the state of its buckets is given, or None at first.
 
-    Without ``keys`` the state is small and written whole each time. With ``keys`` a
-    micro-batch replaces all state rows of the keys it touches, and ``known`` holds the
-    rows of these keys only. ``ts`` names the state's event time: rows more than ``keep``
-    before the newest are forgotten.
+    ``clock`` is the event time of rows that carry it, null for others. State rows whose
+    ``expires`` lies more than ``keep`` before the newest event time are forgotten.
     """
 
-    apply: Callable[[DataFrame, DataFrame | None], DataFrame]
-    # (rows of apply, micro-batch, known) -> the state after it
-    remember: Callable[[DataFrame, DataFrame, DataFrame | None], DataFrame]
-    # rows of apply -> result rows
-    emit: Callable[[DataFrame], DataFrame]
-    keys: Sequence[str] = ()
-    ts: str | None = None
+    apply: Callable[[DataFrame, DataFrame | None, Arrived], Outcome]
+    keys: Sequence[str]
+    clock: Column
+    expires: str | None = None
     keep: timedelta = timedelta(0)
 
+    def kept(self, newest: datetime | None) -> Column | None:
+        if self.expires is None or newest is None:
+            return None
+        return F.col(self.expires) >= F.lit(newest) - F.lit(self.keep)
 
-def _newest(states: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Of each key the rows that its newest micro-batch wrote."""
-    last = W.partitionBy(*keys).orderBy(F.col("batch").desc())
-    return states.withColumn("rank", F.rank().over(last)).where("rank = 1").drop("rank", "batch")
 
+@contextmanager
+def sized_for(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plan for so many rows: with few of them few shuffle partitions, no adaptive steps and
+    no code generated.
 
-def _kept(states: DataFrame, step: Step, newest: datetime | None) -> DataFrame:
-    if step.ts is None or newest is None:
-        return states
-    return states.where(F.col(step.ts) >= F.lit(newest) - F.lit(step.keep))
+    Such a micro-batch's time is that of planning and of starting tasks, not of its rows.
+    Nothing changes beyond SMALL_BATCH rows, where adaptive plans and code are worth their
+    price. The options are put back at the end, since the stream's own state goes by them.
+    """
+    options = {}
+    if rows < SMALL_BATCH:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        options["spark.sql.shuffle.partitions"] = str(max(1, min(most, -(-rows // ROWS_PER_TASK))))
+        options["spark.sql.adaptive.enabled"] = "false"
+        options["spark.sql.codegen.wholeStage"] = "false"
+    before = {name: spark.conf.get(name) for name in options}
+    for name, value in options.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def run_batches(
@@ -69,81 +109,61 @@ def run_batches(
     state: str,
     checkpoint: str,
     trigger: dict | None = None,
-    whole_state_every: int = WHOLE_STATE_EVERY,
+    compact_every: int = COMPACT_EVERY,
+    late: str | None = None,
+    buckets: int = STATE_BUCKETS,
+    lookups: bool = False,
 ) -> StreamingQuery:
     """Start a query that applies ``step`` to each micro-batch and its state.
 
-    ``results`` gets a folder per micro-batch; see ``read_batches``. The source's rate
-    limits (maxFilesPerTrigger, maxOffsetsPerTrigger) bound a micro-batch.
+    ``results`` gets a folder per micro-batch, and so does ``late`` if the step tells late
+    rows; see ``read_batches``. ``state`` is a ``KeyedTable``, with Bloom filters if it is for
+    ``lookups`` too. The source's rate limits (maxFilesPerTrigger, maxOffsetsPerTrigger) bound
+    a micro-batch.
     """
-    keys = list(step.keys)
-    every = whole_state_every if keys else 1
-
-    def written(spark: SparkSession, number: int) -> DataFrame | None:
-        """The states written since the last whole one before this micro-batch.
-
-        Which ones are whole stands in their names, so it does not matter what
-        ``whole_state_every`` was when they were written.
-        """
-        if number == 0:
-            return None
-        found = {int(n): name for name in listed(spark, state) if (n := _number(name)) is not None}
-        whole = [n for n, name in found.items() if name.startswith("whole=") and n < number]
-        if not whole:
-            raise FileNotFoundError(f"no state of the batches before {number} in {state}")
-        needed = range(max(whole), number)
-        if missing := [n for n in needed if n not in found]:
-            raise FileNotFoundError(f"no state of the batches {missing} in {state}")
-        parts = [
-            spark.read.parquet(f"{state}/{found[n]}").withColumn("batch", F.lit(n)) for n in needed
-        ]
-        return reduce(DataFrame.unionByName, parts)
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in step.keys])
+
+    def apply(batch: DataFrame, number: int, table: KeyedTable, version: Version | None) -> None:
+        spark, frontier = batch.sparkSession, version and version.frontier
+        with sized_for(spark, 0):
+            # One row per bucket.
+            found = (
+                batch.where(present)
+                .groupBy(table.bucket())
+                .agg(F.count("*").alias("n"), F.max(step.clock).alias("newest"))
+                .collect()
+            )
+        touched = [r[BUCKET] for r in found]
+        times = [t for t in (frontier, *(r["newest"] for r in found)) if t is not None]
+        arrived = Arrived(sum(r["n"] for r in found), frontier, max(times, default=None))
+        with sized_for(spark, arrived.rows):
+            known = table.rows(version, touched) if version is not None else None
+            if known is not None and (kept := step.kept(frontier)) is not None:
+                known = known.where(kept)
+            outcome = step.apply(batch, known, arrived)
+            try:
+                write_once(outcome.results, f"{results}/batch={number}")
+                if late is not None and outcome.late is not None:
+                    write_once(outcome.late, f"{late}/batch={number}")
+                state_now, kept = outcome.state, step.kept(arrived.newest)
+                if kept is not None:
+                    state_now = state_now.where(kept)
+                table.write(number, state_now, touched, arrived.newest, kept, version)
+            finally:
+                for frame in outcome.cached:
+                    frame.unpersist()
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        whole = not keys or number % every == 0
-        after = f"{state}/{'whole' if whole else 'part'}={number}"
-        if any(_number(name) == number for name in listed(spark, state)):
+        table = KeyedTable(spark, state, step.keys, buckets, compact_every, lookups)
+        if table.has(number):
             return
-        states = written(spark, number)
         batch = batch.persist()
-        rows = None
         try:
             with scratch_tables(spark):
-                newest = None
-                if states is not None and step.ts is not None:
-                    newest = states.agg(F.max(step.ts)).first()[0]
-                known = states
-                if known is not None and keys:
-                    touched = known.join(batch.select(*keys).distinct(), keys, "left_semi")
-                    known = _kept(_newest(touched, keys), step, newest)
-                known = known if known is None else known.drop("batch")
-                rows = step.apply(batch, known).persist()
-                write_once(step.emit(rows), f"{results}/batch={number}")
-                state_now = step.remember(rows, batch, known)
-                if keys and whole:
-                    if states is not None:
-                        now = state_now.withColumn("batch", F.lit(number))
-                        state_now = _newest(states.unionByName(now), keys)
-                if step.ts is not None and whole:
-                    newest = state_now.agg(F.max(step.ts)).first()[0]
-                    state_now = _kept(state_now, step, newest)
-                write_once(state_now, after)
+                apply(batch, number, table, table.version(number - 1) if number else None)
         finally:
-            if rows is not None:
-                rows.unpersist()
             batch.unpersist()
-        if whole:
-            # A replay of this micro-batch needs nothing older than the whole state before.
-            before = [n for name in listed(spark, state) if (n := _number(name)) is not None]
-            wholes = sorted(
-                _number(name) for name in listed(spark, state)
-                if name.startswith("whole=") and _number(name) < number
-            )
-            for n in before:
-                if wholes and n < wholes[-1]:
-                    delete(spark, f"{state}/whole={n}")
-                    delete(spark, f"{state}/part={n}")
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -153,12 +173,6 @@ def run_batches(
     )
 
 
-def _number(name: str) -> int | None:
-    """The micro-batch of a state folder, None for other names."""
-    kind, _, number = name.partition("=")
-    return int(number) if kind in ("whole", "part") and number.isdigit() else None
-
-
 @contextmanager
 def state_partitions(spark: SparkSession, partitions: int | None) -> Iterator[None]:
     """Start queries with this many state partitions; None leaves the session's number.

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from datetime import timedelta
+from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,15 +14,15 @@ from ledgerline import schemas
 from ledgerline.functions import spend
 from ledgerline.operators import (
     first_per_key,
-    last_per_key,
     session_aggregate,
     session_running,
 )
-from ledgerline.operators.blocks import ROWS_PER_BLOCK
+from ledgerline.operators.blocks import ROWS_PER_BLOCK, hot_keys
 from ledgerline.operators.times import interval_text
 from ledgerline.plans import checks, outcomes, topics
-from ledgerline.session import write_once
-from ledgerline.streaming.batches import WHOLE_STATE_EVERY, Step, run_batches
+from ledgerline.session import materialize
+from ledgerline.sources.keyed_table import BUCKETS, COMPACT_EVERY, KeyedTable
+from ledgerline.streaming.batches import Arrived, Outcome, Step, run_batches
 
 
 def append(
@@ -47,6 +47,7 @@ def running_step(
     delay: timedelta,
     emit: Callable[[DataFrame], DataFrame],
     rows_per_block: int = ROWS_PER_BLOCK,
+    grace: timedelta | None = None,
 ) -> Step:
     """Running session totals over micro-batches; the state is each key's sessions.
 
@@ -55,13 +56,71 @@ def running_step(
     sessions that belong to its session by now, and of the micro-batch's rows of the
     session up to it: a late row counts into the sessions it lies in, touches or joins,
     also where it reaches them only through other rows of the micro-batch.
+
+    With ``grace`` a row is too late if its session ends more than that before the newest
+    event time of earlier micro-batches: it counts nowhere and is told among the late rows.
+
+    A micro-batch's rows and the remembered sessions of their keys are read as one sequence
+    of intervals per key: one shuffle. Keys with ``rows_per_block`` rows in a micro-batch
+    take the path in blocks.
     """
     keys = list(keys)
 
-    def arrived(batch: DataFrame) -> DataFrame:
+    def closing(arrived: Arrived) -> datetime | None:
+        if grace is None or arrived.before is None:
+            return None
+        return arrived.before - grace
+
+    def whole_keys(rows: DataFrame, known: DataFrame | None, close: datetime | None) -> Outcome:
+        """Keys whose rows of a micro-batch fit one task."""
+        both = rows.withColumns(
+            {"began": F.col("ts"), "ended": F.col("ts"), "amount": amount.cast("bigint"), "new": F.lit(True)}
+        )
+        if known is not None:
+            old = known.select(
+                *keys, "began", F.col("last_ts").alias("ended"), F.col("total").alias("amount"),
+                F.lit(False).alias("new"),
+            )
+            both = both.unionByName(old, allowMissingColumns=True)
+        along = W.partitionBy(*keys).orderBy("began", "ended", "new")
+        before = along.rowsBetween(W.unboundedPreceding, -1)
+        so_far = along.rowsBetween(W.unboundedPreceding, W.currentRow)
+        opens = F.col("began") - F.max("ended").over(before) > F.lit(gap)
+        both = both.withColumn("opens", F.coalesce(opens.cast("int"), F.lit(0)))
+        both = both.withColumn("session", F.sum("opens").over(so_far)).drop("opens")
+        session = W.partitionBy(*keys, "session")
+        # Remembered sessions have no (ts, seq) and so come first.
+        running = session.orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+        both = both.withColumns(
+            {
+                total: F.sum("amount").over(running),
+                "touched": F.max("new").over(W.partitionBy(*keys)),
+                "closed": F.lit(False) if close is None else F.max("ended").over(session) < F.lit(close),
+            }
+        ).persist()
+        state = (
+            both.where("touched and not closed")
+            .groupBy(*keys, "session")
+            .agg(
+                F.min("began").alias("began"), F.max("ended").alias("last_ts"),
+                F.sum("amount").alias("total"),
+            )
+            .drop("session")
+        )
+        late = None
+        if close is not None:
+            late = both.where("new and closed").select(rows.columns)
+            untold = both.where("touched and closed and not new")
+            state = state.unionByName(
+                untold.select(*keys, "began", F.col("ended").alias("last_ts"), F.col("amount").alias("total"))
+            )
+        results = emit(both.where("new and not closed").select(*rows.columns, total))
+        return Outcome(results, state, late, [both])
+
+    def arrived_sessions(rows: DataFrame) -> DataFrame:
         """The micro-batch's own sessions, with the place of their first rows."""
         return session_aggregate(
-            batch,
+            rows,
             keys,
             "ts",
             "seq",
@@ -74,12 +133,12 @@ def running_step(
             F.col("first.seq").alias("seq"),
         )
 
-    def merged(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    def merged(rows: DataFrame, known: DataFrame | None) -> DataFrame:
         """Remembered and new sessions, numbered by the session they now belong to.
 
         A few rows per key: the sessions that a key has within the delay.
         """
-        sessions = arrived(batch).withColumn("new", F.lit(True))
+        sessions = arrived_sessions(rows).withColumn("new", F.lit(True))
         if known is not None:
             old = known.select(*keys, "began", "last_ts", "total").withColumn("new", F.lit(False))
             sessions = sessions.unionByName(old, allowMissingColumns=True)
@@ -90,15 +149,33 @@ def running_step(
         numbered = sessions.withColumn("opens", F.coalesce(opens.cast("int"), F.lit(0)))
         return numbered.withColumn("session", F.sum("opens").over(so_far)).drop("opens")
 
-    def apply(batch: DataFrame, known: DataFrame | None) -> DataFrame:
-        rows = batch.withColumn("amount", amount.cast("bigint"))
+    def in_blocks(rows: DataFrame, known: DataFrame | None, close: datetime | None) -> Outcome:
+        """Hot keys: their rows are cut into blocks, only sessions are read along a key."""
+        late = None
+        if close is not None:
+            ends = merged(rows, known).groupBy(*keys, "session").agg(
+                F.min("began").alias("from_ts"), F.max("last_ts").alias("to_ts")
+            )
+            # Only rows from before the close can be too late: few, as rows go.
+            closed = materialize(ends.where(F.col("to_ts") < F.lit(close)).drop("session"))
+            old = rows.where(F.col("ts") < F.lit(close))
+            within = [rows[k] == closed[k] for k in keys] + [rows["ts"].between(closed["from_ts"], closed["to_ts"])]
+            late = old.join(closed, within, "left_semi")
+            in_time = old.join(closed, within, "left_anti")
+            rows = materialize(rows.where(F.col("ts") >= F.lit(close)).unionByName(in_time))
+        sessions = materialize(merged(rows, known))
+        state = sessions.groupBy(*keys, "session").agg(
+            F.min("began").alias("began"), F.max("last_ts").alias("last_ts"),
+            F.sum("total").alias("total"),
+        ).drop("session")
+        rows = rows.withColumn("amount", amount.cast("bigint"))
         if known is not None:
             whole = W.partitionBy(*keys, "session")
             earlier = whole.orderBy("began").rowsBetween(W.unboundedPreceding, -1)
-            old = F.sum(F.when(~F.col("new"), F.col("total"))).over(whole)
-            new = F.sum(F.when(F.col("new"), F.col("total"))).over(earlier)
-            brought = merged(batch, known).withColumn(
-                "brought", F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))
+            old_total = F.sum(F.when(~F.col("new"), F.col("total"))).over(whole)
+            new_total = F.sum(F.when(F.col("new"), F.col("total"))).over(earlier)
+            brought = sessions.withColumn(
+                "brought", F.coalesce(old_total, F.lit(0)) + F.coalesce(new_total, F.lit(0))
             )
             brought = brought.where("new").select(
                 *keys, F.col("began").alias("ts"), "seq", "brought"
@@ -110,17 +187,33 @@ def running_step(
                     F.coalesce("amount", F.lit(0)) + F.col("brought")
                 ),
             )
-        return session_running(
-            rows, keys, "ts", "seq", gap, {total: F.col("amount")}, rows_per_block
+        told = session_running(rows, keys, "ts", "seq", gap, {total: F.col("amount")}, rows_per_block)
+        return Outcome(emit(told), state, late)
+
+    def apply(batch: DataFrame, known: DataFrame | None, arrived: Arrived) -> Outcome:
+        rows, close = batch.where(" and ".join(f"`{c}` is not null" for c in (*keys, "ts"))), closing(arrived)
+        hot = None
+        if arrived.rows >= 0.9 * rows_per_block:
+            hot = hot_keys(rows, keys, rows_per_block)
+        if hot is None:
+            return whole_keys(rows, known, close)
+        # At most (rows of the micro-batch / rows_per_block) keys.
+        listed = F.broadcast(hot.select(*keys))
+
+        def part(how: str) -> tuple[DataFrame, DataFrame | None]:
+            return rows.join(listed, keys, how), known and known.join(listed, keys, how)
+
+        cold = whole_keys(*part("left_anti"), close)
+        warm = in_blocks(*part("left_semi"), close)
+        return Outcome(
+            cold.results.unionByName(warm.results),
+            cold.state.unionByName(warm.state),
+            cold.late and cold.late.unionByName(warm.late),
+            cold.cached,
         )
 
-    def remember(rows: DataFrame, batch: DataFrame, known: DataFrame | None) -> DataFrame:
-        return merged(batch, known).groupBy(*keys, "session").agg(
-            F.min("began").alias("began"), F.max("last_ts").alias("last_ts"),
-            F.sum("total").alias("total"),
-        ).drop("session")
-
-    return Step(apply, remember, emit, keys, "last_ts", gap + delay)
+    keep = gap + (delay if grace is None else max(delay, grace))
+    return Step(apply, keys, F.col("ts"), "last_ts", keep)
 
 
 def reservation_step(
@@ -130,43 +223,44 @@ def reservation_step(
 ) -> Step:
     """Stock reservation over micro-batches of ``stock_events``.
 
-    The state holds each product's reserved quantity (``start``) and the stock changes
-    that orders up to ``delay`` late may still need.
+    The state holds, per product, its versions as intervals (``valid_from`` to
+    ``valid_to``, null for the one that holds now), so that a late order meets the stock of
+    its own time, and a row with what is reserved (``start``). Versions that ended more than
+    ``delay`` before the newest order are forgotten. Only the products that a micro-batch
+    touches are read and written.
     """
-    columns = ["product", "stock", "ts", "seq"]
 
     def changes(batch: DataFrame, known: DataFrame | None) -> DataFrame:
-        arrived = batch.where(F.col("topic") == schemas.WAREHOUSE_INVENTORY).select(columns)
+        arrived = batch.where(F.col("topic") == schemas.WAREHOUSE_INVENTORY)
+        arrived = arrived.select("product", "stock", "ts", "seq")
         if known is None:
             return arrived
-        return arrived.unionByName(known.where("start is null").select(columns))
-
-    def reserved(known: DataFrame) -> DataFrame:
-        return known.where("start is not null").select("product", "start")
+        versions = known.where("valid_from is not null")
+        return arrived.unionByName(versions.select("product", "stock", F.col("valid_from").alias("ts"), "seq"))
 
-    def apply(batch: DataFrame, known: DataFrame | None) -> DataFrame:
-        return checks.reservations(
+    def apply(batch: DataFrame, known: DataFrame | None, arrived: Arrived) -> Outcome:
+        reserved = known and known.where("start is not null").select("product", "start")
+        rows = checks.reservations(
             batch.where(F.col("topic") == schemas.ORDERS),
             changes(batch, known),
-            rows_per_block,
+            arrived.block(rows_per_block),
             positive_only,
-            None if known is None else reserved(known),
-        )
-
-    def remember(rows: DataFrame, batch: DataFrame, known: DataFrame | None) -> DataFrame:
+            reserved,
+        ).persist()
         taken = rows.where("granted").select("product", F.col("quantity").alias("start"))
-        if known is not None:
-            taken = taken.unionByName(reserved(known))
+        if reserved is not None:
+            taken = taken.unionByName(reserved)
         starts = taken.groupBy("product").agg(F.sum("start").cast("bigint").alias("start"))
-        kept = changes(batch, known)
-        newest = batch.where(F.col("topic") == schemas.ORDERS).agg(F.max("ts")).first()[0]
-        if newest is not None:
-            needed = F.col("ts") > F.lit(newest) - F.lit(delay)
-            settled = last_per_key(kept.where(~needed), ["product"], ["ts", "seq"])
-            kept = settled.unionByName(kept.where(needed))
-        return kept.unionByName(starts, allowMissingColumns=True)
+        versions = checks.stock_versions(changes(batch, known))
+        if arrived.newest is not None:
+            ended = F.col("valid_to") <= F.lit(arrived.newest) - F.lit(delay)
+            versions = versions.where(F.col("valid_to").isNull() | ~ended)
+        state = versions.unionByName(starts, allowMissingColumns=True)
+        touched = batch.where("product is not null").select("product").distinct()
+        state = state.join(touched, "product", "left_semi")
+        return Outcome(checks.inventory_verdicts(rows), state, cached=[rows])
 
-    return Step(apply, remember, checks.inventory_verdicts)
+    return Step(apply, ["product"], F.when(F.col("topic") == schemas.ORDERS, F.col("ts")))
 
 
 def stock_events(orders: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -194,8 +288,14 @@ def fraud_check(
     delay: timedelta = schemas.SPEND_DELAY,
     rows_per_block: int = ROWS_PER_BLOCK,
     trigger: dict | None = None,
-    whole_state_every: int = WHOLE_STATE_EVERY,
+    compact_every: int = COMPACT_EVERY,
+    late: str | None = None,
 ) -> StreamingQuery:
+    """Spend verdicts per order.
+
+    With a folder ``late`` orders whose session ended more than SPEND_GRACE before the newest
+    order are dropped and written there; without it they count into a session of their own.
+    """
     created = checks.created(orders).select("id", "customer_id", "price", "quantity", "ts", "seq")
     step = running_step(
         ["customer_id"],
@@ -205,8 +305,9 @@ def fraud_check(
         delay,
         checks.fraud_verdicts,
         rows_per_block,
+        None if late is None else schemas.SPEND_GRACE,
     )
-    return run_batches(created, step, path, state, checkpoint, trigger, whole_state_every)
+    return run_batches(created, step, path, state, checkpoint, trigger, compact_every, late)
 
 
 def inventory_check(
@@ -245,9 +346,13 @@ def pass_counts(
     delay: timedelta = schemas.COUNT_DELAY,
     rows_per_block: int = ROWS_PER_BLOCK,
     trigger: dict | None = None,
-    whole_state_every: int = WHOLE_STATE_EVERY,
+    compact_every: int = COMPACT_EVERY,
+    late: str | None = None,
 ) -> StreamingQuery:
-    """Each verdict with its order's running PASS count, for ``validated_orders``."""
+    """Each verdict with its order's running PASS count, for ``validated_orders``.
+
+    ``late`` is as for ``fraud_check``, with COUNT_GRACE.
+    """
     verdicts = validations.select("order_id", "type", "result", "ts", "seq")
     step = running_step(
         ["order_id"],
@@ -257,8 +362,9 @@ def pass_counts(
         delay,
         lambda rows: rows.select("order_id", "passes", "ts", "seq"),
         rows_per_block,
+        None if late is None else schemas.COUNT_GRACE,
     )
-    return run_batches(verdicts, step, path, state, checkpoint, trigger, whole_state_every)
+    return run_batches(verdicts, step, path, state, checkpoint, trigger, compact_every, late)
 
 
 def validated_orders(
@@ -305,14 +411,14 @@ def first_step(keys: Sequence[str], order: Sequence[str], ts: str, delay: timede
     """Each key's first row, once; the state is the keys seen within ``delay``."""
     keys = list(keys)
 
-    def apply(batch: DataFrame, known: DataFrame | None) -> DataFrame:
+    def apply(batch: DataFrame, known: DataFrame | None, arrived: Arrived) -> Outcome:
         firsts = first_per_key(batch, keys, order)
-        return firsts if known is None else firsts.join(known, keys, "left_anti")
-
-    def remember(rows: DataFrame, batch: DataFrame, known: DataFrame | None) -> DataFrame:
-        return rows.select(*keys, ts)
+        if known is not None:
+            firsts = firsts.join(known, keys, "left_anti")
+        firsts = firsts.persist()
+        return Outcome(firsts.drop(ts), firsts.select(*keys, ts), cached=[firsts])
 
-    return Step(apply, remember, lambda rows: rows.drop(ts), keys, ts, delay)
+    return Step(apply, keys, F.col(ts), ts, delay)
 
 
 def failed_orders(
@@ -323,7 +429,7 @@ def failed_orders(
     checkpoint: str,
     delay: timedelta = schemas.COUNT_DELAY,
     trigger: dict | None = None,
-    whole_state_every: int = WHOLE_STATE_EVERY,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """FAILED updates, one per order, by an interval join of FAILs with the orders.
 
@@ -337,29 +443,46 @@ def failed_orders(
     # watermark trails by the delay: no order is forgotten before its last verdict.
     keep = delay + 3 * schemas.JOIN_TOLERANCE
     step = first_step(["id"], ["ts", "seq"], "order_ts", keep)
-    return run_batches(updates, step, path, state, checkpoint, trigger, whole_state_every)
+    return run_batches(updates, step, path, state, checkpoint, trigger, compact_every)
+
+
+def table_step() -> Step:
+    """The order table: each micro-batch's changed orders, told as changes and kept.
+
+    A deleted order stays as its delete, since an older record of it may still come.
+    """
+
+    def apply(batch: DataFrame, known: DataFrame | None, arrived: Arrived) -> Outcome:
+        changes = outcomes.order_changes(batch, known).persist()
+        state = changes.select("after.*")
+        return Outcome(changes.where("change is not null"), state, cached=[changes])
+
+    return Step(apply, ["id"], F.col("ts"))
 
 
 def order_state(
-    log: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    log: DataFrame,
+    path: str,
+    state: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    compact_every: int = COMPACT_EVERY,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """The change stream of the order table: each micro-batch's changed orders.
+    """Keep the order table in the folder ``state`` and write its changes to ``path``.
 
-    ``log`` has the columns of ``plans.outcomes.order_log``; the current state is
-    ``plans.outcomes.order_state`` over what this writes.
+    ``log`` has the columns of ``plans.outcomes.order_log``. The table is read by
+    ``order_table``; a change has the order before and after it, see
+    ``plans.outcomes.order_changes``.
     """
+    return run_batches(
+        log, table_step(), path, state, checkpoint, trigger, compact_every, None, buckets, lookups=True
+    )
 
-    def write(batch: DataFrame, number: int) -> None:
-        write_once(batch, f"{path}/batch={number}")
 
-    return (
-        outcomes.order_state(log)
-        .writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+def order_table(spark: SparkSession, state: str) -> KeyedTable:
+    """The table that ``order_state`` keeps; ``outcomes.orders_now`` hides deleted orders."""
+    return KeyedTable(spark, state, ["id"])
 
 
 def order_history(

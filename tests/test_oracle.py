@@ -9,9 +9,10 @@ import pytest
 
 import __spark_entry__ as contract
 from conftest import SF_DIR
+from ledgerline import oracles, registry
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = registry.queries()
+SQL = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +31,8 @@ def rows(table):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert SQL.keys() <= contract.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))

@@ -14,6 +14,7 @@ from ledgerline import schemas
 from ledgerline.operators import last_per_key
 from ledgerline.plans import checks, outcomes, topics
 from ledgerline.session import checkpoint_dir, write_once
+from ledgerline.sources import KeyedTable
 from ledgerline.streaming import batches, jobs
 from test_checks import make_orders, make_stock
 
@@ -60,8 +61,8 @@ def places(tmp_path, name):
     return [str(tmp_path / f"{name}-{kind}") for kind in ("out", "state", "checkpoint")]
 
 
-@pytest.mark.parametrize("block,whole_state_every", [(20, 3), (10**6, 1), (10**6, 20)])
-def test_fraud_check(spark, tmp_path, block, whole_state_every):
+@pytest.mark.parametrize("block,compact_every", [(20, 3), (10**6, 1), (10**6, 20)])
+def test_fraud_check(spark, tmp_path, block, compact_every):
     rows = make_orders(spark, 11, 400)
     topic = sliced(spark, tmp_path, "orders", rows, 32)
     assert topic.table().count() == rows.count()
@@ -74,12 +75,12 @@ def test_fraud_check(spark, tmp_path, block, whole_state_every):
         state,
         checkpoint,
         rows_per_block=block,
-        whole_state_every=whole_state_every,
+        compact_every=compact_every,
     ).awaitTermination()
     assert os.listdir(scratch) == before
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == topic.files
-    states = [d for d in os.listdir(state) if d.startswith(("whole=", "part="))]
-    assert len(states) <= 2 * whole_state_every
+    assert len([d for d in os.listdir(f"{state}/data") if d.startswith("batch=")]) <= 2 * compact_every + 1
+    assert len([d for d in os.listdir(f"{state}/versions") if d.endswith(".json") and d[0] != "."]) == 2
     assert text(batches.read_batches(spark, out)) == text(checks.fraud_check(rows))
 
 
@@ -134,7 +135,7 @@ def test_late_order_joins_the_open_session(spark, tmp_path, orders):
     jobs.fraud_check(topic.stream(), out, state, checkpoint).awaitTermination()
     results = {r.order_id: r.result for r in batches.read_batches(spark, out).collect()}
     assert results == {1: "PASS", 2: "PASS", 3: "PASS", 4: "FAIL", 5: "PASS", 6: "FAIL"}
-    newest = spark.read.parquet(f"{state}/part=1").orderBy("began").collect()
+    newest = KeyedTable(spark, state, ["customer_id"]).rows().orderBy("began").collect()
     assert [(r.total, r.began) for r in newest] == [(1999, at(minutes=-70)), (2001, at())]
 
 
@@ -144,7 +145,7 @@ def test_old_sessions_leave_the_state(spark, tmp_path, orders):
     topic.append(rows)
     out, state, checkpoint = places(tmp_path, "fraud")
     jobs.fraud_check(topic.stream(), out, state, checkpoint).awaitTermination()
-    assert [r.customer_id for r in spark.read.parquet(f"{state}/whole=0").collect()] == [2]
+    assert [r.customer_id for r in KeyedTable(spark, state, ["customer_id"]).rows().collect()] == [2]
 
 
 def spent(spark, tmp_path, *parts, name="fraud", every=20, delay=None):
@@ -155,7 +156,7 @@ def spent(spark, tmp_path, *parts, name="fraud", every=20, delay=None):
     for part in parts:
         topic.append(part)
     jobs.fraud_check(
-        topic.stream(), out, state, checkpoint, whole_state_every=every, **more
+        topic.stream(), out, state, checkpoint, compact_every=every, **more
     ).awaitTermination()
     return {r.order_id: r.result for r in batches.read_batches(spark, out).collect()}
 
@@ -200,7 +201,7 @@ def test_restart_with_another_number_of_states(spark, tmp_path, orders):
         customer = {} if n in (0, 3) else {"customer_id": 2}
         topic.append(orders((n, at(minutes=n), {"price": price} | customer)))
         jobs.fraud_check(
-            topic.stream(), out, state, checkpoint, whole_state_every=every
+            topic.stream(), out, state, checkpoint, compact_every=every
         ).awaitTermination()
     results = {r.order_id: r.result for r in batches.read_batches(spark, out).collect()}
     assert results[3] == "FAIL"
@@ -272,16 +273,21 @@ def test_outcomes(spark, tmp_path, flow):
         outcomes.failed_orders(log, rows), outcomes.ORDER_COLUMNS
     )
 
-    changed, _, checkpoint = places(tmp_path, "changed")
+    changed, table, checkpoint = places(tmp_path, "changed")
     order_log = outcomes.order_log(
         orders.stream(),
         spark.readStream.schema(updates.schema).parquet(validated),
         batches.stream_batches(spark, failed, failures.schema),
     )
-    jobs.order_state(order_log, changed, checkpoint).awaitTermination()
-    state = outcomes.order_state(batches.read_batches(spark, changed))
+    jobs.order_state(order_log, changed, table, checkpoint).awaitTermination()
     expected = outcomes.order_state(outcomes.order_log(rows, updates, failures))
-    assert text(state) == text(expected)
+    assert text(outcomes.orders_now(jobs.order_table(spark, table).rows())) == text(expected)
+    changes = batches.read_batches(spark, changed)
+    assert text(outcomes.folded_changes(changes)) == text(expected)
+    # Each change begins where the one before it ended.
+    assert changes.where("change = 'insert' and before is not null").isEmpty()
+    told = changes.groupBy("id").agg(F.count_if(F.col("change") == "insert").alias("n")).where("n <> 1")
+    assert told.isEmpty()
 
 
 def test_closed_sessions_validate(spark, tmp_path, flow, verdicts, orders):
@@ -336,3 +342,99 @@ def test_changelog_table_on_a_stream(spark, tmp_path):
     query.awaitTermination()
     latest = last_per_key(changes, ["product"], ["ts", "seq"])
     assert text(spark.table("stock_now")) == text(latest)
+
+
+def late_parts(orders):
+    """Orders within and beyond the grace of 23 hours, by arrival."""
+    return [
+        orders((1, at(), {"price": 1900}), (2, at(hours=10), {"customer_id": 2}), (3, at(hours=1), {"price": 1})),
+        orders((4, at(hours=30), {"customer_id": 3})),
+        orders(
+            (5, at(minutes=30), {"price": 500}),  # its session ended 29 hours before order 4
+            (6, at(hours=8), {"price": 70}),  # 22 hours before it
+            (7, at(hours=9, minutes=30), {"customer_id": 2, "price": 3000}),
+            (8, at(hours=10, minutes=45), {"customer_id": 2, "price": 1}),
+            (9, at(hours=6), {"customer_id": 2}),
+            (10, at(hours=6, minutes=50), {"customer_id": 5}),  # a chain to within the grace
+            (11, at(hours=7, minutes=40), {"customer_id": 5, "price": 1995}),
+        ),
+    ]
+
+
+@pytest.mark.parametrize("block", [1, 10**6])
+def test_too_late_orders_are_told(spark, tmp_path, orders, block):
+    parts = late_parts(orders)
+    topic = Topic(spark, tmp_path / "orders", parts[0].schema)
+    for part in parts:
+        topic.append(part)
+    out, state, checkpoint = places(tmp_path, "fraud")
+    late = str(tmp_path / "late")
+    jobs.fraud_check(
+        topic.stream(), out, state, checkpoint, rows_per_block=block, late=late
+    ).awaitTermination()
+    found = {r.order_id: r.result for r in batches.read_batches(spark, out).collect()}
+    assert found == {1: "PASS", 2: "PASS", 3: "PASS", 4: "PASS", 6: "PASS", 7: "FAIL", 8: "FAIL", 10: "PASS", 11: "FAIL"}
+    assert sorted(r.id for r in batches.read_batches(spark, late).collect()) == [5, 9]
+
+
+def test_state_of_untouched_keys_is_not_read(spark, tmp_path, orders, monkeypatch):
+    parts = [orders(*[(n, at(minutes=n), {"customer_id": n}) for n in range(200)])]
+    parts += [orders((300 + n, at(minutes=201 + n), {"customer_id": 7})) for n in range(3)]
+    topic = Topic(spark, tmp_path / "orders", parts[0].schema)
+    for part in parts:
+        topic.append(part)
+    opened = []
+    read = KeyedTable.rows
+
+    def spy(self, version=None, buckets=None, where=None):
+        found = read(self, version, buckets, where)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [" in plan and "bucket#" in plan
+        opened.append(list(buckets))
+        return found
+
+    monkeypatch.setattr(KeyedTable, "rows", spy)
+    out, state, checkpoint = places(tmp_path, "fraud")
+    jobs.fraud_check(topic.stream(), out, state, checkpoint).awaitTermination()
+    monkeypatch.undo()
+    table = KeyedTable(spark, state, ["customer_id"])
+    version = table.version()
+    (bucket,) = spark.createDataFrame([(7,)], "customer_id bigint").select(table.bucket()).first()
+    assert opened == [[bucket]] * 3
+    # Only that bucket was written after the first micro-batch.
+    assert version.batches.pop(bucket)[-1] == 3 and set(map(tuple, version.batches.values())) == {(0,)}
+    assert table.rows().count() == 201
+
+
+def test_versions_of_stock_by_product(spark, tmp_path, orders, stock):
+    """A late order meets the stock of its time; products without news are not rewritten."""
+    placed = [
+        orders((1, at(hours=2), {"quantity": 4}), (2, at(hours=2), {"product": "WATCH", "quantity": 1})),
+        orders((3, at(hours=9), {"quantity": 3})),
+        orders((4, at(hours=3), {"quantity": 2})),
+    ]
+    changes = [
+        stock(("SHOES", 6, at(hours=1)), ("WATCH", 5, at(hours=1))),
+        stock(("SHOES", 5, at(hours=8))),
+        stock(("SHOES", 1, at(hours=20))),
+    ]
+    topic, inventory = (Topic(spark, tmp_path / n, parts[0].schema) for n, parts in (("o", placed), ("s", changes)))
+    for part, change in zip(placed, changes, strict=True):
+        topic.append(part)
+        inventory.append(change)
+    out, state, checkpoint = places(tmp_path, "inventory")
+    jobs.inventory_check(topic.stream(), inventory.stream(), out, state, checkpoint).awaitTermination()
+    found = {r.order_id: r.result for r in batches.read_batches(spark, out).collect()}
+    # Order 3 finds 5 with 4 taken; order 4 comes late and finds the 6 of its time, 4 taken.
+    assert found == {1: "PASS", 2: "PASS", 3: "FAIL", 4: "PASS"}
+    table = KeyedTable(spark, state, ["product"])
+    versions = table.rows().where("valid_from is not null").orderBy("product", "valid_from").collect()
+    assert [(r.product, r.stock, r.valid_from, r.valid_to) for r in versions] == [
+        ("SHOES", 6, at(hours=1), at(hours=8)),
+        ("SHOES", 5, at(hours=8), at(hours=20)),
+        ("SHOES", 1, at(hours=20), None),
+        ("WATCH", 5, at(hours=1), None),
+    ]
+    watch = spark.createDataFrame([("WATCH",)], "product string").select(table.bucket()).first()[0]
+    shoes = spark.createDataFrame([("SHOES",)], "product string").select(table.bucket()).first()[0]
+    assert watch != shoes and table.version().batches[watch] == [0]
