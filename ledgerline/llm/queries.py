@@ -337,10 +337,10 @@ WITH RECURSIVE crc AS (
     CASE WHEN lot = 1 THEN '' WHEN lot = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
     unnest(CASE WHEN lot = 3 THEN [1, 2] ELSE [1] END) AS copy
   FROM lots WHERE lot <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
 ), numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS time
-  FROM damaged
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS time FROM placed
 ), faults AS (
   SELECT *, substring(role, 1, 1) AS initial,
     CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN time > 1 THEN 'duplicate'
