@@ -28,6 +28,8 @@ from ledgerline.session import materialize
 # Workers get this module's code with each task and need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Rows that a reservation decides at once.
+STRETCH = 1 << 14
 # State bounds of a piece that reaches without limit.
 LOWEST, HIGHEST = -(2**62), 2**62
 
@@ -91,26 +93,31 @@ class StockReservation:
 
     @staticmethod
     def _granted(state, headroom, quantity):
-        before = state + np.cumsum(quantity) - quantity
-        refused = before > headroom
-        if not refused.any():
-            return np.ones(len(headroom), dtype=bool)
-        if state > headroom.max():
-            return np.zeros(len(headroom), dtype=bool)
-        # All rows up to the first refusal are granted. From there on the state never falls
-        # below ``least``, so only rows with that much headroom need a look, row by row.
-        first = int(refused.argmax())
+        """Which rows fit, found for all rows of a stretch at once.
+
+        A row surely fits if it does with everything undecided before it that takes stock
+        granted, and surely not if it does not with everything that gives some back. Each
+        row decided narrows that for those after it. The first undecided row is always
+        decided; where rounds decide few rows the rest is gone through one by one.
+        """
         granted = np.zeros(len(headroom), dtype=bool)
-        granted[:first] = True
-        reserved = int(before[first])
-        least = reserved + int(np.minimum(quantity[first:], 0).sum())
-        open_rows = first + np.flatnonzero(headroom[first:] >= least)
-        for i, room, wanted in zip(
-            open_rows.tolist(), headroom[open_rows].tolist(), quantity[open_rows].tolist()
-        ):
-            if reserved <= room:
-                granted[i] = True
-                reserved += wanted
+        for at in range(0, len(headroom), STRETCH):
+            room, wanted = headroom[at : at + STRETCH], quantity[at : at + STRETCH]
+            here = granted[at : at + STRETCH]
+            open_rows, before = np.arange(len(room)), np.full(len(room), state, np.int64)
+            while len(open_rows):
+                r, q = room[open_rows], wanted[open_rows]
+                more, less = np.maximum(q, 0), np.minimum(q, 0)
+                fits = r >= before + np.cumsum(more) - more
+                open_next = ~fits & (r >= before + np.cumsum(less) - less)
+                here[open_rows[fits]] = True
+                taken = np.where(fits, q, 0)
+                before = (before + np.cumsum(taken) - taken)[open_next]
+                decided, open_rows = len(open_rows), open_rows[open_next]
+                if len(open_rows) * 8 > decided * 7:
+                    one_by_one(open_rows, before, room, wanted, here)
+                    break
+            state += int(wanted[here].sum())
         return granted
 
     def probes(self, stock, quantity):
@@ -122,12 +129,24 @@ class StockReservation:
         return (everything_fits, nothing_fits, sold_out, middle)
 
 
+def one_by_one(open_rows, before, room, wanted, granted) -> None:
+    """Decide the undecided rows in order; ``before`` is the state that decided rows lead to."""
+    extra = 0
+    values = (open_rows, before, room[open_rows], wanted[open_rows])
+    for i, state, r, q in zip(*(v.tolist() for v in values)):
+        if state + extra <= r:
+            granted[i] = True
+            extra += q
+
+
 class RowFold:
     """A fold given as ``step(state, *values) -> (state, result)`` for one row.
 
-    Values are of any type, null is None; the state is an integer. A step says nothing about other start states, so a hot key's blocks can only be
-    told apart from the states they were tried with: where states do not run together
-    soon, that takes a round per block. A ``Fold`` that knows its pieces needs few.
+    Values are of any type, null is None; the state is an integer. A step says nothing
+    about other start states, so a hot key's blocks can only be told apart from the states
+    they were tried with: where states do not run together soon, that takes a round per
+    block. A ``Fold`` that knows its pieces needs few, and ``custom.transform`` goes along a
+    key in one task, with states of any type.
     """
 
     def __init__(

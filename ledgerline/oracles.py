@@ -230,6 +230,22 @@ LATE_VERDICTS = " UNION ALL ".join(
 )
 
 
+PROFILES = """
+profile_orders AS (
+  SELECT *, CAST(price * quantity AS DOUBLE) AS spent,
+    row_number() OVER (PARTITION BY customer_id ORDER BY ts, seq) AS n
+  FROM created_v WHERE customer_id IS NOT NULL),
+profile_v AS (
+  SELECT id, customer_id, ts, n, product, false AS changed,
+    CAST(0.5 AS DOUBLE) * coalesce(spent, 0) AS average
+  FROM profile_orders WHERE n = 1
+  UNION ALL
+  SELECT q.id, q.customer_id, q.ts, q.n, coalesce(q.product, p.product),
+    coalesce(q.product <> p.product, false),
+    CAST(0.5 AS DOUBLE) * p.average + CAST(0.5 AS DOUBLE) * coalesce(q.spent, 0)
+  FROM profile_v p JOIN profile_orders q ON q.customer_id = p.customer_id AND q.n = p.n + 1)"""
+
+
 def _sql(*parts: str) -> str:
     """The last part as the query, the others as its CTEs."""
     *ctes, query = parts
@@ -349,6 +365,29 @@ def oracle_sql() -> dict[str, str]:
         "orders_asof_stock": _sql(ORDERS, INVENTORY, STOCKED, asof),
         "inventory_check": _sql(ORDERS, INVENTORY, STOCKED, RESERVED, INVENTORY_CHECK),
         "all_validations": _sql(*checks, CHECKED, "SELECT * FROM checked_v"),
+        # User functions
+        "customer_profiles": _sql(
+            ORDERS, PROFILES, "SELECT id, customer_id, changed, average, ts FROM profile_v"
+        ),
+        "product_changes": _sql(
+            ORDERS,
+            """bought AS (
+                 SELECT *, lag(product) OVER (PARTITION BY customer_id ORDER BY ts, seq) AS before
+                 FROM created_v WHERE customer_id IS NOT NULL AND product IS NOT NULL)""",
+            """SELECT customer_id, arg_min(product, (ts, seq)) AS first_product,
+                 arg_max(product, (ts, seq)) AS last_product,
+                 count(*) FILTER (product <> before) AS changes
+               FROM bought GROUP BY customer_id""",
+        ),
+        "basket_sessions": _sql(
+            ORDERS,
+            SPENDING,
+            """SELECT customer_id, min(ts) AS first_ts, max(ts) AS last_ts,
+                 CAST(bit_or(CASE product WHEN 'SHOES' THEN 1 WHEN 'WATCH' THEN 2
+                             WHEN 'GUITAR' THEN 4 ELSE 0 END) AS BIGINT) AS products,
+                 CAST(max(price * quantity) AS BIGINT) AS dearest
+               FROM spend_sessions GROUP BY customer_id, session""",
+        ),
         # Outcomes
         "pass_count_sessions": _sql(*logged, pass_sessions),
         "pass_count_running": _sql(*logged, pass_running),
@@ -388,6 +427,7 @@ def oracle_sql() -> dict[str, str]:
     }
     # The same operators with every key cut into small blocks, as a hot key would be.
     for name in (
+        "basket_sessions",
         "fraud_sessions",
         "fraud_running_total",
         "orders_asof_stock",
@@ -399,6 +439,7 @@ def oracle_sql() -> dict[str, str]:
         queries[f"{name}_split"] = queries[name]
     # The streaming jobs run over the whole input to its end.
     for name in (
+        "customer_profiles",
         "details_check",
         "fraud_check",
         "inventory_check",

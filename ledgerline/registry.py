@@ -15,7 +15,7 @@ from ledgerline import fixtures, schemas
 from ledgerline.functions import encode_order, is_sane_order
 from ledgerline.operators import last_per_key, route
 from ledgerline.operators.blocks import ROWS_PER_BLOCK
-from ledgerline.plans import checks, outcomes, topics
+from ledgerline.plans import checks, customers, outcomes, topics
 from ledgerline.session import checkpoint_dir, listed, prepare, set_times
 from ledgerline.sources import KeyedTable, append_topic, read_topic
 from ledgerline.streaming import batches, jobs
@@ -231,11 +231,16 @@ BATCH: dict[str, Callable[[Inputs], DataFrame]] = {
     "failed_orders_raw": lambda i: outcomes.failed_orders_raw(i.validations, i.orders),
     "failed_orders": lambda i: outcomes.failed_orders(i.validations, i.orders),
     "order_lifecycle": lambda i: outcomes.order_lifecycle(i.orders, i.inventory).select(ORDER),
+    # User functions
+    "customer_profiles": lambda i: customers.customer_profiles(i.orders),
+    "product_changes": lambda i: customers.product_changes(i.orders),
+    "basket_sessions": lambda i: customers.baskets(i.orders),
     # The same with small blocks, so that the test data's keys are cut into several
     "fraud_sessions_split": lambda i: _fraud_sessions(i, 10),
     "fraud_running_total_split": lambda i: _running(i, 10),
     "orders_asof_stock_split": lambda i: _asof(i, SMALL_BLOCK),
     "inventory_check_split": lambda i: checks.inventory_check(i.orders, i.inventory, SMALL_BLOCK),
+    "basket_sessions_split": lambda i: customers.baskets(i.orders, 10),
     "pass_count_sessions_split": lambda i: outcomes.pass_count_sessions(i.validations, 4),
     "pass_count_running_split": lambda i: outcomes.pass_count_running(i.validations, 4),
     "order_lifecycle_split": lambda i: outcomes.order_lifecycle(
@@ -406,6 +411,7 @@ STREAMING: dict[str, Callable[[Streams], DataFrame]] = {
     "stream_order_changes": lambda s: outcomes.folded_changes(s.changed(s.validations)).select(ORDER),
     "stream_lookup_order": lambda s: s.looked_up().select(ORDER),
     "stream_fraud_late": lambda s: s.too_late(),
+    "stream_customer_profiles": lambda s: s.run(jobs.customer_profiles, s.orders, state=True),
     "stream_all_validations": lambda s: s.checked(),
     "stream_order_lifecycle": lambda s: s.lifecycle().select(ORDER),
 }

@@ -13,13 +13,16 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerline import schemas
 from ledgerline.functions import spend
 from ledgerline.operators import (
+    Transformer,
     first_per_key,
     session_aggregate,
     session_running,
+    transform,
 )
 from ledgerline.operators.blocks import ROWS_PER_BLOCK, hot_keys
+from ledgerline.operators.custom import LAST, STATE
 from ledgerline.operators.times import interval_text
-from ledgerline.plans import checks, outcomes, topics
+from ledgerline.plans import checks, customers, outcomes, topics
 from ledgerline.session import materialize
 from ledgerline.sources.keyed_table import BUCKETS, COMPACT_EVERY, KeyedTable
 from ledgerline.streaming.batches import Arrived, Outcome, Step, run_batches
@@ -485,6 +488,39 @@ def order_table(spark: SparkSession, state: str) -> KeyedTable:
     return KeyedTable(spark, state, ["id"])
 
 
+def transformer_step(
+    keys: Sequence[str],
+    order: Sequence[str],
+    transformer: Transformer,
+    column: str,
+    emit: Callable[[DataFrame], DataFrame],
+    ts: str = "ts",
+    keep: timedelta | None = None,
+) -> Step:
+    """A user's transformer over micro-batches; its state, of any type, is kept per key.
+
+    Within a micro-batch a key's rows follow ``order``. With ``keep`` the state of keys
+    without a row for that long, in event time, is forgotten.
+    """
+
+    def apply(batch: DataFrame, known: DataFrame | None, arrived: Arrived) -> Outcome:
+        rows = transform(batch, keys, order, transformer, column, known).persist()
+        state = rows.where(LAST).select(*keys, STATE, ts)
+        return Outcome(emit(rows.drop(STATE, LAST)), state, cached=[rows])
+
+    return Step(apply, list(keys), F.col(ts), None if keep is None else ts, keep or timedelta(0))
+
+
+def customer_profiles(
+    orders: DataFrame, path: str, state: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Each order with its customer's profile after it."""
+    step = transformer_step(
+        ["customer_id"], ["ts", "seq"], customers.PROFILE, "profile", customers.profile_rows
+    )
+    return run_batches(customers.spending(orders), step, path, state, checkpoint, trigger)
+
+
 def order_history(
     records: Mapping[str, DataFrame], path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
