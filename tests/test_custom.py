@@ -120,7 +120,7 @@ def test_a_hot_key_is_reduced_before_the_shuffle(spark):
         plan = found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    by_hash, by_range = plan.index("hashpartitioning(k"), plan.index("rangepartitioning(k")
+    by_hash, by_range = plan.index("hashpartitioning(k"), plan.index("rangepartitioning(")
     assert by_hash < plan.index("MapInArrow", by_hash) < by_range
 
 
