@@ -365,3 +365,52 @@ def test_secrets_without_letters_or_digits(spark):
     found = {r.doc_id: r for r in surrogates.pseudonymize(table(spark, rows), "key", "n").collect()}
     assert [(found[i].text, found[i].n) for i in (1, 2)] == [(t, 0) for _, t in rows[:2]]
     assert found[3].n == 1 and "!@#" not in found[3].text and found[3].text.endswith(" then")
+
+
+def kinds(text):
+    return [(m.kind, text[m.start : m.stop]) for m in surrogates.mentions(text)]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("Mr. J. Smith came", [("name", "J. Smith")]),
+        ("MRS SMITH and DR GARCIA", [("name", "SMITH"), ("name", "GARCIA")]),
+        ("+33 6 12 34 56 78 or 06 12 34 56 78", [("phone", "+33 6 12 34 56 78"), ("phone", "06 12 34 56 78")]),
+        ("call (495) 123-45-67.", [("phone", "(495) 123-45-67")]),
+        ("from 2001:db8::8a2e:370:7334 to fe80::1", [("ipv6", "2001:db8::8a2e:370:7334"), ("ipv6", "fe80::1")]),
+        ("at 10:20:30, std::vector, a::b, 1:2", []),
+        (
+            "Dr Maria Garcia met us. Garcia said so, Maria Garcia left, Garciaz not.",
+            [("name", "Maria Garcia"), ("family", "Garcia"), ("name", "Maria Garcia")],
+        ),
+        ("Prof Anna Maria von der Leyen Schmidt spoke", [("name", "Anna Maria von der Leyen Schmidt")]),
+        ("the garcia family, Maria and Garcia", []),
+    ],
+)
+def test_mentions(text, expected):
+    assert kinds(text) == expected
+
+
+def test_a_name_is_one_entity_under_all_titles(spark):
+    rows = [
+        (1, "Dr Maria Garcia came. Garcia sat down, and Mrs Garcia spoke to GARCIA."),
+        (2, "Mrs Maria Garcia came."),
+        (3, "Mr Ian Grant came. Mr. I. Grant left, Ian Grant-Hill not."),
+        (4, "Herr Ian Grant"),
+    ]
+    texts = {r.doc_id: r.text for r in surrogates.pseudonymize(table(spark, rows), "key").collect()}
+    first, family = texts[2].split()[1:3]
+    assert texts[1] == f"Dr {first} {family} came. {family} sat down, and Mrs {family} spoke to GARCIA."
+    assert first in surrogates._GIVEN["latin", "f"]
+    assert texts[4].split()[1:] == texts[3].split()[1:3] and texts[4].split()[1] in surrogates._GIVEN["latin", "m"]
+    assert "Garcia" not in "".join(texts.values()) and " Grant." not in texts[3]
+
+
+def test_surrogates_beside_columns_of_their_own_names(spark):
+    docs = spark.createDataFrame(
+        [(1, "Mr Smith", 2, "a", 3, "b", 4, 5)],
+        "doc_id bigint, text string, row int, mentions string, given int, N string, _row int, n_chars int",
+    )
+    (found,) = surrogates.pseudonymize(docs, "key", "told").collect()
+    assert tuple(found)[2:] == (2, "a", 3, "b", 4, 5, 1) and found.text != "Mr Smith"
