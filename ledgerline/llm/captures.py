@@ -37,6 +37,8 @@ LEAST_PAYLOAD = 1000
 BLOCK_LINES = 1000
 DIRECTORY = 2**17
 MERGE_GAP = 1 << 16
+# Bytes of records that a task reads, about.
+TASK_BYTES = 64_000_000
 MERGE_BYTES = 1 << 22
 CAPTURE = "key string, page_id long, file string, offset long, length long"
 
@@ -321,11 +323,14 @@ def _range(group: list[tuple[str, int, int]]) -> list[dict]:
 def read_records(captures: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to).
 
-    Neighbouring records are read in one range. A revisit has no payload of its own.
+    Neighbouring records are read in one range. A revisit has no payload of its own. Places
+    are few bytes and records many, so the number of tasks goes by the bytes to read.
     """
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = captures.sparkSession.sparkContext.defaultParallelism
     return (
         captures.select("file", "offset", "length")
-        .repartitionByRange("file", "offset")
+        .repartitionByRange(max(cores, -(-size // TASK_BYTES)), "file", "offset")
         .sortWithinPartitions("file", "offset")
         .mapInArrow(
             _records,
