@@ -5,11 +5,16 @@ letters, where a word begins and ends with a mark. Counts of the longest grams a
 over all documents to learn from; shorter ones count in how many different longer ones
 they stand, as Kneser and Ney have it, and each order is interpolated with the next.
 
-Models are sorted arrays of 20-bit hashes of the grams with their counts. So a language
-has at most 2^20 entries per order, however large the corpus; grams with equal hashes are
-counted together. A document's language is the one with the lowest cross-entropy per
-letter. The posterior of the languages, at a temperature fitted on labelled documents,
-is the score; below ``reject_below`` the prediction counts as rejected.
+Models are sorted arrays of 64-bit hashes of the grams with their counts: an entry per
+different gram, so that they grow with what the corpus holds (about 12 bytes an entry; some
+10,000 four-letter grams for a language with a small alphabet). They pass through the driver
+and are broadcast whole; a language of millions of grams costs tens of megabytes on each
+executor, and there is no other way for it here. A document's language is the one with the
+lowest cross-entropy per letter. The posterior of the languages, at a temperature fitted on
+labelled documents, is the score; below ``reject_below`` the prediction counts as rejected.
+
+Texts are split and their words numbered a batch at a time; each different word is looked at
+once, and documents are sums over numbers.
 """
 
 from __future__ import annotations
@@ -25,16 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.shared import Cache, held_out
+from ledgerline.llm.units import slices
 from ledgerline.session import materialize
 
 ORDER = 4
-HASH_BITS = 20
 FOLDS = 4
 HELD_OUT = 2
 DISCOUNT = 0.75
 UNSEEN = 2.0**-16  # of a letter that no document holds
 REJECT_BELOW = 0.5
+# Different labelled documents that the temperature is fitted on, at most.
 TEMPERATURE_ROWS = 500
+# Different words of all languages that a task counts before it tells them.
 FLUSH = 400_000
 WORDS_AT_ONCE = 300_000
 
@@ -49,10 +56,18 @@ def grams(word: str) -> list[str]:
     return [marked[i : i + ORDER] for i in range(len(word) + 1)]
 
 
+def _numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(number of each word, where each text's words begin and end, the different words)."""
+    lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), offsets - offsets[0], coded.dictionary.to_pylist()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the longest grams per language, as far as seen here."""
     clean = Cache(letters)
-    words: dict[str, Counter] = {}
+    words: dict[str, dict[str, int]] = {}
 
     def told() -> Iterator[pa.RecordBatch]:
         for lang, counted in words.items():
@@ -68,19 +83,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words.clear()
 
     for batch in batches:
-        for text, lang in zip(batch["text"], batch["lang"].to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update((text.as_py() or "").split())
+        for first, size in slices(batch["text"]):
+            part = batch.slice(first, size)
+            codes, ends, known = _numbered(part["text"])
+            langs = part["lang"].dictionary_encode()
+            of = np.repeat(langs.indices.to_numpy(), np.diff(ends))
+            for i, lang in enumerate(langs.dictionary.to_pylist()):
+                times = np.bincount(codes[of == i], minlength=len(known))
+                counted = words.setdefault(lang, {})
+                some = np.flatnonzero(times)
+                for word, n in zip([known[j] for j in some.tolist()], times[some].tolist()):
+                    counted[word] = counted.get(word, 0) + n
             if sum(map(len, words.values())) > FLUSH:
                 yield from told()
     yield from told()
 
 
-def _hash(column: str) -> F.Column:
-    return F.shiftrightunsigned(F.xxhash64(column), 64 - HASH_BITS)
-
-
 def _hashed(gram: str) -> int:
-    return xxhash.xxh64_intdigest(gram, 42) >> (64 - HASH_BITS)
+    return xxhash.xxh64_intdigest(gram, 42)
 
 
 class Model:
@@ -94,8 +114,8 @@ class Model:
         """Log probabilities of the grams' last letters, a row per gram."""
         p = np.full((len(grams), len(self.langs)), UNSEEN)
         for order, per_lang in enumerate(self.tables, 1):
-            keys = np.array([_hashed(g[ORDER - order :]) for g in grams], np.uint32)
-            contexts = np.array([_hashed(g[ORDER - order : -1]) for g in grams], np.uint32)
+            keys = np.array([_hashed(g[ORDER - order :]) for g in grams], np.uint64)
+            contexts = np.array([_hashed(g[ORDER - order : -1]) for g in grams], np.uint64)
             for i, (at, n, context, total, kinds) in enumerate(per_lang):
                 seen = _look_up(at, n, keys)
                 whole, many = _look_up(context, total, contexts), _look_up(context, kinds, contexts)
@@ -125,25 +145,26 @@ def learn(docs: DataFrame) -> Model:
         if order < ORDER:  # in how many different longer grams it stands
             shorter = F.expr("substring(gram, 2)")
             level = level.groupBy("lang", shorter.alias("gram")).agg(F.count("*").alias("n"))
-        level_now = level
-        seen = level_now.groupBy("lang", _hash("gram").alias("at")).agg(F.sum("n").alias("n"))
-        context = level_now.withColumn("context", F.expr(f"substring(gram, 1, {order - 1})"))
-        context = context.groupBy("lang", _hash("context").alias("at")).agg(
-            F.sum("n").alias("n"), F.count("*").alias("kinds")
-        )
-        per_lang = {lang: [] for lang in langs}
-        for name, df in (("n", seen), ("context", context)):
-            rows = df.toArrow().sort_by("at")
-            for lang in langs:
-                part = rows.filter(pc.equal(rows["lang"], lang))
-                per_lang[lang].append(part["at"].to_numpy().astype(np.uint32))
-                per_lang[lang].append(part["n"].to_numpy().astype(np.float32))
-                if name == "context":
-                    per_lang[lang].append(part["kinds"].to_numpy().astype(np.float32))
-        tables.append([tuple(per_lang[lang]) for lang in langs])
+        context = F.expr(f"substring(gram, 1, {order - 1})").alias("gram")
+        contexts = level.groupBy("lang", context).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+        parts = [_arrays(df, langs) for df in (level, contexts)]
+        tables.append([(*seen, *of) for seen, of in zip(*parts)])
     return Model(langs, tables[::-1])
 
 
+def _arrays(df: DataFrame, langs: list[str]) -> list[list[np.ndarray]]:
+    """Per language the sorted hashes of the grams of ``df`` and its other columns."""
+    numbers = [c for c in df.columns if c not in ("lang", "gram")]
+    rows = df.select("lang", F.xxhash64("gram").alias("at"), *numbers).toArrow()
+    out = []
+    for lang in langs:
+        part = rows.filter(pc.equal(rows["lang"], lang))
+        at = part["at"].to_numpy().view(np.uint64)
+        order = np.argsort(at)
+        out.append([at[order], *(part[c].to_numpy()[order].astype(np.float32) for c in numbers)])
+    return out
+
+
 class _Words:
     """Sums over words of the grams' log probabilities, kept for words met again."""
 
@@ -172,24 +193,23 @@ class _Words:
         self.sums = np.vstack([self.sums, (sums[ends] - sums[ends - sizes]).astype(np.float32)])
         self.sizes = np.concatenate([self.sizes, sizes.astype(np.float32)])
 
-    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def documents(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Mean log probability per letter and language, and the number of letters."""
-        counts = [Counter((t or "").split()) for t in texts]
-        new = list({w for c in counts for w in c if w not in self.place})
+        codes, ends, known = _numbered(texts)
+        new = [w for w in known if w not in self.place]
         if len(self.place) + len(new) > WORDS_AT_ONCE:
             self.clear()
-            new = list({w for c in counts for w in c})
+            new = known
         if new:
             self.learn(new)
-        at = np.array([self.place[w] for c in counts for w in c], np.int64)
-        n = np.array([n for c in counts for n in c.values()], np.float32)
-        ends = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int64)
+        at = np.array([self.place[w] for w in known], np.int64)[codes] if known else codes
         sums = np.zeros((len(texts), len(self.model.langs)))
         sizes = np.zeros(len(texts))
         full = np.flatnonzero(np.diff(ends))
         if len(full):
-            sums[full] = np.add.reduceat(self.sums[at] * n[:, None], ends[full], axis=0)
-            sizes[full] = np.add.reduceat(self.sizes[at] * n, ends[full])
+            sizes[full] = np.add.reduceat(self.sizes[at], ends[full], dtype=np.float64)
+            for i in range(len(self.model.langs)):
+                sums[full, i] = np.add.reduceat(self.sums[:, i][at], ends[full], dtype=np.float64)
         return sums / np.maximum(sizes, 1)[:, None], sizes
 
 
@@ -200,7 +220,7 @@ def _posterior(means: np.ndarray, temperature: float) -> np.ndarray:
 
 def temperature(model: Model, rows: list[tuple[str, str]]) -> float:
     """Of those on a grid, the one that makes the labels of the rows likeliest."""
-    means, sizes = _Words(model).documents([t for t, _ in rows])
+    means, sizes = _Words(model).documents(pa.array([t for t, _ in rows], pa.string()))
     truth = np.array([model.langs.index(lang) for _, lang in rows], np.int64)
     some = np.flatnonzero(sizes)
     if not len(some):
@@ -215,9 +235,9 @@ def _predict(broadcast, heat: float):
         model = broadcast.value
         words, names = _Words(model), np.array([*model.langs, "und"], object)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                means, sizes = words.documents(part["text"].to_pylist())
+            for first, size in slices(batch["text"]):
+                part = batch.slice(first, size)
+                means, sizes = words.documents(part["text"])
                 best, score = np.full(len(sizes), len(model.langs)), np.zeros(len(sizes))
                 if model.langs:
                     posterior = _posterior(means, heat)
@@ -230,20 +250,30 @@ def _predict(broadcast, heat: float):
     return predict
 
 
-def identify(docs: DataFrame, reject_below: float = REJECT_BELOW) -> DataFrame:
+def _labelled(train: DataFrame, most: int) -> list[tuple[str, str]]:
+    """(text, lang) of the ``most`` different rows with the smallest hashes, by hash."""
+    rows = train.select(F.xxhash64("doc_id", "text", "lang").alias("row"), "text", "lang")
+    last = rows.select("row").distinct().orderBy("row").limit(most).agg(F.max("row")).first()[0]
+    chosen = rows.where(F.col("row") <= last).dropDuplicates(["row"]).collect() if last is not None else []
+    return [(r.text, r.lang) for r in sorted(chosen, key=lambda r: r.row)]
+
+
+def identify(
+    docs: DataFrame, reject_below: float = REJECT_BELOW, temperature_rows: int = TEMPERATURE_ROWS
+) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for every row of ``docs``.
 
     Learns from text and non-null lang of documents that are not held out: those whose
-    crc32 of the doc_id leaves 2 by 4; a null doc_id is held out. A text that is null or
-    has no letter is ``und`` with score 0, as is every text if there is nothing to learn.
+    crc32 of the doc_id leaves 2 by 4; a null doc_id is held out. The temperature is fitted
+    on ``temperature_rows`` of them at most. A text that is null or has no letter is ``und``
+    with score 0, as is every text if there is nothing to learn; of equally likely languages
+    the first by name is told. Repeated rows come out repeatedly.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     out = held_out("doc_id", FOLDS, HELD_OUT)
     train = docs.where(~out).where("lang is not null and text is not null")
     model = learn(train)
-    sample = train.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "lang").limit(TEMPERATURE_ROWS)
-    chosen = train.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi").limit(TEMPERATURE_ROWS)
-    heat = temperature(model, [(r.text, r.lang) for r in chosen.collect()]) if model.langs else 1.0
+    heat = temperature(model, _labelled(train, temperature_rows)) if model.langs else 1.0
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     predicted = docs.mapInArrow(_predict(broadcast, heat), "doc_id long, lang_pred string, score double")
     return predicted.select(
