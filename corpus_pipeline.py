@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
 Labels to learn from are in ``sf_dir``.
+
+Rows with a null or empty text, and rows without doc_id, go through the toxicity and quality
+stages by their scores like others, are no near-duplicates of anything (rows with the same
+doc_id and text count as one document) and have no personal data; packed, they have a piece
+with the one id that ends a document. An empty table gives empty tables. Columns that
+documents do not have are carried through the stages, whatever their names; n_chars is set
+anew where there is one.
 """
 
 from __future__ import annotations
@@ -30,6 +37,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     replaced = surrogates.pseudonymize(docs, KEY)
+    if "n_chars" not in docs.columns:
+        return replaced
     return replaced.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
