@@ -141,3 +141,21 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.run(spark, SF_DIR)
     assert packed.select("doc_id").distinct().count() == before.count()
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and repeated texts, no rows, columns of the operators' own names."""
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, score int, _mentions int, label int"
+    long = " ".join(f"word{i}" for i in range(4000))
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (4, "one"), (5, long), (6, long), (None, None), (None, "Mr Smith")]
+    docs = spark.createDataFrame([(i, t, None, None, 1, "r", 2, 3, 4) for i, t in rows], columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            after = materialize(stage(spark, table, SF_DIR))
+            assert after.columns == docs.columns, name
+            assert after.count() <= table.count()
+            told = after.where("doc_id <> 6").select("row", "score", "_mentions", "label").distinct().collect()
+            assert set(map(tuple, told)) <= {("r", 2, 3, 4)}
+    assert corpus_pipeline.packed(spark, docs.limit(0), SF_DIR).count() == 0
+    kept = corpus_pipeline.one_of_each(spark, docs, SF_DIR)
+    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == [1, 2, 3, 4, 5]
