@@ -11,6 +11,9 @@
 ``surrogates``              replacing personal data
 ``language``                language identification
 ``captures``                WARC archives with a two-level capture index
+``licenses``                license texts by votes for diagonals
+``repair``                  conversations brought back into turn
+``periodic``                stretches that repeat with a period
 ==========================  ======================================================
 
 Rows with nulls, empty and repeated rows are kept unless an operator says otherwise;
