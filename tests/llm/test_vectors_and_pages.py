@@ -121,7 +121,7 @@ def test_archives_come_back(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     theirs = con.sql(queries.oracle_sql()[name]).to_arrow_table()
     ours = queries.queries()[name](spark, SF_DIR).toArrow().select(theirs.column_names)
