@@ -216,7 +216,7 @@ def session_fold(
     extra = [T.StructField(name, aggregate.state), T.StructField("edge", T.BooleanType())]
 
     def schema(group: list[str]) -> T.StructType:
-        fields = [T.StructField(BLOCK, T.IntegerType()) if c == BLOCK else rows.schema[c] for c in group]
+        fields = [T.StructField(BLOCK, T.LongType()) if c == BLOCK else rows.schema[c] for c in group]
         return T.StructType([*fields, *times, *extra])
 
     def walk(group: list[str], pieces, begin_with, join):

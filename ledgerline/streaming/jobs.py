@@ -19,7 +19,7 @@ from ledgerline.operators import (
     session_running,
     transform,
 )
-from ledgerline.operators.blocks import ROWS_PER_BLOCK, hot_keys
+from ledgerline.operators.blocks import ROWS_PER_BLOCK, hot_keys, listed_keys
 from ledgerline.operators.custom import LAST, STATE
 from ledgerline.operators.times import interval_text
 from ledgerline.plans import checks, customers, outcomes, topics
@@ -201,7 +201,7 @@ def running_step(
         if hot is None:
             return whole_keys(rows, known, close)
         # At most (rows of the micro-batch / rows_per_block) keys.
-        listed = F.broadcast(hot.select(*keys))
+        listed = listed_keys(hot, keys)
 
         def part(how: str) -> tuple[DataFrame, DataFrame | None]:
             return rows.join(listed, keys, how), known and known.join(listed, keys, how)

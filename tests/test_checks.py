@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from conftest import ORDER, STOCK, at
 from ledgerline import schemas
+from ledgerline.operators import blocks
 from ledgerline.operators.blocks import hot_keys, split_hot
 from ledgerline.operators.fold import RowFold, StockReservation, ordered_fold
 from ledgerline.plans import checks
@@ -226,6 +227,28 @@ def test_blocks_are_even_and_in_order(spark):
     assert hot_keys(df, ["k"], 10_000).count() == 1
 
 
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_many_small_blocks_share_tasks(spark, monkeypatch, broadcast):
+    """Tasks go by the rows; blocks are still consecutive and no larger than asked for."""
+    monkeypatch.setattr(blocks, "BROADCAST_KEYS", broadcast)
+    df = spark.range(12_000).select(
+        F.when(F.col("id") < 11_990, F.col("id") % 40).otherwise(F.col("id")).alias("k"),
+        F.lit(at()).alias("ts"),
+        F.col("id").alias("seq"),
+    )
+    split = split_hot(df, ["k"], ["ts", "seq"], 10)
+    assert split.hot.rdd.getNumPartitions() <= 4
+    assert split.cold.count() == 10
+    hot = materialize(split.hot)
+    assert hot.count() == 11_990
+    found = hot.groupBy("block").agg(
+        F.count("*").alias("n"), F.min(F.struct("k", "seq")).alias("a"), F.max(F.struct("k", "seq")).alias("b")
+    )
+    found = found.orderBy("block").collect()
+    assert max(r.n for r in found) == 10 and len(found) <= 1199 + 4
+    assert all(x.b < y.a for x, y in zip(found, found[1:]))
+
+
 @pytest.mark.parametrize("block", [50, 1000])
 def test_fold_of_single_rows(spark, block):
     """Tickets numbered from a counter that starts anew after every seventh value."""
