@@ -9,11 +9,13 @@ central document of the deepest run in which it has company, then that of its wh
 where central is who has most company in all its regions.
 
 Those first meetings are confirmed on the full sets, and what they link is one group.
-Regions whose members are not all in one group yet are then completed. Regions with common
-members are a family; in a family every member outside the largest group is compared with
-every other member. That is done block by block on the members' sets: a pair of blocks is
-a task, and out of it come links that span what it found, not pairs. So no pair of a region
-is left out, and no rows are made for the pairs of a group.
+Regions whose members are not all in one group yet are then completed. A prefix filter on
+the members' full sets says exactly which of them may still be linked with another group:
+those that share most of their shingles with others, and among them those that have one of
+their rarest shingles in common are a family. In a family every member outside the largest
+group is compared with every other member. That is done block by block on the members' sets:
+a pair of blocks is a task, and out of it come links that span what it found, not pairs. So
+no pair of a region is left out, and no rows are made for the pairs of a group.
 
 A pair with a similarity of 0.75 shares no region with probability
 (1 - 0.75^4)^32 = 5e-6, a more similar one with less.
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
@@ -41,6 +44,8 @@ TREES = 32
 MIN_DEPTH = 4
 MAX_DEPTH = 10
 BLOCK = 512
+# Of a shingle's 64 bits those that tokens do without: fewer bytes in the shuffle.
+TOKEN_SHIFT = np.uint64(28)
 # Columns of the matrices that hold two blocks' sets: at most 16 MB each.
 SHINGLES_AT_ONCE = 8192
 
@@ -254,11 +259,62 @@ def _compare(similarity: int):
     return compare
 
 
+def _tokens(words: int):
+    """Of the rows whose text has the set of that name: the set's size and shingles, shortened.
+
+    Shingles that look the same when shortened only count as one more common one.
+    """
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingles(words).of
+        for batch in batches:
+            rep, part = batch["rep"].to_numpy(), batch["part"].to_numpy()
+            for at, (text, name) in enumerate(zip(batch["text"].cast(pa.binary()), batch["name"].to_pylist(), strict=True)):
+                shingles = of(text.as_py())
+                if _name(shingles) != name:
+                    continue  # another text under the same id
+                n = len(shingles)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(n, x, np.int64)) for x in (rep[at], part[at], n)] + [pa.array((shingles >> TOKEN_SHIFT).astype(np.int64))],
+                    ["rep", "part", "n", "token"],
+                )
+
+    return tokens
+
+
+def _may_link(named: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """(rep, part, b): members of ``named`` that may be linked with another part's share a b.
+
+    A link needs ``similarity`` per cent of either set. So a member that shares fewer of its
+    shingles with other parts has none; and in any order of all shingles, the first one that
+    two linked sets have in common is among the first 100 - ``similarity`` per cent of both.
+    The order is from rare to frequent, shingles of one part only before all others.
+    """
+    tokens = named.join(texts, named.rep == texts.doc_id).select("rep", "part", "name", "text").mapInArrow(
+        _tokens(words), "rep long, part long, n long, token long"
+    )
+    holders = W.partitionBy("token")
+    seen = tokens.withColumns(
+        {"low": F.min("part").over(holders), "high": F.max("part").over(holders), "df": F.count("*").over(holders)}
+    )
+    shared = materialize(seen.where("low < high").select("rep", "part", "n", "token", "df"))
+    least = F.ceil(F.lit(similarity) * F.col("n") / 100)
+    enough = shared.groupBy("rep", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    place = F.row_number().over(W.partitionBy("rep").orderBy("df", "token")) + F.col("n") - F.col("shared")
+    enough = materialize(enough.select("rep", "shared"))
+    first = only_ids(shared, "rep", enough.select("rep")).join(enough, "rep").withColumn("place", place)
+    first = materialize(first.where(F.col("place") <= F.col("n") - least + 1).select("rep", "part", "token"))
+    met = first.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("b"))
+    return first.join(met.where("low < high").select("token", "b"), "token").select("rep", "part", "b").distinct()
+
+
 def _completed(members: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
     """Links (a, b) of families, between members (region, rep, part) of different parts."""
-    parts = members.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min("rep").alias("b"))
-    several = parts.where("low < high").select("region", "b")
-    open_ = materialize(members.join(several, "region").select("rep", "part", "b").distinct())
+    parts = members.groupBy("region").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    several = parts.where("low < high").select("region")
+    crowd = materialize(members.join(several, "region").select("rep", "part").distinct())
+    named = crowd.join(reps.select("rep", "name"), "rep")
+    open_ = materialize(_may_link(named, only_ids(docs, "doc_id", crowd.select("rep")), words, similarity))
     family = components(open_.select(F.col("rep").alias("a"), "b"))
     of = open_.select("rep", "part").distinct().join(family, open_.rep == family.node).select(
         "rep", "part", F.col("component").alias("family")

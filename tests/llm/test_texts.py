@@ -96,6 +96,22 @@ def test_near_duplicates_equal_the_plain_join(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found.values())
 
 
+def test_crowds_of_half_equal_texts_are_not_compared(spark):
+    """A common half makes no family: only what shares most rare shingles too goes to the blocks."""
+    common = words(1, 60)
+    rows = [(i, " ".join(common + [f"y{i}x{j}" for j in range(40)])) for i in range(60)]
+    rows += [(100, rows[7][1] + " end")]
+    docs = table(spark, rows)
+    of = forest.Shingles().of
+    members = [(i, i, forest._name(of(t.encode()))) for i, t in rows]
+    named = spark.createDataFrame(members, "rep long, part long, name binary")
+    docs = docs.select("doc_id", "text")
+    left = forest._may_link(named, docs, 5, 75).collect()
+    assert {(r.rep, r.b) for r in left} == {(7, 7), (100, 7)}
+    again = named.withColumn("name", F.lit(b"another text"))
+    assert forest._may_link(again, docs, 5, 75).collect() == []
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = forest.near_duplicates(odd).collect()
     assert ids_of(rows) == Counter(i for i, _ in ODD)
