@@ -33,8 +33,6 @@ TRUSTED_REFUSED = 0.05
 PARTITIONS_MERGED = 8
 # Ids of trusted documents that are broadcast, at most: some 64 MB.
 BROADCAST_IDS = 4_000_000
-# Different trusted texts that the cut is taken from, at most.
-CUT_TEXTS = 20_000
 # Scores are compared to this many places, so that the order of a sum does not matter.
 PLACES = 3
 LEAST_WORDS = 10
@@ -99,15 +97,16 @@ def _without(text: Column, characters: str) -> Column:
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, the counts, base_failed, half, pairs).
+    """``docs`` (doc_id, text) as (doc_id, same, the counts, base_failed, half, pairs).
 
-    pairs are the hashes of neighbouring words. A null text has no words.
+    same is a hash of the text, pairs are those of neighbouring words. A null text has no words.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
     df = docs.select("doc_id", "text", _words("text").alias("words"))
     df = df.select(
         "doc_id",
+        F.xxhash64("text").alias("same"),
         _half("text").alias("half"),
         F.size("words").cast("long").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("long"), lambda n, w: n + F.char_length(w)).alias("word_chars"),
@@ -192,19 +191,24 @@ def _scored(df: DataFrame, table: DataFrame, keep: list[str], buckets: int) -> D
     return scored.agg(*[F.first(c).alias(c) for c in keep], score).drop("row")
 
 
-def cut(trusted: DataFrame, table: DataFrame, buckets: int = BUCKETS, most: int = CUT_TEXTS) -> float | None:
-    """The score that TRUSTED_REFUSED of the different trusted texts (text) fall below.
+def cut(trusted: DataFrame, table: DataFrame, scored: DataFrame, buckets: int = BUCKETS) -> float | None:
+    """The score that TRUSTED_REFUSED of all different trusted texts (text) fall below.
 
-    Of more than ``most`` texts those with the smallest hashes are scored. None if there
-    are none that pass the count of words.
+    Texts are told apart by hash. Those in ``scored`` (same, n_words, score) have their score
+    there, only others are scored. None if there are none that pass the count of words.
     """
-    texts = trusted.select("text", F.xxhash64("text").alias("row"), _half("text").alias("half"))
-    least = texts.select("row").distinct().orderBy("row").limit(most)
-    last = least.agg(F.max("row")).first()[0]
-    texts = texts.where(F.col("row") <= last).withColumn("words", _words("text"))
-    texts = texts.where(F.size("words") >= LEAST_WORDS)
-    texts = texts.withColumn("pairs", _side_by_side("words"))
-    scores = _scored(texts, table, [], buckets).select(F.round("score", PLACES).alias("score"))
+    texts = trusted.select("text", F.xxhash64("text").alias("same"))
+    wanted = materialize(texts.select("same").distinct())
+    known = scored.where(F.col("n_words") >= LEAST_WORDS).select("same", "score")
+    known = known.join(wanted, "same", "left_semi").groupBy("same").agg(F.first("score").alias("score"))
+    other = materialize(wanted.join(scored.select("same"), "same", "left_anti"))
+    scores = known.select("score")
+    if not other.isEmpty():
+        rest = only_ids(texts, "same", other).join(other, "same")
+        rest = rest.select(F.col("same").alias("row"), _half("text").alias("half"), _words("text").alias("words"))
+        rest = rest.where(F.size("words") >= LEAST_WORDS).withColumn("pairs", _side_by_side("words"))
+        scores = scores.union(_scored(rest, table, [], buckets).select("score"))
+    scores = scores.select(F.round("score", PLACES).alias("score"))
     return scores.agg(F.expr(f"percentile_disc({TRUSTED_REFUSED}) WITHIN GROUP (ORDER BY score)")).first()[0]
 
 
@@ -233,10 +237,11 @@ def rules(
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     trusted = materialize(trusted.select("text"))
     table = materialize(ratios(docs, trusted, buckets))
-    if threshold is None:
-        threshold = cut(trusted, table, buckets)
     base = base_rules(docs).withColumn("row", F.monotonically_increasing_id())
     keep = [c for c in base.columns if c not in ("row", "pairs", "half")]
     scored = _scored(base, table, keep, buckets)
+    if threshold is None:
+        scored = materialize(scored)
+        threshold = cut(trusted, table, scored, buckets)
     passes = F.lit(True) if threshold is None else F.round("score", PLACES) >= threshold
-    return scored.withColumn("kept", ~F.col("base_failed") & passes)
+    return scored.drop("same").withColumn("kept", ~F.col("base_failed") & passes)

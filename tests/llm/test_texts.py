@@ -25,6 +25,7 @@ from ledgerline.llm import (
     toxicity,
 )
 from ledgerline.llm.queries import RANKS, TOKENIZER
+from ledgerline.session import materialize
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, count int, name string, rank int"
 LONG = " ".join(f"word{i}" for i in range(30_000))
@@ -252,6 +253,22 @@ def plain_rules(text):
     )
 
 
+def test_the_cut_is_of_all_trusted_texts(spark):
+    """In the documents or not, each different one once, without a bound on their number."""
+    texts = [" ".join(words(i, 11, 40)) for i in range(300)]
+    trusted = spark.createDataFrame([(t,) for t in [*texts, *texts[:90]]], "text string")
+    pairs = spark.createDataFrame([(b, (b % 97 - 48) / 50.0, (b % 89 - 44) / 50.0) for b in range(512)], "bucket int, ratio_0 double, ratio_1 double")
+
+    def scored(some):
+        base = likelihood_ratio.base_rules(table(spark, list(enumerate(some))).select("doc_id", "text"))
+        base = base.withColumn("row", F.col("doc_id"))
+        return materialize(likelihood_ratio._scored(base, pairs, ["doc_id", "same", "n_words"], 512))
+
+    every = sorted(round(r.score, 3) for r in scored(texts).collect())
+    for some in (texts, texts[:100] * 2, ["x"]):
+        assert abs(likelihood_ratio.cut(trusted, pairs, scored(some), 512) - every[14]) < 0.0011
+
+
 def test_quality_rules_equal_the_plain_counts(spark, odd, none):
     rng = random.Random(5)
     texts = [*ODD]
