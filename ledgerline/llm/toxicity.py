@@ -1,26 +1,38 @@
-"""Toxicity by class-conditional Kneser-Ney models of words.
-
-Each class, toxic and ordinary, has a model of words that counts the documents of the class
-that hold a word. It discounts each count by a constant and gives what that frees to the
-word's stem (its first STEM characters) in the same class, and that again to how many
-different words of both classes share the stem: backoff counts which both classes have in
-common, so a word that neither class has seen says nothing for either.
-
-A word's evidence is the logarithm of the ratio of its two probabilities. Words and stems
-whose evidence is large are a distributed table; documents meet it in a join. A document is
-judged by its evidence summed and divided by its length, by its strongest word, which a
-long text does not dilute, and by its length. A logistic curve on these makes the score;
-it is fitted on documents that the counts have not seen.
+"""Toxicity by class-conditional Kneser-Ney models of words in their contexts.
+
+Each class, toxic and ordinary, has a model of the words of its documents, one after the
+other. A word's own probability comes from how many documents of the class hold it; a
+constant is taken off each count, and what that frees goes to the word's stem (its first
+STEM characters) in the same class, and from there to how many different words of both
+classes share the stem: backoff counts which both classes have in common, so a word whose
+stem neither class has seen says nothing for either. The context is the word before, or the
+mark that begins a text. Contexts and what follows them are counted by stems, which words
+share: such pairs recur, so the table of them grows more slowly than the corpus, where that
+of pairs of words grows with it. A pair's probability is an interpolated Kneser-Ney bigram
+whose lower order counts before how many different stems a stem stands after.
+
+A token's log ratio is that of its word's two probabilities plus how much more or less its
+context makes of it in either class; of a pair that neither class has seen, the ratio of what
+the two backoffs leave. All counted words, stems, contexts and pairs speak, for or against. A
+document is judged by the log ratio of its two likelihoods for its length, what its words and
+what their contexts bring to it weighed apart; by its strongest word and its strongest pair,
+which a long text does not dilute; and by its length. A logistic curve on these makes the
+score; it is fitted on documents that the counts have not seen.
+
+A token's ratio is a sum over units (word, stem, context, pair), and so is a document's. The
+units are a table. The most frequent ones, up to HOT of them, are broadcast and added up on
+the spot; documents meet all others in a join.
 """
 
 from __future__ import annotations
 
 import string
-from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,19 +40,29 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm import logistic
 from ledgerline.llm.shared import Cache, held_out, only_ids
+from ledgerline.llm.units import slices
 from ledgerline.session import materialize
 
 STEM = 4
 FOLDS = 5
 HELD_OUT = 0
 CALIBRATION = 4
-# Words with less evidence (a log ratio) are not looked up.
+CLASSES = ("ordinary", "toxic")
+# What is added up or compared of a text.
+TOLD = ("single", "context", "word", "pair")
+# The log ratio from which ``evidence`` tells a unit.
 LEAST_EVIDENCE = 2.0
-# Bits of the map that says which words may have evidence: 512 KB are broadcast.
-MAP_BITS = 22
+# Units that are broadcast, at most, with three numbers each: 20 MB.
+HOT = 2**20
+# Bits of the map that says which other units there may be: 8 MB are broadcast.
+MAP_BITS = 26
+# Up to so many labelled ids are broadcast; with more, texts are shuffled.
+BROADCAST_IDS = 4_000_000
+# Up to so many stems with their counts are broadcast, some 20 MB; with more, the rows that
+# meet them are shuffled.
+BROADCAST_STEMS = 2**18
 # Labelled documents that the curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
-FLUSH = 400_000
 
 _edges = string.punctuation + "¡¿«»„“”‘’…–—"
 
@@ -49,143 +71,358 @@ def _unit(word: str) -> str:
     return word.strip(_edges)
 
 
-def words_of(text: str | None, clean: dict[str, str]) -> set[str]:
-    """The distinct words, lower case, without punctuation around them."""
-    return {clean[w] for w in set((text or "").lower().split())} - {""}
+def _hashed(unit: str) -> int:
+    """As Spark's xxhash64 of a string, without a sign."""
+    return xxhash.xxh64_intdigest(unit, 42)
 
 
-def _place(unit: str) -> int:
-    return xxhash.xxh64_intdigest(unit) >> (64 - MAP_BITS)
+# The context of a text's first word: no stem ends in two line feeds.
+MARK = np.uint64(_hashed("\n\n"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of labelled documents: in how many of each class a word is, as far as seen here."""
-    clean = Cache(_unit)
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-
-    def told() -> pa.RecordBatch:
-        both = np.array(list(counts.values()), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(counts.keys(), pa.string()), pa.array(both[:, 0]), pa.array(both[:, 1])],
-            ["word", "ordinary", "toxic"],
-        )
+def sequences(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different words, number of each word in turn, where each text's words begin and end).
 
-    for batch in batches:
-        for text, toxic in zip(batch["text"], batch["toxic"].to_pylist(), strict=True):
-            for word in words_of(text.as_py(), clean):
-                counts[word][toxic] += 1
-            if len(counts) > FLUSH:
-                yield told()
-                counts.clear()
-    yield told()
+    Words are lower case, without punctuation around them.
+    """
+    lists = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    offsets = lists.offsets.to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    number: dict[str, int] = {}
+    units = map(_unit, coded.dictionary.to_pylist())
+    to = np.array([number.setdefault(u, len(number)) if u else -1 for u in units], np.int64)
+    codes = to[coded.indices.to_numpy()]
+    some = codes >= 0
+    ends = np.concatenate([[0], np.cumsum(some)])[offsets - offsets[0]]
+    return list(number), codes[some], ends
 
 
-def evidence(counts: DataFrame, least: float = LEAST_EVIDENCE) -> DataFrame:
-    """(unit, weight) from (word, ordinary, toxic): the log ratios of words and stems.
+def _stems(words: list[str]) -> np.ndarray:
+    """The hashes of the words' stems, and MARK after them."""
+    stem = Cache(lambda s: _hashed(s + "\n"))
+    return np.append(np.array([stem[w[:STEM]] for w in words], np.uint64), MARK)
+
+
+def _before(codes: np.ndarray, ends: np.ndarray, mark: int) -> np.ndarray:
+    """The number of the word before each word, ``mark`` for a text's first."""
+    before = np.concatenate([[mark], codes[:-1]])[: len(codes)]
+    before[ends[:-1][np.diff(ends) > 0]] = mark
+    return before
+
+
+def _pair(context: np.ndarray, stem: np.ndarray) -> np.ndarray:
+    return context ^ ((stem << np.uint64(17)) | (stem >> np.uint64(47)))
+
+
+def _pair_column(context: str, stem: str) -> F.Column:
+    turned = F.shiftleft(stem, 17).bitwiseOR(F.shiftrightunsigned(stem, 47))
+    return F.col(context).bitwiseXOR(turned)
+
 
-    Units are words, and stems followed by a line feed, which no word holds. Absolute
-    discounts come from how many words were seen once and twice.
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of labelled documents, as far as seen here, per class: in how many a word is, and how
+    often a stem (``after``) follows another (``context``)."""
+    names = ["word", "context", "after", "ordinary", "toxic"]
+    types = [pa.string(), *[pa.int64()] * 4]
+    for batch in batches:
+        for first, size in slices(batch["text"]):
+            part = batch.slice(first, size)
+            words, codes, ends = sequences(part["text"])
+            toxic = part["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
+            of = np.repeat(np.arange(len(toxic)), np.diff(ends))
+            held = np.unique(of * max(1, len(words)) + codes)
+            word, is_toxic = held % max(1, len(words)), toxic[held // max(1, len(words))]
+            n = [np.bincount(word[is_toxic == c], minlength=len(words)) for c in (0, 1)]
+            none = pa.nulls(len(words), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), none, none, *map(pa.array, n)], names)
+            stems = _stems(words)
+            context, after = stems[_before(codes, ends, len(words))], stems[codes]
+            _, at, which = np.unique(_pair(context, after), return_index=True, return_inverse=True)
+            n = [np.bincount(which[toxic[of] == c], minlength=len(at)) for c in (0, 1)]
+            columns = [pa.nulls(len(at), pa.string()), *(pa.array(x[at].view(np.int64)) for x in (context, after))]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, n)], schema=pa.schema(zip(names, types)))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, broadcast in joins if it has BROADCAST_STEMS rows at most."""
+    return F.broadcast(df) if df.limit(BROADCAST_STEMS + 1).count() <= BROADCAST_STEMS else df
+
+
+def _sums(df: DataFrame):
+    """One row: per class the sum, the discount, the rows with a count, and all rows.
+
+    Absolute discounts come from how many rows were seen once and twice.
     """
+    sums = []
+    for c in CLASSES:
+        once, twice = F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)
+        discount = F.when(once > 0, once / (once + 2 * twice)).otherwise(F.lit(0.5))
+        discount = F.least(F.greatest(discount, F.lit(0.1)), F.lit(0.9))
+        sums += [
+            F.greatest(F.sum(c), F.lit(1)).alias(f"n_{c}"),
+            discount.alias(f"d_{c}"),
+            F.count_if(F.col(c) > 0).alias(f"t_{c}"),
+        ]
+    return df.agg(*sums, F.greatest(F.count("*"), F.lit(1)).alias("types")).first()
+
+
+def _discounted(c: str, m) -> F.Column:
+    return F.greatest(F.col(c) - m[f"d_{c}"], F.lit(0.0)) / F.lit(m[f"n_{c}"])
+
+
+def _freed(c: str, m) -> float:
+    return max(m[f"d_{c}"] * m[f"t_{c}"], 0.5) / m[f"n_{c}"]
 
-    def model(df: DataFrame) -> DataFrame:
-        """One row: per class the sum, the discount, and the mass that it frees."""
-        sums = []
-        for c in ("ordinary", "toxic"):
-            once, twice = F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)
-            discount = F.when(once > 0, once / (once + 2 * twice)).otherwise(F.lit(0.5))
-            discount = F.least(F.greatest(discount, F.lit(0.1)), F.lit(0.9))
-            sums += [
-                F.greatest(F.sum(c), F.lit(1)).alias(f"n_{c}"),
-                discount.alias(f"d_{c}"),
-                F.count_if(F.col(c) > 0).alias(f"t_{c}"),
-            ]
-        return df.agg(*sums, F.greatest(F.count("*"), F.lit(1)).alias("types"))
-
-    def discounted(c: str, m) -> F.Column:
-        return F.greatest(F.col(c) - m[f"d_{c}"], F.lit(0.0)) / F.lit(m[f"n_{c}"])
-
-    def freed(c: str, m) -> float:
-        return max(m[f"d_{c}"] * m[f"t_{c}"], 0.5) / m[f"n_{c}"]
 
+def single_units(counts: DataFrame) -> DataFrame:
+    """(unit, weight, backed, toxic, n) from (word, ordinary, toxic): log ratios.
+
+    Units are words, and stems followed by a line feed, which no word holds. A stem's log
+    ratio is that of an unseen word with it. ``backed`` is what a word's stem says, null for
+    stems; ``n`` counts both classes.
+    """
     counts = counts.withColumn("stem", F.substring("word", 1, STEM))
     stems = materialize(
         counts.groupBy("stem").agg(
             F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"), F.count("*").alias("kinds")
         )
     )
-    of_words, of_stems = model(counts).first(), model(stems).first()
+    of_words, of_stems = _sums(counts), _sums(stems)
     shared = F.col("kinds") / F.lit(of_words["types"])
-    for c in ("ordinary", "toxic"):
-        stems = stems.withColumn(f"p_{c}", discounted(c, of_stems) + F.lit(freed(c, of_stems)) * shared)
-    backed = counts.join(stems.select("stem", "p_ordinary", "p_toxic", "kinds"), "stem")
-    for c in ("ordinary", "toxic"):
+    for c in CLASSES:
+        stems = stems.withColumn(f"p_{c}", _discounted(c, of_stems) + F.lit(_freed(c, of_stems)) * shared)
+    backed = counts.join(_small(stems.select("stem", "p_ordinary", "p_toxic", "kinds")), "stem")
+    for c in CLASSES:
         backed = backed.withColumn(
             f"q_{c}",
-            discounted(c, of_words) + F.lit(freed(c, of_words)) * F.col(f"p_{c}") / (F.col("kinds") + 1),
+            _discounted(c, of_words) + F.lit(_freed(c, of_words)) * F.col(f"p_{c}") / (F.col("kinds") + 1),
         )
+    of_stem, n = F.log(F.col("p_toxic") / F.col("p_ordinary")), F.col("ordinary") + F.col("toxic")
     words = backed.select(
         F.col("word").alias("unit"), F.log(F.col("q_toxic") / F.col("q_ordinary")).alias("weight"),
-        "toxic",
+        of_stem.alias("backed"), "toxic", n.alias("n"),
     )
     # An unseen word with this stem.
-    stems = stems.select(
-        F.concat("stem", F.lit("\n")).alias("unit"),
-        F.log(F.col("p_toxic") / F.col("p_ordinary")).alias("weight"),
-        "toxic",
-    )
-    return words.union(stems).where((F.col("weight") >= least) & (F.col("toxic") > 1)).select("unit", "weight")
+    unseen = F.concat("stem", F.lit("\n")).alias("unit")
+    stems = stems.select(unseen, of_stem.alias("weight"), F.lit(None).cast("double").alias("backed"), "toxic", n.alias("n"))
+    return words.union(stems)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        places = {_place(u) for u in batch["unit"].to_pylist()}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(places), pa.int64())], ["place"])
+def evidence(counts: DataFrame, least: float = LEAST_EVIDENCE) -> DataFrame:
+    """(unit, weight) of the ``single_units`` that two toxic documents hold and whose log
+    ratio is ``least`` or more: what tells most, to look at. Scores go by all units."""
+    told = (F.col("weight") >= least) & (F.col("toxic") > 1)
+    return single_units(counts).where(told).select("unit", "weight")
 
 
-def _look(known):
-    """Per document its number of words, and the words that may have evidence."""
+def pair_units(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(context, weight, n) and (context, after, weight, more, n) from (context, after, ordinary, toxic).
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, clean = known.value, Cache(_unit)
-        at = TaskContext.get().partitionId() << 33
+    A class's pair has the probability max(n - d, 0) / n(context) + left(context) * p(after),
+    where left is the share that discounts free and p(after) goes by how many contexts the
+    stem follows. The log of that over p(after) says what the context adds. Its ratio between
+    the classes is ``weight`` of a context for what neither class has seen after it, ``more``
+    of a pair, whose ``weight`` is the rest beyond its context's.
+    """
+    contexts = counts.groupBy("context").agg(
+        F.sum(F.col("ordinary") + F.col("toxic")).alias("n"),
+        *[F.sum(c).alias(f"n_{c}") for c in CLASSES],
+        *[F.count_if(F.col(c) > 0).alias(f"t_{c}") for c in CLASSES],
+    )
+    after = materialize(counts.groupBy("after").agg(*[F.count_if(F.col(c) > 0).alias(c) for c in CLASSES]))
+    of_pairs, of_after = _sums(counts), _sums(after)
+    for c in CLASSES:
+        left = F.lit(of_pairs[f"d_{c}"]) * F.col(f"t_{c}") / F.col(f"n_{c}")
+        contexts = contexts.withColumn(f"left_{c}", F.when(F.col(f"n_{c}") > 0, left).otherwise(F.lit(1.0)))
+        even = F.lit(_freed(c, of_after) / of_after["types"])
+        after = after.withColumn(f"p_{c}", _discounted(c, of_after) + even)
+    contexts = materialize(contexts.withColumn("weight", F.log(F.col("left_toxic") / F.col("left_ordinary"))))
+    both = counts.join(_small(contexts.drop("n")), "context")
+    both = both.join(_small(after.select("after", "p_ordinary", "p_toxic")), "after")
+    for c in CLASSES:
+        seen = F.greatest(F.col(c) - F.lit(of_pairs[f"d_{c}"]), F.lit(0.0)) / F.greatest(f"n_{c}", F.lit(1))
+        both = both.withColumn(f"adds_{c}", seen / F.col(f"p_{c}") + F.col(f"left_{c}"))
+    more = F.log(F.col("adds_toxic") / F.col("adds_ordinary"))
+    pairs = both.select(
+        "context", "after", (more - F.col("weight")).alias("weight"), more.alias("more"),
+        (F.col("ordinary") + F.col("toxic")).alias("n"),
+    )
+    return contexts.select("context", "weight", "n"), pairs
+
+
+def units(counts: DataFrame) -> DataFrame:
+    """(unit, single, context, word, pair, n): hashes of all units, what a token with it adds
+    to its text's log ratio by words and by contexts, and the whole log ratio of a word or a
+    pair; from the rows of ``_count``.
 
-        def hits(word: str) -> tuple[str, ...]:
-            units = word, word[:STEM] + "\n"
-            return tuple(u for u in units if bits[_place(u) >> 3] >> (_place(u) & 7) & 1)
+    A stem's weight is there for each of its words, a word's is the rest beyond its stem's.
+    """
+    no, zero = F.lit(None).cast("double"), F.lit(0.0)
+    single = single_units(counts.where("word is not null").select("word", *CLASSES))
+    contexts, pairs = pair_units(counts.where("word is null").select("context", "after", *CLASSES))
+    word = F.when(F.col("backed").isNotNull(), F.col("weight"))
+    single = single.select(
+        F.xxhash64("unit").alias("unit"), F.col("weight") - F.coalesce("backed", zero), zero, word, no, "n"
+    )
+    contexts = contexts.select(F.bitwise_not("context"), zero, "weight", no, no, "n")
+    pairs = pairs.select(_pair_column("context", "after"), zero, "weight", no, "more", "n")
+    rows = single.union(contexts).union(pairs).toDF("unit", *TOLD, "n")
+    return rows.select("unit", *[F.col(c).cast("float").alias(c) for c in TOLD], "n")
+
+
+def _heat(n: str) -> F.Column:
+    """Classes of counts, 16 for each doubling."""
+    return F.floor(16 * F.log2(n)).cast("int")
+
+
+class Known(NamedTuple):
+    """The most frequent units, by hash, and a map of where the others may be."""
+
+    at: np.ndarray
+    values: np.ndarray
+    bits: np.ndarray
+
+    def look(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of ``values`` for the units, zeros if there is none, and which units may
+        be in the table otherwise."""
+        if len(self.at):
+            place = np.minimum(np.searchsorted(self.at, wanted), len(self.at) - 1)
+            hit = self.at[place] == wanted
+            values = np.where(hit[:, None], self.values[place], np.float32(0))
+        else:
+            hit, values = np.zeros(len(wanted), bool), np.zeros((len(wanted), 3), np.float32)
+        bit = wanted >> np.uint64(64 - MAP_BITS)
+        mapped = (self.bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
+        return values, (mapped == 1) & ~hit
+
+
+def _known(table: DataFrame, hot: int) -> tuple[Known, DataFrame]:
+    """What to broadcast, of bounded size, and the other units."""
+    warmest, more = None, 0
+    # At most a thousand rows.
+    for heat, n in sorted(map(tuple, table.groupBy(_heat("n").alias("heat")).count().collect()), reverse=True):
+        if more + n > hot:
+            break
+        warmest, more = heat, more + n
+    frequent = F.lit(False) if warmest is None else _heat("n") >= warmest
+    rows = table.where(frequent).select(
+        "unit", F.col("single") + F.col("context"), F.coalesce("word", F.lit(0.0)), F.coalesce("pair", F.lit(0.0))
+    ).toArrow()
+    at = rows.column(0).to_numpy().view(np.uint64)
+    values = np.stack([rows.column(i).to_numpy().astype(np.float32) for i in (1, 2, 3)], axis=1)
+    order = np.argsort(at)
+    others = table.where(~frequent).drop("n")
+    # At most 2^(MAP_BITS - 6) rows.
+    place = F.shiftrightunsigned("unit", 64 - MAP_BITS)
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = others.select(place.alias("place")).groupBy(F.expr("shiftright(place, 6)").alias("at")).agg(F.bit_or(bit).alias("bits"))
+    words = words.toArrow()
+    bits = np.zeros(2 ** (MAP_BITS - 6), np.uint64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return Known(at[order], values[order], bits), others
+
+
+def _look(broadcast):
+    """Per document its number of words, what the frequent units say, and the others."""
 
-        hit = Cache(hits)
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: Known = broadcast.value
+        at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n, units = [], []
-            for text in batch["text"]:
-                words = words_of(text.as_py(), clean)
-                n.append(len(words))
-                units.append(sorted({u for w in words for u in hit[w]}))
-            row = np.arange(at, at + batch.num_rows)
-            at += batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), batch["doc_id"], pa.array(n, pa.int64()), pa.array(units, pa.list_(pa.string()))],
-                ["row", "doc_id", "n_words", "units"],
-            )
+            for first, size in slices(batch["text"]):
+                part = batch.slice(first, size)
+                words, codes, ends = sequences(part["text"])
+                stems = _stems(words)
+                before = _before(codes, ends, len(words))
+                hashes = np.array([_hashed(w) for w in words], np.uint64)
+                pairs = _pair(stems[before], stems[codes])
+                parts = [(hashes, codes, 0), (stems, codes, 0), (~stems, before, 1), (pairs, np.arange(len(pairs)), 1)]
+                of = np.repeat(np.arange(size), np.diff(ends))
+                sums, rest = np.zeros((len(codes), 4), np.float32), []
+                for unit, tokens, by in parts:
+                    values, others = known.look(unit)
+                    values = values[tokens]
+                    sums[:, by] += values[:, 0]
+                    np.maximum(sums[:, 2:], values[:, 1:], out=sums[:, 2:])
+                    others = np.flatnonzero(others[tokens])
+                    rest.append((of[others], unit[tokens[others]]))
+                totals = [np.bincount(of, sums[:, i], size).astype(np.float64) for i in (0, 1)]
+                strongest = np.zeros((size, 2))
+                full = np.flatnonzero(np.diff(ends))
+                if len(full):
+                    strongest[full] = np.maximum.reduceat(sums[:, 2:], ends[full], axis=0)
+                of, unit = map(np.concatenate, zip(*rest))
+                order = np.argsort(of, kind="stable")
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=size))])
+                others = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(unit[order].view(np.int64)))
+                row = pa.array(np.arange(at, at + size))
+                at += size
+                columns = [row, part["doc_id"], pa.array(np.diff(ends)), *map(pa.array, [*totals, *strongest.T.copy()]), others]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", *TOLD, "others"])
 
     return look
 
 
 def _features(df: DataFrame) -> list:
-    return [F.col("strongest"), F.col("total") / (F.col("n_words") + 20), F.log1p("n_words")]
+    length = F.col("n_words") + 20
+    return [F.col("word"), F.col("pair"), F.col("single") / length, F.col("context") / length, F.log1p("n_words")]
+
+
+def _learnt(docs: DataFrame, learnt: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """(text, toxic) of the documents whose ids are in ``learnt``."""
+    if learnt.count() <= most:
+        return docs.join(F.broadcast(learnt), "doc_id").select("text", "toxic")
+    return only_ids(docs, "doc_id", learnt.select("doc_id")).join(learnt, "doc_id").select("text", "toxic")
+
+
+def judge(docs: DataFrame, learnt: DataFrame, hot: int = HOT) -> DataFrame:
+    """(row, doc_id, n_words, single, context, word, pair) of every row of ``docs``.
+
+    ``single`` and ``context`` add up to the log ratio of the likelihoods that the classes of
+    ``learnt`` (text, toxic 0 or 1) give the text. ``word`` and ``pair`` are the largest log
+    ratios of its known words and pairs, 0 at least.
+    """
+    counted = learnt.mapInArrow(
+        _count, "word string, context long, after long, ordinary long, toxic long"
+    )
+    counts = materialize(
+        counted.groupBy("word", "context", "after").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    )
+    told, others = _known(materialize(units(counts)), hot)
+    broadcast = docs.sparkSession.sparkContext.broadcast(told)
+    looked = materialize(
+        docs.mapInArrow(
+            _look(broadcast),
+            f"row long, doc_id long, n_words long, {' double, '.join(TOLD)} double, others array<long>",
+        )
+    )
+    per_row = (
+        looked.select("row", F.explode("others").alias("unit"))
+        .join(others, "unit")
+        .groupBy("row")
+        .agg(*[(F.max if c in ("word", "pair") else F.sum)(c).alias(f"rest_{c}") for c in TOLD])
+    )
+    judged = looked.drop("others").join(per_row, "row", "left").select(
+        "row", "doc_id", "n_words",
+        *[(F.col(c) + F.coalesce(f"rest_{c}", F.lit(0.0))).alias(c) for c in ("single", "context")],
+        *[F.greatest(c, f"rest_{c}").alias(c) for c in ("word", "pair")],
+    )
+    return materialize(judged)
 
 
 def score(
     docs: DataFrame,
     labels: DataFrame,
-    least: float = LEAST_EVIDENCE,
     calibration_rows: int = CALIBRATION_ROWS,
+    hot: int = HOT,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
     Learns from ``labels`` (doc_id, toxic 0 or 1) of documents that are not held out: those
     whose crc32 of the doc_id leaves 0 by 5; a null doc_id is held out. A null label is no
     label; a document that is labelled twice is toxic if one label says so. A null or empty
-    text has no evidence. Without labels of both classes every score is 0.
+    text has no evidence. Without labels of both classes every score is 0. The ``hot`` units
+    that are broadcast change no score.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = (
@@ -196,35 +433,17 @@ def score(
         .agg(F.max("toxic").alias("toxic"))
         .withColumn("calibrates", held_out("doc_id", FOLDS, CALIBRATION))
     )
-    learnt = known.where("not calibrates").select("doc_id", "toxic")
-    counted = (
-        only_ids(docs, "doc_id", learnt)
-        .join(learnt, "doc_id")
-        .select("text", "toxic")
-        .mapInArrow(_count, "word string, ordinary long, toxic long")
-    )
-    counts = materialize(counted.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    table = materialize(evidence(counts, least))
-    # At most 2^MAP_BITS places.
-    places = [r.place for r in table.mapInArrow(_places, "place long").distinct().collect()]
-    bits = np.zeros(2**MAP_BITS // 8, np.uint8)
-    np.bitwise_or.at(bits, np.array(places, np.int64) >> 3, np.uint8(1) << (np.array(places, np.int64) & 7).astype(np.uint8))
-    broadcast = docs.sparkSession.sparkContext.broadcast(bits)
-    looked = materialize(docs.mapInArrow(_look(broadcast), "row long, doc_id long, n_words long, units array<string>"))
-    found = looked.select("row", F.explode("units").alias("unit")).join(table, "unit")
-    # A word that is in the table speaks for itself, its stem for words that are not.
-    found = found.withColumn("stem", F.col("unit").endswith("\n"))
-    per_row = found.groupBy("row").agg(F.max("weight").alias("strongest"), F.sum(F.when(~F.col("stem"), F.col("weight"))).alias("total"))
-    judged = looked.drop("units").join(per_row, "row", "left").fillna(0.0, ["strongest", "total"])
+    learnt = materialize(known.where("not calibrates").select("doc_id", "toxic"))
+    judged = judge(docs, _learnt(docs, learnt), hot)
     sample = (
         judged.join(known.where("calibrates"), "doc_id")
         .orderBy(F.xxhash64("doc_id"), "row")
         .limit(calibration_rows)
         .select(*[f.alias(f"f{i}") for i, f in enumerate(_features(judged))], "toxic")
     )
-    rows = np.array([tuple(r) for r in sample.collect()], np.float64).reshape(-1, 4)
-    both = len(set(rows[:, 3])) == 2 and places
-    weights = logistic.fit(rows[:, :3], rows[:, 3], l2=0.1, steps=500) if both else None
+    rows = np.array([tuple(r) for r in sample.collect()], np.float64).reshape(-1, 6)
+    both = len(set(rows[:, 5])) == 2 and learnt.select("toxic").distinct().count() == 2
+    weights = logistic.fit(rows[:, :5], rows[:, 5], l2=0.1, steps=500) if both else None
     if weights is None:
         odds = F.lit(-50.0)
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 import zlib
 from collections import Counter
@@ -220,6 +221,120 @@ def test_stems_speak_for_unseen_words(spark):
     assert units["vile\n"] > 2 and units["vile0"] > units["vile\n"] and "word1" not in units
 
 
+def plain_log_ratios(learnt, texts, n=4):
+    """The module's formulas in plain Python: (by words, by contexts, strongest word, strongest pair)."""
+
+    def model(rows):  # per class: sum, discount, rows with a count
+        out = []
+        for c in (0, 1):
+            once, twice = (sum(r[c] == k for r in rows) for k in (1, 2))
+            d = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9)
+            out.append((max(sum(r[c] for r in rows), 1), d, sum(r[c] > 0 for r in rows)))
+        return out
+
+    def take(count, m):
+        return max(count - m[1], 0) / m[0]
+
+    def free(m):
+        return max(m[1] * m[2], 0.5) / m[0]
+
+    holds, stems, pairs, follows = ({} for _ in range(4))
+    for text, c in learnt:
+        tokens = text.split()
+        for w in set(tokens):
+            holds.setdefault(w, [0, 0])[c] += 1
+        for a, b in zip(["\n", *(w[:n] for w in tokens)], [w[:n] for w in tokens]):
+            pairs.setdefault((a, b), [0, 0])[c] += 1
+    kinds = Counter(w[:n] for w in holds)
+    for w, both in holds.items():
+        of = stems.setdefault(w[:n], [0, 0])
+        of[0], of[1] = of[0] + both[0], of[1] + both[1]
+    of_contexts = {}
+    for (a, b), both in pairs.items():
+        for c in (0, 1):
+            follows.setdefault(b, [0, 0])[c] += both[c] > 0
+            seen = of_contexts.setdefault(a, [[0, 0], [0, 0]])[c]
+            seen[0], seen[1] = seen[0] + both[c], seen[1] + (both[c] > 0)
+    words_, stems_, pairs_, follows_ = (model(list(x.values())) for x in (holds, stems, pairs, follows))
+
+    def word(w, c):
+        s = w[:n]
+        if s not in stems:
+            return 1.0
+        p = take(stems[s][c], stems_[c]) + free(stems_[c]) * kinds[s] / len(holds)
+        if w not in holds:
+            return p
+        return take(holds[w][c], words_[c]) + free(words_[c]) * p / (kinds[s] + 1)
+
+    def context(a, b, c):
+        total, types = of_contexts.get(a, [[0, 0]] * 2)[c]
+        left = pairs_[c][1] * types / total if total else 1.0
+        if (a, b) not in pairs:
+            return left
+        p = take(follows[b][c], follows_[c]) + free(follows_[c]) / len(follows)
+        return max(pairs[a, b][c] - pairs_[c][1], 0) / max(total, 1) / p + left
+
+    out = []
+    for text in texts:
+        tokens = text.split()
+        before = ["\n", *(w[:n] for w in tokens)]
+        by_word = [math.log(word(w, 1) / word(w, 0)) for w in tokens]
+        by_pair = [math.log(context(a, w[:n], 1) / context(a, w[:n], 0)) for a, w in zip(before, tokens)]
+        out.append((
+            sum(by_word),
+            sum(by_pair),
+            max([0, *(r for r, w in zip(by_word, tokens) if w in holds)]),
+            max([0, *(r for r, a, w in zip(by_pair, before, tokens) if (a, w[:n]) in pairs)]),
+        ))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 60, toxicity.HOT])
+def test_log_ratios_equal_the_plain_models(spark, hot):
+    learnt = [(" ".join(words(i, 30, 80 + 60 * (i % 3))) + " same stems samely", int(i % 3 == 0)) for i in range(60)]
+    texts = [" ".join(words(i, 25, 260)) + " sameness other samely" for i in range(60, 90)] + ["", "new", "same same"]
+    found = toxicity.judge(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"),
+        spark.createDataFrame(learnt, "text string, toxic int"),
+        hot,
+    ).collect()
+    plain = plain_log_ratios(learnt, texts)
+    assert len(found) == len(texts)
+    for r in found:
+        assert (r.single, r.context, r.word, r.pair) == pytest.approx(plain[r.doc_id], abs=1e-4)
+
+
+def judged_right(spark, texts):
+    """The shares of toxic and of ordinary held-out documents that are predicted as such."""
+    docs = table(spark, [(i, text) for i, (text, _) in enumerate(texts)])
+    labelled = [(i, 1, toxic, 1) for i, (_, toxic) in enumerate(texts)]
+    rows = toxicity.score(docs, spark.createDataFrame(labelled, "doc_id bigint, quality int, toxic int, count int"))
+    rows = [r for r in rows.collect() if r.held_out]
+    of = [[r.predicted == c for r in rows if texts[r.doc_id][1] == c] for c in (0, 1)]
+    return [sum(x) / len(x) for x in of]
+
+
+def test_toxic_pair_of_ordinary_words(spark):
+    texts = []
+    for i in range(800):
+        text, at = words(i, 60), i % 50
+        text[at], text[at + 5] = "go", "away"
+        if i % 4 == 0:
+            text[at + 1], text[at + 5] = "away", text[at + 1]
+        texts.append((" ".join(text), int(i % 4 == 0)))
+    assert min(judged_right(spark, texts)) >= 0.95
+
+
+def test_many_words_that_are_somewhat_likelier_in_toxic_texts(spark):
+    texts = []
+    for i in range(800):
+        rng, toxic = random.Random(i), int(i % 4 == 0)
+        share = 22 / 60 if toxic else 7 / 60
+        text = [f"{'mild' if rng.random() < share else 'w'}{rng.randrange(200)}" for _ in range(60)]
+        texts.append((" ".join(text), toxic))
+    assert min(judged_right(spark, texts)) >= 0.95
+
+
 def test_quality_learns_from_both_views(spark, odd, none, labels):
     rows, labelled = [], []
     for i in range(500):
