@@ -24,9 +24,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 ORDER = [*outcomes.ORDER_COLUMNS, "ts"]
 # Blocks small enough that the test data's keys are cut as a cluster's hot keys are.
 SMALL_BLOCK = 100
-# Micro-batches of the streaming queries, and the partitions of their state.
+# Micro-batches of the streaming queries, and the partitions of their state at least.
 SLICES = 5
 STATE_PARTITIONS = 4
+# Events from which there is another partition of state, up to one for each core.
+STATE_ROWS = 50_000
+# Rows of a micro-batch from which there is another file to read it from.
+FILE_ROWS = 200_000
 
 
 class Inputs:
@@ -259,10 +263,13 @@ class Streams:
         self.inputs, self.spark = inputs, inputs.spark
         self.folder = f"{checkpoint_dir(self.spark)}/streams-{uuid.uuid4()}"
 
-    def sliced(self, rows: DataFrame, name: str, files: int = 1, late: Column | None = None) -> DataFrame:
+    def sliced(
+        self, rows: DataFrame, name: str, files: int | None = None, late: Column | None = None
+    ) -> DataFrame:
         """The rows as a stream of SLICES micro-batches, in the order of their ts.
 
-        Those that are ``late`` arrive a micro-batch after the one of their time.
+        Those that are ``late`` arrive a micro-batch after the one of their time. A micro-batch
+        is read from ``files`` files, or from as many as the smallest slice fills.
         """
         path = f"{self.folder}/{name}"
         first, last = self.span
@@ -273,6 +280,10 @@ class Streams:
         if late is not None:
             moved = F.least(F.col("slice") + late.cast("int"), F.lit(SLICES - 1))
             placed = placed.withColumn("slice", moved)
+        if files is None:
+            # A slice without some part would take files of the next one into its micro-batch.
+            least = placed.groupBy("slice").count().agg(F.min("count")).first()[0]
+            files = max(1, (least or 0) // FILE_ROWS)
         # One file per slice and part, so that a micro-batch takes a slice.
         part = F.pmod(F.xxhash64(*rows.columns), F.lit(files))
         task = (F.greatest("slice", F.lit(0)) * files + part).cast("int")
@@ -283,10 +294,19 @@ class Streams:
         return reader.option("maxFilesPerTrigger", files).parquet(f"{path}/slice=*")
 
     @cached_property
-    def span(self) -> tuple[int, int]:
-        """The first and last event time in microseconds."""
+    def told(self) -> tuple[int, int, int]:
+        """The first and last event time in microseconds, and the number of events."""
         ts = F.unix_micros(F.col("ts").cast("timestamp"))
-        return tuple(self.events_table.agg(F.min(ts), F.max(ts)).first())
+        return tuple(self.events_table.agg(F.min(ts), F.max(ts), F.count("*")).first())
+
+    @property
+    def span(self) -> tuple[int, int]:
+        return self.told[:2]
+
+    @property
+    def state_partitions(self) -> int:
+        cores = self.spark.sparkContext.defaultParallelism
+        return max(STATE_PARTITIONS, min(cores, self.told[2] // STATE_ROWS))
 
     @cached_property
     def events_table(self) -> DataFrame:
@@ -321,7 +341,7 @@ class Streams:
         """Run a job to the end of its input and read what it wrote."""
         path = f"{self.folder}/{job.__name__}"
         places = [path, f"{path}-state"] if state else [path]
-        with batches.state_partitions(self.spark, STATE_PARTITIONS):
+        with batches.state_partitions(self.spark, self.state_partitions):
             query = job(*streams, *places, f"{path}-checkpoint", **options)
         query.awaitTermination()
         return batches.read_batches(self.spark, path)

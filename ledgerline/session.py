@@ -23,6 +23,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
         "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # Counting state rows costs a look-up for every row that is put.
+        "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
         # Merge sessions before the shuffle, so that a hot key is small after it.
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     }.items():

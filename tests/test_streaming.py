@@ -9,11 +9,11 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at
-from ledgerline import schemas
+from conftest import SF_DIR, at
+from ledgerline import registry, schemas
 from ledgerline.operators import last_per_key
 from ledgerline.plans import checks, outcomes, topics
-from ledgerline.session import checkpoint_dir, write_once
+from ledgerline.session import checkpoint_dir, listed, write_once
 from ledgerline.sources import KeyedTable
 from ledgerline.streaming import batches, jobs
 from test_checks import make_orders, make_stock
@@ -438,3 +438,18 @@ def test_versions_of_stock_by_product(spark, tmp_path, orders, stock):
     watch = spark.createDataFrame([("WATCH",)], "product string").select(table.bucket()).first()[0]
     shoes = spark.createDataFrame([("SHOES",)], "product string").select(table.bucket()).first()[0]
     assert watch != shoes and table.version().batches[watch] == [0]
+
+
+def test_micro_batches_of_several_files_and_more_state(spark, monkeypatch):
+    monkeypatch.setattr(registry, "FILE_ROWS", 50)
+    monkeypatch.setattr(registry, "STATE_ROWS", 100)
+    monkeypatch.setattr(registry, "STATE_PARTITIONS", 1)
+    streams = registry.Streams(registry.Inputs(spark, SF_DIR))
+    assert streams.state_partitions > 1
+    counted = streams.run(jobs.pass_counts, streams.validations, state=True)
+    plain = outcomes.pass_count_running(streams.inputs.validations)
+    assert sorted(map(tuple, counted.collect())) == sorted(map(tuple, plain.collect()))
+    (events,) = [n for n in listed(spark, streams.folder) if n == "events"]
+    slices = [n for n in listed(spark, f"{streams.folder}/{events}") if n.startswith("slice=")]
+    files = {len([f for f in listed(spark, f"{streams.folder}/{events}/{n}") if f.endswith(".parquet")]) for n in slices}
+    assert len(slices) == registry.SLICES and len(files) == 1 and files.pop() > 1
