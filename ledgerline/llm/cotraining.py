@@ -17,6 +17,7 @@ import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -158,6 +159,18 @@ def _curve(z: np.ndarray, truth: np.ndarray) -> np.ndarray:
     return logistic.fit(z.astype(np.float64), truth.astype(np.float64), 0.1, 300)
 
 
+def _packed(row: np.ndarray) -> bytes:
+    """Which numbers of the row are not 0, a bit each, and these: a text has few of all words."""
+    return np.packbits(row != 0).tobytes() + row[row != 0].tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    row = np.zeros(SHAPES + TERMS, np.float32)
+    bits = np.frombuffer(packed, np.uint8, len(row) // 8)
+    row[np.unpackbits(bits).astype(bool)] = np.frombuffer(packed, np.float32, offset=len(bits))
+    return row
+
+
 def _view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     views = Views()
     for batch in batches:
@@ -167,7 +180,7 @@ def _view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch[c] for c in ("doc_id", "quality", "calibrates")),
-                pa.array([row.tobytes() for row in content], pa.binary()),
+                pa.array([_packed(row) for row in content], pa.binary()),
                 pa.array([row.tobytes() for row in made], pa.binary()),
             ],
             ["doc_id", "quality", "calibrates", "content", "metadata"],
@@ -189,6 +202,31 @@ def _score(broadcast):
     return score
 
 
+def _taught(viewed: pa.Table, rounds: int) -> Model:
+    """The model that the rows of ``_view`` teach, whatever their order.
+
+    A row's content is unpacked where it is used, so that the driver holds the sample once.
+    """
+    ids, content, metadata = viewed["doc_id"].to_numpy(), viewed["content"], viewed["metadata"]
+    quality, calibrates = viewed["quality"].to_pylist(), viewed["calibrates"].to_pylist()
+    sets: dict[str, list[int]] = {"learn": [], "open": [], "calibrate": []}
+    for _, same in groupby(np.argsort(ids, kind="stable").tolist(), ids.__getitem__):
+        for i in sorted(same, key=lambda i: _unpacked(content[i].as_py()).tobytes()):
+            kind = "open" if quality[i] is None else "calibrate" if calibrates[i] else "learn"
+            sets[kind].append(i)
+
+    def of(kind: str) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        rows = sets[kind]
+        x, made = np.empty((len(rows), SHAPES + TERMS), np.float32), np.empty((len(rows), METADATA), np.float32)
+        for at, i in enumerate(rows):
+            x[at] = _unpacked(content[i].as_py())
+            made[at] = np.frombuffer(metadata[i].as_py(), np.float32)
+        return (x, made), np.array([quality[i] or 0 for i in rows], np.float32)
+
+    (x, y), (unlabelled, _) = of("learn"), of("open")
+    return co_train(x, y, unlabelled, of("calibrate"), rounds)
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text, lang).
 
@@ -219,20 +257,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     viewed = docs.join(F.broadcast(wanted), "doc_id").mapInArrow(
         _view, "doc_id long, quality int, calibrates boolean, content binary, metadata binary"
     )
-    sets: dict[str, list] = {"learn": [], "open": [], "calibrate": []}
-    for r in sorted(viewed.collect(), key=lambda r: (r.doc_id, bytes(r.content))):
-        kind = "open" if r.quality is None else "calibrate" if r.calibrates else "learn"
-        sets[kind].append(r)
-
-    def of(kind: str) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-        rows = sets[kind]
-        content = np.frombuffer(b"".join(r.content for r in rows), np.float32)
-        made = np.frombuffer(b"".join(r.metadata for r in rows), np.float32)
-        y = np.array([r.quality or 0 for r in rows], np.float32)
-        return (content.reshape(-1, SHAPES + TERMS), made.reshape(-1, METADATA)), y
-
-    (x, y), (unlabelled, _) = of("learn"), of("open")
-    model = co_train(x, y, unlabelled, of("calibrate"), rounds)
+    model = _taught(viewed.toArrow(), rounds)
     broadcast = docs.sparkSession.sparkContext.broadcast(model)
     scored = docs.mapInArrow(_score(broadcast), "doc_id long, score double")
     return scored.select(

@@ -19,7 +19,9 @@ def fit(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 150) -> np.n
         return np.append(np.zeros(x.shape[1]), constant)
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, np.inf)
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1), x.dtype)])
+    z = np.ones((len(x), x.shape[1] + 1), x.dtype)  # the only copy
+    np.subtract(x, mean, out=z[:, :-1])
+    z[:, :-1] /= scale
     # The largest eigenvalue, by power steps, bounds the curvature.
     v = np.ones(z.shape[1], z.dtype)
     for _ in range(12):

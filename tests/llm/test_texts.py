@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from ledgerline.llm import (
     forest,
     language,
     likelihood_ratio,
+    logistic,
     packing,
     surrogates,
     toxicity,
@@ -354,6 +357,35 @@ def test_quality_learns_from_both_views(spark, odd, none, labels):
     assert cotraining.keep_good(odd, known).columns == odd.columns
 
 
+def test_the_quality_sample_is_small_on_the_driver(spark, monkeypatch):
+    """What is sent there follows the words of a text, and the fit copies it once."""
+    sent = []
+    rows = [(i, " ".join(words(i, 7, 20)) if i % 50 else None, "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 > 0).cast("int").alias("quality")).where("doc_id % 2 = 0")
+    for name in ("collect", "toArrow"):
+        take = getattr(type(docs), name)
+        monkeypatch.setattr(type(docs), name, lambda df, take=take: sent.append(take(df)) or sent[-1])
+    cotraining.score(docs, labels)
+    tables = [t if isinstance(t, pa.Table) else pa.Table.from_pylist([r.asDict() for r in t]) for t in sent]
+    n = sum(t.num_rows for t in tables)
+    assert n > 200
+    assert sum(t.nbytes for t in tables) < 400 * n  # 3 kB a row as a matrix
+    dense = np.random.default_rng(0).random((3, cotraining.SHAPES + cotraining.TERMS)).astype(np.float32)
+    dense[1, ::2], dense[2] = 0, 0
+    for row in dense:
+        assert (cotraining._unpacked(cotraining._packed(row)) == row).all()
+
+    x = np.random.default_rng(0).random((4000, 768)).astype(np.float32)
+    y = (x[:, 0] > 0.5).astype(np.float32)
+    tracemalloc.start()
+    try:
+        logistic.fit(x, y, steps=2)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * x.nbytes
+    finally:
+        tracemalloc.stop()
+
+
 def plain_rules(text):
     w = "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text or "").split(" ")
     w = [x for x in w if x]
