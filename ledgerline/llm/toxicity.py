@@ -61,6 +61,14 @@ BROADCAST_IDS = 4_000_000
 # Up to so many stems with their counts are broadcast, some 20 MB; with more, the rows that
 # meet them are shuffled.
 BROADCAST_STEMS = 2**18
+# Text that a task counts, or whose words it numbers, at the same time.
+COUNT_BYTES = 2_000_000
+LOOK_BYTES = 4_000_000
+# Words that a task looks up at the same time; one takes some 300 bytes then.
+RUN_WORDS = 2**17
+# From so many pairs on, those of several slices are put together in a task; that takes 100
+# bytes each.
+WAITING_PAIRS = 500_000
 # Labelled documents that the curve is fitted on, at most.
 CALIBRATION_ROWS = 20_000
 
@@ -119,13 +127,32 @@ def _pair_column(context: str, stem: str) -> F.Column:
     return F.col(context).bitwiseXOR(turned)
 
 
+def _pair_counts(context: np.ndarray, after: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different pairs, and the sums of their ``counts``, a row per class."""
+    _, at, which = np.unique(_pair(context, after), return_index=True, return_inverse=True)
+    sums = [np.bincount(which, n, len(at)).astype(np.int32) for n in counts]
+    return context[at], after[at], np.stack(sums)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of labelled documents, as far as seen here, per class: in how many a word is, and how
-    often a stem (``after``) follows another (``context``)."""
+    often a stem (``after``) follows another (``context``).
+
+    The pairs of several slices are put together before they are sent.
+    """
     names = ["word", "context", "after", "ordinary", "toxic"]
     types = [pa.string(), *[pa.int64()] * 4]
+    waiting: list[tuple[np.ndarray, ...]] = []
+
+    def sent() -> pa.RecordBatch:
+        together = [np.concatenate(x, axis=-1) for x in zip(*waiting)]
+        waiting.clear()
+        context, after, n = _pair_counts(*together)
+        columns = [pa.nulls(len(context), pa.string()), *(pa.array(x.view(np.int64)) for x in (context, after))]
+        return pa.RecordBatch.from_arrays([*columns, *map(pa.array, n.astype(np.int64))], schema=pa.schema(zip(names, types)))
+
     for batch in batches:
-        for first, size in slices(batch["text"]):
+        for first, size in slices(batch["text"], COUNT_BYTES):
             part = batch.slice(first, size)
             words, codes, ends = sequences(part["text"])
             toxic = part["toxic"].to_numpy(zero_copy_only=False).astype(np.int64)
@@ -136,11 +163,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.nulls(len(words), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), none, none, *map(pa.array, n)], names)
             stems = _stems(words)
-            context, after = stems[_before(codes, ends, len(words))], stems[codes]
-            _, at, which = np.unique(_pair(context, after), return_index=True, return_inverse=True)
-            n = [np.bincount(which[toxic[of] == c], minlength=len(at)) for c in (0, 1)]
-            columns = [pa.nulls(len(at), pa.string()), *(pa.array(x[at].view(np.int64)) for x in (context, after))]
-            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, n)], schema=pa.schema(zip(names, types)))
+            of_class = np.stack([toxic[of] == c for c in (0, 1)])
+            waiting.append(_pair_counts(stems[_before(codes, ends, len(words))], stems[codes], of_class))
+            if sum(len(x[0]) for x in waiting) >= WAITING_PAIRS:
+                yield sent()
+    if waiting:
+        yield sent()
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -329,40 +357,64 @@ def _look(broadcast):
         known: Known = broadcast.value
         at = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for first, size in slices(batch["text"]):
+            for first, size in slices(batch["text"], LOOK_BYTES):
                 part = batch.slice(first, size)
                 words, codes, ends = sequences(part["text"])
-                stems = _stems(words)
-                before = _before(codes, ends, len(words))
-                hashes = np.array([_hashed(w) for w in words], np.uint64)
-                pairs = _pair(stems[before], stems[codes])
-                parts = [(hashes, codes, 0), (stems, codes, 0), (~stems, before, 1), (pairs, np.arange(len(pairs)), 1)]
-                of = np.repeat(np.arange(size), np.diff(ends))
-                sums, rest = np.zeros((len(codes), 4), np.float32), []
-                for unit, tokens, by in parts:
-                    values, others = known.look(unit)
-                    values = values[tokens]
-                    sums[:, by] += values[:, 0]
-                    np.maximum(sums[:, 2:], values[:, 1:], out=sums[:, 2:])
-                    others = np.flatnonzero(others[tokens])
-                    rest.append((of[others], unit[tokens[others]]))
-                totals = [np.bincount(of, sums[:, i], size).astype(np.float64) for i in (0, 1)]
-                strongest = np.zeros((size, 2))
-                full = np.flatnonzero(np.diff(ends))
-                if len(full):
-                    strongest[full] = np.maximum.reduceat(sums[:, 2:], ends[full], axis=0)
-                of, unit = map(np.concatenate, zip(*rest))
-                order = np.argsort(of, kind="stable")
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=size))])
-                others = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(unit[order].view(np.int64)))
-                row = pa.array(np.arange(at, at + size))
-                at += size
-                columns = [row, part["doc_id"], pa.array(np.diff(ends)), *map(pa.array, [*totals, *strongest.T.copy()]), others]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", *TOLD, "others"])
+                stems, hashes = _stems(words), np.array([_hashed(w) for w in words], np.uint64)
+                mark = len(words)
+                del words
+                looked = [(unit, *known.look(unit)) for unit in (hashes, stems, ~stems)]
+                for i, j in _runs(ends, RUN_WORDS):
+                    told = _told(known, looked, codes[ends[i] : ends[j]], ends[i : j + 1] - ends[i], mark)
+                    row = pa.array(np.arange(at, at + j - i))
+                    at += j - i
+                    yield pa.RecordBatch.from_arrays(
+                        [row, part["doc_id"].slice(i, j - i), *told], ["row", "doc_id", "n_words", *TOLD, "others"]
+                    )
 
     return look
 
 
+def _runs(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Where runs of texts of ``most`` words at most begin and end. A longer text is a run of its own."""
+    at = 0
+    while at < len(ends) - 1:
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def _told(known: Known, looked: list[tuple], codes: np.ndarray, ends: np.ndarray, mark: int) -> list[pa.Array]:
+    """Per text its number of words, TOLD and the units that are to be joined.
+
+    ``looked`` has what is known of words, stems and contexts by number of the word.
+    """
+    (_, stems, _), size = (x[0] for x in looked), len(ends) - 1
+    before = _before(codes, ends, mark)
+    pairs = _pair(stems[before], stems[codes])
+    numbered = zip(looked, (codes, codes, before), (0, 0, 1))
+    parts = [(*x, tokens, by) for x, tokens, by in numbered]
+    parts.append((pairs, *known.look(pairs), np.arange(len(pairs)), 1))
+    of = np.repeat(np.arange(size), np.diff(ends))
+    sums, rest = np.zeros((len(codes), 4), np.float32), []
+    for unit, values, others, tokens, by in parts:
+        values = values[tokens]
+        sums[:, by] += values[:, 0]
+        np.maximum(sums[:, 2:], values[:, 1:], out=sums[:, 2:])
+        others = np.flatnonzero(others[tokens])
+        rest.append((of[others], unit[tokens[others]]))
+    totals = [np.bincount(of, sums[:, i], size).astype(np.float64) for i in (0, 1)]
+    strongest = np.zeros((size, 2))
+    full = np.flatnonzero(np.diff(ends))
+    if len(full):
+        strongest[full] = np.maximum.reduceat(sums[:, 2:], ends[full], axis=0)
+    of, unit = map(np.concatenate, zip(*rest))
+    order = np.argsort(of, kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=size))])
+    others = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(unit[order].view(np.int64)))
+    return [pa.array(np.diff(ends)), *map(pa.array, [*totals, *strongest.T.copy()]), others]
+
+
 def _features(df: DataFrame) -> list:
     length = F.col("n_words") + 20
     return [F.col("word"), F.col("pair"), F.col("single") / length, F.col("context") / length, F.log1p("n_words")]

@@ -24,15 +24,15 @@ _ODD = (
 SLICE_BYTES = 10_000_000
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, length) of runs of texts of about equal size, SLICE_BYTES at most.
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, length) of runs of texts of about equal size, ``most`` bytes at most.
 
     A longer text is a run of its own.
     """
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     if not len(size):
         return
-    each = size[-1] / max(1, -(-int(size[-1]) // SLICE_BYTES))
+    each = size[-1] / max(1, -(-int(size[-1]) // most))
     at = 0
     while at < len(size):
         done = size[at - 1] if at else 0

@@ -307,6 +307,49 @@ def test_log_ratios_equal_the_plain_models(spark, hot):
         assert (r.single, r.context, r.word, r.pair) == pytest.approx(plain[r.doc_id], abs=1e-4)
 
 
+class OneTask:
+    @staticmethod
+    def get():
+        return OneTask
+
+    @staticmethod
+    def partitionId():
+        return 0
+
+
+def counted_and_looked(texts):
+    """What a task gives for a batch: the sums of ``_count``, the columns of ``_look``, and the peak MB of each."""
+    labelled = {"text": pa.array(texts, pa.string()), "toxic": pa.array([int(i % 3 == 0) for i in range(len(texts))], pa.int32())}
+    tables, peaks = [], []
+    bits = np.full(2 ** (toxicity.MAP_BITS - 6), 0x1111111111111111, np.uint64)
+    known = toxicity.Known(np.zeros(0, np.uint64), np.zeros((0, 3), np.float32), bits)
+    look = toxicity._look(type("Broadcast", (), {"value": known}))
+    for task, columns in ((toxicity._count, labelled), (look, {"doc_id": list(range(len(texts))), "text": texts})):
+        tracemalloc.start()
+        tables.append(pa.Table.from_batches(task(iter([pa.RecordBatch.from_pydict(columns)]))))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    counts = tables[0].group_by(["word", "context", "after"]).aggregate([("ordinary", "sum"), ("toxic", "sum")])
+    return Counter(map(str, counts.to_pylist())), tables[1].to_pylist(), *peaks
+
+
+def test_toxicity_by_small_slices_and_runs(monkeypatch):
+    monkeypatch.setattr(toxicity, "TaskContext", OneTask)
+    texts = [" ".join(words(i, i * 37 % 90)) for i in range(200)] + [None, "", " ".join(words(0, 700)), "!"]
+    whole = counted_and_looked(texts)
+    for name, value in (("COUNT_BYTES", 900), ("LOOK_BYTES", 2000), ("RUN_WORDS", 100), ("WAITING_PAIRS", 500)):
+        monkeypatch.setattr(toxicity, name, value)
+    assert counted_and_looked(texts)[:2] == whole[:2]
+    assert list(toxicity._runs(np.array([0, 3, 3, 5, 20, 21]), 5)) == [(0, 3), (3, 4), (4, 5)]
+
+
+def test_toxicity_holds_few_words_of_a_batch_as_numbers(monkeypatch):
+    monkeypatch.setattr(toxicity, "TaskContext", OneTask)
+    texts = [" ".join(words(i, 1000, 9000)) for i in range(1500)]
+    *_, counting, looking = counted_and_looked(texts)
+    assert counting < 130 and looking < 130
+
+
 def judged_right(spark, texts):
     """The shares of toxic and of ordinary held-out documents that are predicted as such."""
     docs = table(spark, [(i, text) for i, (text, _) in enumerate(texts)])
